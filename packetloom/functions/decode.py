@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from packetloom.functions.text import one_line
@@ -18,7 +18,7 @@ def percent_decode(c: Column) -> Column:
     """
     kept_plus = F.replace(c, F.lit("+"), F.lit("%2B"))
     kept_bad = F.regexp_replace(kept_plus, "%(?![0-9A-Fa-f]{2})", "%25")
-    return F.when(F.contains(c, F.lit("%")), F.url_decode(kept_bad)).otherwise(c)
+    return F.url_decode(kept_bad)
 
 
 def double_percent_decode(c: Column) -> Column:
@@ -90,7 +90,7 @@ def decode_hex_blocks(c: Column) -> Column:
     blocks = F.array_distinct(
         F.regexp_extract_all(c, F.lit(r"\|((?:[0-7][0-9a-fA-F])+)\|"), F.lit(1))
     )
-    replaced = F.aggregate(
+    return F.aggregate(
         blocks,
         c,
         lambda acc, h: F.replace(
@@ -98,12 +98,16 @@ def decode_hex_blocks(c: Column) -> Column:
             F.concat(F.lit("|"), F.unhex(h).cast("string"), F.lit("|")),
         ),
     )
-    return F.when(F.contains(c, F.lit("|")), replaced).otherwise(c)
 
 
-def decode_payload(c: Column) -> Column:
+def with_decoded(df: DataFrame, text_col: str, out_col: str) -> DataFrame:
     """Base64 segments, hex blocks, then percent escapes twice."""
-    return double_percent_decode(decode_hex_blocks(decode_base64_segments(c)))
+    steps = df.withColumn("__unbased", decode_base64_segments(F.col(text_col))).withColumn(
+        "__unhexed", decode_hex_blocks(F.col("__unbased"))
+    )
+    return steps.withColumn(out_col, double_percent_decode(F.col("__unhexed"))).drop(
+        "__unbased", "__unhexed"
+    )
 
 
 def display_clean(c: Column) -> Column:

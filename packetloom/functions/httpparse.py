@@ -32,13 +32,11 @@ def _from(c: Column, start: int) -> Column:
 
 
 def _query(url_query: Column) -> Column:
-    return F.when(
-        F.contains(url_query, F.lit("?")), F.concat(F.lit("?"), after(url_query, "?"))
-    ).otherwise("")
+    return F.coalesce(F.concat(F.lit("?"), after(url_query, "?")), F.lit(""))
 
 
 def _without_question_mark(c: Column) -> Column:
-    return F.when(c.startswith("?"), _from(c, 2)).otherwise(c)
+    return F.regexp_replace(c, r"^\?", "")
 
 
 def parse_requests(df: DataFrame, payload_col: str) -> DataFrame:
@@ -111,18 +109,15 @@ def parse_weblogs(df: DataFrame, log_col: str) -> DataFrame:
 
     # Apache and NGINX: version, status, bytes, referer, then the quoted agent
     behind = F.col("__after_url")
-    ninth = F.substr(behind, F.lit(9), F.lit(1))
-    spaced = F.when(
-        ninth != " ", F.concat(F.substr(behind, F.lit(1), F.lit(8)), _from(behind, 10))
-    ).otherwise(behind)
+    # a ninth character other than a blank (the closing quote) is taken out
+    spaced = F.regexp_replace(behind, "(?s)^(.{8})[^ ]", "$1")
     df = df.withColumn("__spaced", F.when(F.length(behind) >= 9, spaced))
     after_version = after(F.col("__spaced"), " ")
     after_status = after(after_version, " ")
     df = df.withColumn("__after_bytes", after(after_status, " "))
     after_referer = after(F.col("__after_bytes"), " ")
     df = df.withColumn("__agent", after(after_referer, '"'))
-    agent = F.col("__agent")
-    combined_agent = before(F.when(agent.startswith(' "'), _from(agent, 3)).otherwise(agent), '"')
+    combined_agent = before(F.regexp_replace("__agent", '^ "', ""), '"')
 
     # IIS: the only http/... to the end of its line, then the next token
     one_version = F.regexp_count(request, F.lit("(?id)http/(.*)")) == 1

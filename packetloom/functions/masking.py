@@ -18,7 +18,6 @@ class Mask:
     pattern: str
     replacement: str
     token: str  # text that stands in the masked output
-    needs: str | None = None  # plain text every match contains
     group: int = 0  # the group reported as finding
 
 
@@ -28,16 +27,21 @@ HOST_PATTERN = (
     r"(?:(?<=:\/\/)|(?<=%3a%2f%2f)|(?<=www\.)|(?<=host: ))"
     r"((?!10\.10\.123\.123).*?)(?=\.go\.kr|\.or\.kr|\.com|\.co\.kr)"
 )
-IP = Mask("ip", "(?U)" + IP_PATTERN, "10.10.123.123", "10.10.123.123", ".")
-HOST = Mask("host", "(?id)" + HOST_PATTERN, "*****", "*****", ".", 1)
+EMAIL_PATTERN = r"([a-zA-Z0-9_.-]++)@([a-zA-Z0-9_-]+\.)"
+IP = Mask("ip", "(?U)" + IP_PATTERN, "10.10.123.123", "10.10.123.123")
+HOST = Mask("host", "(?id)" + HOST_PATTERN, "*****", "*****", 1)
 EMAIL = Mask(
-    "email", r"([a-zA-Z0-9_.-]+)@([a-zA-Z0-9_-]+\.)", "abc@$2", "abc@", "@", 1
+    # a match starts where a run of address characters starts or where the
+    # previous match ended; saying so keeps long runs without "@" linear
+    "email",
+    r"(?:(?<![a-zA-Z0-9_.-])|\G)" + EMAIL_PATTERN,
+    "abc@$2",
+    "abc@",
+    1,
 )
-CARD = Mask(
-    "card", r"(?U)\d{4}-\d{4}-\d{4}-\d{4}", "1234-XXXX-XXXX-XXXX", "1234-XXXX-XXXX-XXXX", "-"
-)
-PHONE = Mask("phone", r"(?U)\d{2,3}-\d{3,4}-\d{4}", "010-XXXX-XXXX", "010-XXXX-XXXX", "-")
-RESIDENT = Mask("resident", r"(?U)\d{6}-\d{7}", "123456-*******", "123456-*******", "-")
+CARD = Mask("card", r"(?U)\d{4}-\d{4}-\d{4}-\d{4}", "1234-XXXX-XXXX-XXXX", "1234-XXXX-XXXX-XXXX")
+PHONE = Mask("phone", r"(?U)\d{2,3}-\d{3,4}-\d{4}", "010-XXXX-XXXX", "010-XXXX-XXXX")
+RESIDENT = Mask("resident", r"(?U)\d{6}-\d{7}", "123456-*******", "123456-*******")
 NAME = Mask("name", "[가-힣]{2,4}", "홍길동", "홍길동")
 
 PAYLOAD_MASKS = (IP, HOST, EMAIL, CARD, PHONE, RESIDENT, NAME)
@@ -45,27 +49,17 @@ WEBLOG_MASKS = (EMAIL, CARD, PHONE, RESIDENT, NAME)
 
 
 def apply_mask(c: Column, mask: Mask) -> Column:
-    replaced = F.regexp_replace(c, mask.pattern, mask.replacement)
-    if mask.needs is None:
-        return replaced
-    return F.when(F.contains(c, F.lit(mask.needs)), replaced).otherwise(c)
+    return F.regexp_replace(c, mask.pattern, mask.replacement)
 
 
 def with_masked(
     df: DataFrame, text_col: str, out_col: str, masks=PAYLOAD_MASKS
 ) -> DataFrame:
-    """Add the anonymised text.
-
-    Each step is a column of its own: a step reads its input twice, and nested
-    expressions would double with every mask.
-    """
-    previous, steps = text_col, []
+    """Add the anonymised text."""
+    out = F.col(text_col)
     for m in masks:
-        step = f"__masked_{m.name}"
-        df = df.withColumn(step, apply_mask(F.col(previous), m))
-        previous = step
-        steps.append(step)
-    return df.withColumn(out_col, F.col(previous)).drop(*steps)
+        out = apply_mask(out, m)
+    return df.withColumn(out_col, out)
 
 
 def findings(df: DataFrame, text_col: str, ids: list[str], masks=PAYLOAD_MASKS) -> DataFrame:
@@ -76,25 +70,26 @@ def findings(df: DataFrame, text_col: str, ids: list[str], masks=PAYLOAD_MASKS)
     previous, cells = text_col, []
     for no, m in enumerate(masks):
         found = F.regexp_extract_all(F.col(previous), F.lit(m.pattern), F.lit(m.group))
-        if m.needs is not None:
-            empty = F.array().cast("array<string>")
-            found = F.when(F.contains(F.col(previous), F.lit(m.needs)), found).otherwise(empty)
         df = df.withColumn(f"__found_{m.name}", found)
-        cells.append(
-            F.transform(
-                F.col(f"__found_{m.name}"),
-                lambda item, at, no=no, m=m: F.struct(
-                    F.lit(no).alias("kind_no"),
-                    F.lit(m.name).alias("kind"),
-                    (at + 1).alias("item_no"),
-                    item.alias("item"),
-                ),
-            )
-        )
+        cells.append(_numbered(F.col(f"__found_{m.name}"), no, m.name))
         step = f"__masked_{m.name}"
         df = df.withColumn(step, apply_mask(F.col(previous), m))
         previous = step
-    return df.select(*ids, F.inline(F.flatten(F.array(*cells))))
+    # a NULL text has no items
+    rows = df.where(F.col(text_col).isNotNull())
+    return rows.select(*ids, F.inline(F.flatten(F.array(*cells))))
+
+
+def _numbered(items: Column, kind_no: int, kind: str) -> Column:
+    return F.transform(
+        items,
+        lambda item, at: F.struct(
+            F.lit(kind_no).alias("kind_no"),
+            F.lit(kind).alias("kind"),
+            (at + 1).alias("item_no"),
+            item.alias("item"),
+        ),
+    )
 
 
 def findings_report(df: DataFrame, text_col: str, ids: list[str], masks=PAYLOAD_MASKS) -> DataFrame:

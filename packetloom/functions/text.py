@@ -32,9 +32,14 @@ def before(c: Column, sep: str) -> Column:
 
 
 def after(c: Column, sep: str) -> Column:
-    """Text behind the first ``sep``; NULL when there is none."""
-    at = F.instr(c, sep)
-    return F.when(at > 0, F.substr(c, at + len(sep), F.lit(FAR)))
+    """Text behind the first ``sep``; NULL when there is none.
+
+    Reads ``c`` once.  A filter on a derived column is pushed below the
+    projection by inlining, so chained helpers that read their input twice
+    would double the expression with every step.
+    """
+    literal = "".join("\\" + ch if not ch.isalnum() and ch != " " else ch for ch in sep)
+    return F.get(F.split(c, literal, 2), F.lit(1))
 
 
 def any_of(conditions: list[Column]) -> Column:

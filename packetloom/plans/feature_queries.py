@@ -230,11 +230,14 @@ def refined_label_counts(spark, sf_dir):
 )
 def relabelled_rows_by_requests(spark, sf_dir):
     """Rows that the refinement looks at, by number of requests."""
-    rows = refined(spark, sf_dir).where(
-        (F.col(_WHITELIST) >= 2) | (feat.row_sum(_FLAGS) == 0)
-    )
-    return profile.value_counts(
-        rows.withColumnRenamed(_WHITELIST, "requests"), "requests", "new_label"
+    # counted before the filter: a filter on features would be pushed below the
+    # projection and compute every rule twice
+    looked_at = (F.col(_WHITELIST) >= 2) | (feat.row_sum(_FLAGS) == 0)
+    return (
+        refined(spark, sf_dir)
+        .groupBy(F.col(_WHITELIST).alias("requests"), "new_label")
+        .agg(F.count_if(looked_at).alias("n"))
+        .where("n > 0")
     )
 
 
@@ -321,9 +324,9 @@ def rule_catalogue(spark, sf_dir):
         "SELECT word FROM (SELECT DISTINCT word FROM pieces WHERE NOT contains(word, '(.*?)') "
         r"AND word <> '' AND NOT regexp_matches(word, '\(.*?\)')) "
         "EXCEPT SELECT DISTINCT unnest(regexp_split_to_array(lower(text), '[^a-z0-9]+')) FROM documents",
-        pieces="SELECT unnest(string_split(plain, '(.*?)')) AS word FROM r UNION ALL SELECT plain FROM r",
         r=r"SELECT replace(regexp_replace(pattern, '\[\\(.)\]', '\1', 'g'), '[%%]', '%') AS plain FROM ("
         + _catalogue_sql("waf_v1") + ")",
+        pieces="SELECT unnest(string_split(plain, '(.*?)')) AS word FROM r UNION ALL SELECT plain FROM r",
     )
 )
 def new_rule_words(spark, sf_dir):
