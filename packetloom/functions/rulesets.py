@@ -645,3 +645,13 @@ def family(name: str, *, fixed_dots: bool = False) -> Family:
         for r in found.rules
     )
     return replace(found, rules=rules)
+
+
+def keyword_patterns(rule: Rule) -> list[str]:
+    """The patterns of a rule as keywords; a second condition comes first."""
+    out: list[str] = []
+    for a in rule.alts:
+        if a.needs and a.needs not in out:
+            out.append(a.needs)
+        out.append(a.pattern)
+    return out

@@ -2,30 +2,24 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from packetloom.functions.matching import GAP
-from packetloom.functions.rulesets import NOT_WORD, Family
+from packetloom.functions.rulesets import NOT_WORD, Family, keyword_patterns
 from packetloom.sources.dims import Dim
 
 
 def rule_dim(fam: Family) -> Dim:
+    """One row per keyword pattern."""
     return Dim(
-        "feature_no INT, feature STRING, kind STRING, alt_no INT, scope STRING, "
-        "pattern STRING, needs STRING",
+        "feature_no INT, feature STRING, kind STRING, alt_no INT, pattern STRING",
         [
-            (
-                no,
-                fam.prefix + r.feature,
-                "count" if r.kind == "count" else "flag",
-                alt_no,
-                a.scope,
-                a.pattern,
-                a.needs,
-            )
+            (no, fam.prefix + r.feature, r.kind, alt_no, pattern)
             for no, r in enumerate(fam.rules)
-            for alt_no, a in enumerate(r.alts)
+            for alt_no, pattern in enumerate(keyword_patterns(r))
         ],
     )
 
@@ -37,6 +31,12 @@ def pretty(c: Column) -> Column:
     return F.replace(out, F.lit(NOT_WORD), F.lit(""))
 
 
+def pretty_text(pattern: str) -> str:
+    """``pretty`` for a pattern that is known while the plan is built."""
+    out = pattern.replace(GAP, "[~]").replace("[%%]", "%")
+    return re.sub(r"\[\\(.)\]", r"\1", out).replace(NOT_WORD, "")
+
+
 def catalogue(spark: SparkSession, fam: Family) -> DataFrame:
     """``feature, kind, n_alternatives, keywords`` in rule order."""
     rules = rule_dim(fam).to_df(spark)
