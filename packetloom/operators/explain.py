@@ -7,7 +7,7 @@ description tables, and those are broadcast when small.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from packetloom.functions import matching
@@ -250,7 +250,7 @@ def keyword_lists(evidence_rows: DataFrame, ids: list[str]) -> DataFrame:
 
 
 def signature_matches(
-    spark: SparkSession, df: DataFrame, text_col: str, ids: list[str], signatures: DataFrame
+    df: DataFrame, text_col: str, ids: list[str], signatures: DataFrame
 ) -> DataFrame:
     """Known signatures in text order; the first definition of a text wins.
 

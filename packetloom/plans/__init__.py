@@ -1,6 +1,6 @@
 """Registered queries; importing the package fills the registry."""
 
-from packetloom.plans import feature_queries, model_queries, text_queries  # noqa: F401
+from packetloom.plans import data_queries, feature_queries, model_queries, text_queries  # noqa: F401
 from packetloom.plans.registry import QUERIES
 
 __all__ = ["QUERIES"]

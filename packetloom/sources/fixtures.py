@@ -242,7 +242,18 @@ def fixture_sql(name: str, *, spark_dialect: bool = False) -> str:
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores on a table with fewer input splits than cores.
+
+    A table of cluster size has more splits than cores and is left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, df.columns[0])
 
 
 def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
