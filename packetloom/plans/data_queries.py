@@ -368,16 +368,6 @@ def nearest_to_label_centers(spark, sf_dir):
     )
 
 
-@query(sql(_centroid_sql(2, 0.7), centers=_CENTROIDS))
-def nearest_to_label_centers_strict(spark, sf_dir):
-    """The same with the floor of the application."""
-    vectors, centers = _centers(spark, sf_dir)
-    return retrieve.top_k_similar(
-        centers, vectors, k=2, query_id="label", corpus_id="vec_id",
-        query_vector="center", floor=0.7,
-    )
-
-
 @query(
     "SELECT vec_id, near_vec_id, rank, similarity FROM (SELECT a.vec_id, b.vec_id AS near_vec_id, "
     f"{_cosine('CAST(a.embedding AS DOUBLE[])', 'CAST(b.embedding AS DOUBLE[])')} AS similarity, "
@@ -522,12 +512,12 @@ _PIECES = _halves_sql("pages", "html", "page_id", 4096)
 @query(
     "SELECT status, count(*) AS n, CAST(sum(extracted) AS BIGINT) AS total FROM (SELECT TRY_CAST(f AS INT) AS extracted, "
     "CASE WHEN TRY_CAST(f AS INT) IS NOT NULL THEN 'ok' WHEN f = '' THEN 'nothing found' ELSE 'not a number' END AS status "
-    "FROM (SELECT regexp_extract(piece, '([0-9a-f]{2,})', 1) AS f FROM (" + _PIECES + "))) GROUP BY status"
+    "FROM (SELECT regexp_extract(piece, '(?:<h|href=./)([0-9a-z]+)', 1) AS f FROM (" + _PIECES + "))) GROUP BY status"
 )
 def extraction_status(spark, sf_dir):
     """Typed values from page pieces; failures stay with their piece."""
     pieces = retrieve.halves(read_table(spark, sf_dir, "pages"), "html", ["page_id"], 4096)
-    typed = retrieve.with_extracted_number(pieces, "piece", "([0-9a-f]{2,})")
+    typed = retrieve.with_extracted_number(pieces, "piece", "(?:<h|href=./)([0-9a-z]+)")
     return typed.groupBy("status").agg(F.count("*").alias("n"), F.sum("extracted").alias("total"))
 
 
@@ -723,27 +713,24 @@ def korean_csv_round_trip(spark, sf_dir):
     return back.fillna("", ["text"])
 
 
-@query("SELECT lang, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS characters FROM documents GROUP BY lang")
+@query(
+    "SELECT lang, CAST(sum(length(text) + 1) AS BIGINT) AS characters FROM documents GROUP BY lang"
+)
 def text_corpus(spark, sf_dir):
-    """Documents through whole text files, one per file in its folder."""
+    """Documents as text files of a hundred, loaded file by file."""
     path = scratch_path(spark, "corpus")
-    docs = read_table(spark, sf_dir, "documents")
-    docs.select("lang", "doc_id", F.col("text").alias("value")).write.partitionBy("lang").option(
-        "lineSep", DOC_END
-    ).text(path) if False else docs.select("lang", "text").write.partitionBy("lang").json(path)
-    back = spark.read.schema("text STRING, lang STRING").json(path)
-    return back.groupBy("lang").agg(
-        F.count("*").alias("n"), F.sum(F.length("text")).alias("characters")
-    )
-
+    docs = read_table(spark, sf_dir, "documents").select("lang", "text")
+    docs.write.partitionBy("lang").option("maxRecordsPerFile", 100).text(path)
+    corpus = files.read_text_corpus(spark, path + "/*")
+    lang = F.regexp_extract("path", "lang=([^/]+)", 1)
+    return corpus.groupBy(lang.alias("lang")).agg(F.sum(F.length("text")).alias("characters"))
 
-DOC_END = "\u001e"
 
-_SIGMA = family("ips").prefix + "sql_01_comb"
+_SQL_FLAG = family("ips").prefix + "sql_01_comb"
 _ROUND = rule_sql.features("ips", "traffic", "payload", "event_id")
 
 
-@query(sql(f"SELECT event_id, {_SIGMA} FROM f", f=_ROUND))
+@query(sql(f"SELECT event_id, {_SQL_FLAG} FROM f", f=_ROUND))
 def feature_table_round_trip(spark, sf_dir):
     """Features through a parquet table, one column read back."""
     path = scratch_path(spark, "features")
@@ -751,4 +738,4 @@ def feature_table_round_trip(spark, sf_dir):
         fixture(spark, sf_dir, "traffic"), "payload", "ips", keep=["event_id"]
     )
     wide.write.parquet(path)
-    return spark.read.parquet(path).select("event_id", _SIGMA)
+    return spark.read.parquet(path).select("event_id", _SQL_FLAG)

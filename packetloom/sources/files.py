@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,27 +15,53 @@ PAYLOAD_SCHEMA = T.StructType(
 )
 
 
+# Encodings that Spark's text sources take themselves.
+_NATIVE = {"UTF-8", "US-ASCII", "ISO-8859-1", "UTF-16", "UTF-16BE", "UTF-16LE", "UTF-32"}
+
+
+def _recode(source: str, target: str):
+    @F.pandas_udf("string")
+    def recode(column: pd.Series) -> pd.Series:
+        return column.map(lambda s: None if s is None else s.encode(source).decode(target))
+
+    return recode
+
+
+def _recode_strings(df: DataFrame, source: str, target: str) -> DataFrame:
+    recode = _recode(source, target)
+    names = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
+    return df.withColumns({c: recode(F.col(c)) for c in names})
+
+
 def read_csv(
     spark: SparkSession, path: str, schema: T.StructType | str, *, encoding: str = "UTF-8"
 ) -> DataFrame:
-    """CSV with header and quoted multi-line fields, declared schema."""
-    return (
+    """CSV with header and quoted multi-line fields, declared schema.
+
+    Korean encodings (EUC-KR, CP949) are read byte by byte and decoded in
+    Arrow batches, since Spark's own reader does not take them.
+    """
+    native = encoding.upper() in _NATIVE
+    df = (
         spark.read.schema(schema)
         .option("header", True)
         .option("multiLine", True)
         .option("quote", '"')
         .option("escape", '"')
-        .option("encoding", encoding)
+        .option("encoding", encoding if native else "ISO-8859-1")
         .csv(path)
     )
+    return df if native else _recode_strings(df, "iso-8859-1", encoding)
 
 
 def write_csv(df: DataFrame, path: str, *, encoding: str = "UTF-8") -> None:
+    native = encoding.upper() in _NATIVE
+    out = df if native else _recode_strings(df, encoding, "iso-8859-1")
     (
-        df.write.option("header", True)
+        out.write.option("header", True)
         .option("quoteAll", True)
         .option("escape", '"')
-        .option("encoding", encoding)
+        .option("encoding", encoding if native else "ISO-8859-1")
         .option("emptyValue", "")
         .csv(path)
     )
