@@ -62,8 +62,12 @@ def _base64_characters(segment: Column) -> Column:
 
 
 def base64_text(segment: Column) -> Column:
-    """Decoded text of a segment; NULL when it is no base64 of UTF-8 text."""
-    chars = _base64_characters(segment)
+    """Decoded text of a segment; NULL when it is no base64 of UTF-8 text.
+
+    A segment with characters beyond ASCII is no base64.
+    """
+    ascii_only = F.when(~F.rlike(segment, F.lit(r"[^\x00-\x7F]")), segment)
+    chars = _base64_characters(ascii_only)
     padded = F.rpad(chars, (F.ceil(F.length(chars) / 4) * 4).cast("int"), F.lit("="))
     return F.try_validate_utf8(F.unbase64(padded).cast("string"))
 

@@ -29,6 +29,7 @@ HOST_PATTERN = (
 )
 EMAIL_PATTERN = r"([a-zA-Z0-9_.-]++)@([a-zA-Z0-9_-]+\.)"
 IP = Mask("ip", "(?U)" + IP_PATTERN, "10.10.123.123", "10.10.123.123")
+# An empty host gets one stand-in.
 HOST = Mask("host", "(?id)" + HOST_PATTERN, "*****", "*****", 1)
 EMAIL = Mask(
     # a match starts where a run of address characters starts or where the

@@ -14,10 +14,9 @@ from packetloom.functions import matching
 from packetloom.functions.rulesets import Family, keyword_patterns
 from packetloom.functions.text import one_line, text_or_empty
 from packetloom.operators import rulebook
-from packetloom.operators.scoring import sigmoid
+from packetloom.operators.scoring import ATTACK, NORMAL, sigmoid
 
-# Direction labels and report sentences.
-ATTACK, NORMAL = "공격", "정상"
+# Report sentences.
 SAYS_ATTACK = "%s 가 공격 탐지 하였고 AI 탐지 키워드는 %s 입니다."
 SAYS_NORMAL = "%s 가 정상 인식 하였습니다."
 SAYS_AMPERSANDS = "& 특수문자가 총 %d건 입니다."

@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from packetloom.functions.text import total
 
 
+# Class labels and the sentence of the report.
+ATTACK, NORMAL = "공격", "정상"
+SAYS_PREDICTION = "인공지능에서 예측한 결과 %s일 확률이 %s%%입니다."
+
+
 def sigmoid(x: Column) -> Column:
     return 1 / (1 + F.exp(-x))
 
@@ -44,15 +49,20 @@ def binary_comment(p_attack: Column) -> Column:
     """The sentence about a two-class prediction."""
     attack = p_attack >= 0.5
     return F.format_string(
-        "predicted as %s with a probability of %d%%.",
-        F.when(attack, "attack").otherwise("normal"),
+        SAYS_PREDICTION,
+        F.when(attack, ATTACK).otherwise(NORMAL),
         as_percent(F.when(attack, p_attack).otherwise(1 - p_attack)),
     )
 
 
-# Class numbers of the log model.
-LOG_CLASSES = ("CMD Injection", "normal", "SQL Injection", "XSS")
-_SHORT = ("CMD", "normal", "SQL", "XSS")
+# Class numbers of the log model and the labels of the others.
+LOG_CLASSES = ("CMD Injection", "정상", "SQL Injection", "XSS")
+OTHER_CLASSES = (
+    "기타 (SQL, XSS, 정상)",
+    "기타 (CMD, SQL, XSS)",
+    "기타 (CMD, XSS, 정상)",
+    "기타 (CMD, SQL, 정상)",
+)
 
 
 def class_percentages(proba: Column) -> list[Column]:
@@ -71,10 +81,5 @@ def class_name(number: Column) -> Column:
 
 
 def other_classes(number: Column) -> Column:
-    """Label of the complement: ``other (SQL, XSS, normal)``."""
-    attacks = [n for n in _SHORT if n != "normal"]
-    labels = []
-    for name in _SHORT:
-        rest = [n for n in attacks if n != name] + ([] if name == "normal" else ["normal"])
-        labels.append("other (" + ", ".join(rest) + ")")
-    return F.element_at(F.array(*(F.lit(t) for t in labels)), number.cast("int") + 1)
+    """Label of everything but the class."""
+    return F.element_at(F.array(*(F.lit(c) for c in OTHER_CLASSES)), number.cast("int") + 1)

@@ -31,8 +31,8 @@ def traffic_features(spark, sf_dir, keep=("event_id", "label")):
 @query(
     sql(
         f"SELECT event_id, round(p, 9) AS attack_proba, "
-        "CASE WHEN p >= 0.5 THEN 'predicted as attack with a probability of ' || CAST(CAST(round(round(p, 2) * 100) AS INT) AS VARCHAR) || '%.' "
-        "ELSE 'predicted as normal with a probability of ' || CAST(CAST(round(round(1 - p, 2) * 100) AS INT) AS VARCHAR) || '%.' END AS comment "
+        "'인공지능에서 예측한 결과 ' || CASE WHEN p >= 0.5 THEN '공격' ELSE '정상' END || '일 확률이 ' || "
+        "CAST(CAST(round(round(CASE WHEN p >= 0.5 THEN p ELSE 1 - p END, 2) * 100) AS INT) AS VARCHAR) || '%입니다.' AS comment "
         f"FROM (SELECT event_id, {_PROBA} AS p FROM f)",
         f=_FEATURES,
     )
