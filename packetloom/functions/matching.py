@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from packetloom.functions.rulesets import NOT_WORD, Alt, Rule
-from packetloom.functions.text import FAR, all_of, any_of, count_literal, one_line, text_or_empty, total
+from packetloom.functions.text import any_of, one_line, text_or_empty
 
 GAP = "(.*?)"
 HTTP_SPLIT = "http/1."
@@ -70,13 +70,6 @@ class Scopes:
     odd: str = "__odd"
     http: str = "__http"
 
-    def column(self, scope: str) -> Column:
-        return F.col(getattr(self, scope))
-
-    @property
-    def names(self) -> list[str]:
-        return [self.raw, self.lc, self.n, self.head, self.tail, self.odd, self.http]
-
 
 SCOPES = Scopes()
 
@@ -110,107 +103,154 @@ def with_scopes(df: DataFrame, text_col: str, rules) -> DataFrame:
     return out
 
 
-def _in_order(text: Column, pieces: list[str]) -> Column:
-    conditions = [F.contains(text, F.lit(p)) for p in pieces]
-    at = F.locate(pieces[0], text)
-    for previous, piece in zip(pieces, pieces[1:]):
-        at = F.position(F.lit(piece), text, at + len(previous))
-        conditions.append(at > 0)
-    return all_of_in_turn(conditions)
+def text_literal(text: str) -> str:
+    """SQL literal of a text; raw, so that backslashes need no doubling."""
+    if "'" not in text:
+        return f"r'{text}'"
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def all_of_in_turn(conditions: list[Column]) -> Column:
-    out = conditions[0]
-    for c in conditions[1:]:
-        out = out & c
-    return out
+def has(column: str, text: str) -> str:
+    return f"contains({column}, {text_literal(text)})"
 
 
-def match(alt: Alt) -> Column:
-    """Does the alternative match?  Assumes no odd line breaks in the row."""
-    text = SCOPES.column(alt.scope)
-    if alt.literal:
-        hit = F.contains(text, F.lit(instr_text(alt)))
-    else:
-        pieces = [literal_of(p) for p in alt.pattern.split(GAP)]
-        if None not in pieces and len(pieces) == 1:
-            hit = F.contains(text, F.lit(pieces[0]))
-        elif None not in pieces and alt.scope not in ("lc", "raw"):
-            hit = _in_order(text, pieces)
-        else:
-            present = [F.contains(text, F.lit(t)) for t in required_texts(alt.pattern)]
-            hit = all_of_in_turn([*present, F.rlike(text, F.lit(alt.pattern))])
-    return _guarded(alt, hit)
+def _in_order(column: str, pieces: list[str]) -> str:
+    conditions = [has(column, p) for p in pieces]
+    at = f"locate({text_literal(pieces[0])}, {column})"
+    for previous, piece in zip(pieces, pieces[1:]):
+        at = f"locate({text_literal(piece)}, {column}, {at} + {len(previous)})"
+        conditions.append(f"{at} > 0")
+    return " AND ".join(conditions)
+
+
+def pattern_sql(pattern: str, column: str, *, one_line_text: bool) -> str:
+    """Condition that a pattern matches, cheapest exact form.
 
+    ``one_line_text`` says that the text holds none of the characters at which
+    the regex dot stops.
+    """
+    pieces = [literal_of(p) for p in pattern.split(GAP)]
+    if None not in pieces and len(pieces) == 1:
+        return has(column, pieces[0])
+    if None not in pieces and one_line_text:
+        return _in_order(column, pieces)
+    present = [has(column, t) for t in required_texts(pattern)]
+    return " AND ".join([*present, f"{column} RLIKE {text_literal(pattern)}"])
 
-def match_by_regex(alt: Alt) -> Column:
-    """The same answer with the regex engine alone."""
-    text = SCOPES.column(alt.scope)
+
+def match_sql(alt: Alt) -> str:
+    """Does the alternative match?  For rows without odd line breaks."""
+    column = getattr(SCOPES, alt.scope)
     if alt.literal:
-        hit = F.contains(text, F.lit(instr_text(alt)))
+        hit = has(column, instr_text(alt))
     else:
-        hit = F.rlike(text, F.lit(alt.pattern))
+        hit = pattern_sql(alt.pattern, column, one_line_text=alt.scope not in ("lc", "raw"))
     return _guarded(alt, hit)
 
 
-def _guarded(alt: Alt, hit: Column) -> Column:
+def _guarded(alt: Alt, hit: str) -> str:
     if alt.needs:
-        hit = F.contains(F.col(SCOPES.n), F.lit(literal_of(alt.needs))) & hit
+        hit = f"{has(SCOPES.n, literal_of(alt.needs))} AND {hit}"
     if alt.http_guard:
-        hit = F.col(SCOPES.http) & hit
-    return hit
+        hit = f"{SCOPES.http} AND {hit}"
+    return f"({hit})"
 
 
 def _has_plain_gap(alt: Alt) -> bool:
     return not alt.literal and GAP in alt.pattern and alt.scope not in ("lc", "raw")
 
 
-def merged_regex(rule: Rule) -> Column:
+def merged_regex_sql(rule: Rule) -> str:
     """All alternatives of a rule with one regex per scope and guard."""
     groups: dict[tuple, list[Alt]] = {}
     for a in rule.alts:
         groups.setdefault((a.scope, a.needs, a.http_guard, a.literal), []).append(a)
     hits = []
-    for (_, _, _, literal), alts in groups.items():
-        if literal:
-            hits += [match_by_regex(a) for a in alts]
+    for alts in groups.values():
+        first, column = alts[0], getattr(SCOPES, alts[0].scope)
+        if first.literal:
+            hits += [_guarded(a, has(column, instr_text(a))) for a in alts]
         else:
             joined = "|".join(a.pattern for a in alts)
-            first = alts[0]
-            hits.append(
-                _guarded(first, F.rlike(SCOPES.column(first.scope), F.lit(joined)))
-            )
-    return any_of(hits)
+            hits.append(_guarded(first, f"{column} RLIKE {text_literal(joined)}"))
+    return " OR ".join(hits)
 
 
-def rule_column(rule: Rule) -> Column:
-    """INT feature value of a rule over the prepared text columns."""
+def rule_sql(rule: Rule) -> str:
+    """INT feature value of a rule over the prepared text columns.
+
+    SQL text rather than Column calls: a rule set has about a thousand of them,
+    and each is a round trip to the JVM.
+    """
     if rule.kind == "count":
-        return total([_occurrences(a) for a in rule.alts]).cast("int")
-    fast = any_of([match(a) for a in rule.alts])
+        return "CAST(" + " + ".join(_occurrences_sql(a) for a in rule.alts) + " AS INT)"
+    fast = " OR ".join(match_sql(a) for a in rule.alts)
     if any(_has_plain_gap(a) for a in rule.alts):
-        fast = F.when(F.col(SCOPES.odd), merged_regex(rule)).otherwise(fast)
-    return fast.cast("int")
+        fast = f"CASE WHEN {SCOPES.odd} THEN {merged_regex_sql(rule)} ELSE {fast} END"
+    return f"CAST(({fast}) AS INT)"
 
 
-def _occurrences(alt: Alt) -> Column:
-    text = SCOPES.column(alt.scope)
+def rule_column(rule: Rule) -> Column:
+    return F.expr(rule_sql(rule))
+
+
+def _occurrences_sql(alt: Alt) -> str:
+    column = getattr(SCOPES, alt.scope)
     plain = literal_of(alt.pattern)
     if plain is not None:
-        return count_literal(text, plain)
-    present = all_of([F.contains(text, F.lit(t)) for t in required_texts(alt.pattern)])
-    return F.when(present, F.regexp_count(text, F.lit(alt.pattern))).otherwise(0)
-
-
-__all__ = [
-    "FAR",
-    "GAP",
-    "SCOPES",
-    "literal_of",
-    "match",
-    "match_by_regex",
-    "merged_regex",
-    "required_texts",
-    "rule_column",
-    "with_scopes",
-]
+        gone = f"length({column}) - length(replace({column}, {text_literal(plain)}, ''))"
+        return f"CAST(({gone}) / {len(plain)} AS INT)"
+    present = " AND ".join(has(column, t) for t in required_texts(alt.pattern))
+    return f"CASE WHEN {present} THEN regexp_count({column}, {text_literal(alt.pattern)}) ELSE 0 END"
+
+
+# --- one alternation for many patterns --------------------------------------
+
+
+def alternation(patterns: list[str]) -> str:
+    """The patterns joined by ``|`` with common beginnings written once.
+
+    Matches exactly what the plain join matches, in the same order of
+    preference: neighbours are only grouped by a literal first character, and
+    patterns with different first characters cannot match at one position.
+    """
+    return _grouped([_characters(p) for p in dict.fromkeys(patterns)])
+
+
+def _characters(pattern: str) -> list[tuple[str, bool]]:
+    """Pattern cut into literal characters and, from the first gap on, a rest."""
+    out: list[tuple[str, bool]] = []
+    rest = pattern
+    while rest:
+        escaped = _ESCAPED.match(rest)
+        if escaped:
+            out.append((escaped.group(0), True))
+            rest = rest[escaped.end() :]
+        elif not _META.match(rest) and not (len(rest) > 1 and rest[1] in "*+?{"):
+            out.append((rest[0], True))
+            rest = rest[1:]
+        else:
+            out.append((rest, False))
+            rest = ""
+    return out
+
+
+def _grouped(cut: list[list[tuple[str, bool]]]) -> str:
+    branches: list[str] = []
+    i = 0
+    while i < len(cut):
+        if not cut[i] or not cut[i][0][1]:
+            branches.append(cut[i][0][0] if cut[i] else "")
+            i += 1
+            continue
+        # a run of patterns that all start with a literal character
+        run: dict[str, list] = {}
+        while i < len(cut) and cut[i] and cut[i][0][1]:
+            run.setdefault(cut[i][0][0], []).append(cut[i][1:])
+            i += 1
+        for first, rests in run.items():
+            if len(rests) == 1:
+                branches.append(first + "".join(text for text, _ in rests[0]))
+            else:
+                branches.append(f"{first}(?:{_grouped(rests)})")
+    return "|".join(branches)

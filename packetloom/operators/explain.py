@@ -27,22 +27,17 @@ SAYS_DIRECTORIES = "상위 디렉토리 접근이 총 %d건 입니다."
 def feature_means(df: DataFrame, features: list[str]) -> dict[str, float]:
     """Baseline of a linear explanation: one row of means, fetched once."""
     row = df.agg(*(F.avg(f).alias(f) for f in features)).first()
-    return {f: float(row[f]) for f in features}
+    return {f: float(row[f] or 0.0) for f in features}
 
 
 def attributions(coefs: dict[str, float], means: dict[str, float]) -> Column:
     """Array of ``feature_no, feature, value, phi``; exact for linear logits."""
-    return F.array(
-        *(
-            F.struct(
-                F.lit(no).alias("feature_no"),
-                F.lit(f).alias("feature"),
-                F.col(f).cast("double").alias("value"),
-                (F.lit(w) * (F.col(f) - F.lit(means[f]))).alias("phi"),
-            )
-            for no, (f, w) in enumerate(coefs.items())
-        )
+    entries = ", ".join(
+        f"named_struct('feature_no', {no}, 'feature', '{f}', 'value', CAST({f} AS DOUBLE), "
+        f"'phi', {w!r}D * ({f} - {means[f]!r}D))"
+        for no, (f, w) in enumerate(coefs.items())
     )
+    return F.expr(f"array({entries})")
 
 
 def with_importance(
@@ -161,14 +156,15 @@ def _split_alternatives(fam: Family):
     return others, agents
 
 
-def union_pattern(rules) -> str:
-    """One alternation of all keyword patterns, in rule order."""
-    return "|".join(dict.fromkeys(p for r in rules for p in keyword_patterns(r)))
+def keyword_union(rules) -> list[str]:
+    """All keyword patterns in rule order."""
+    return list(dict.fromkeys(p for r in rules for p in keyword_patterns(r)))
 
 
 def fragments(lower_text: Column, rules) -> Column:
     """Texts that the rules' patterns cover, left to right, not overlapping."""
-    return F.regexp_extract_all(lower_text, F.lit(union_pattern(rules)), F.lit(0))
+    pattern = matching.alternation(keyword_union(rules))
+    return F.regexp_extract_all(lower_text, F.lit(pattern), F.lit(0))
 
 
 def agent_text(text: Column) -> Column:
@@ -187,24 +183,18 @@ def agent_text(text: Column) -> Column:
     )
 
 
-def _hits(fragment: Column, rules, names: dict[str, int]) -> Column:
+def _hits_sql(fragment: str, rules) -> str:
     """Array of ``feature_no, alt_no, keyword`` for one fragment."""
     cases = []
-    for r in rules:
+    for feature_no, r in enumerate(rules):
         for alt_no, pattern in enumerate(keyword_patterns(r)):
-            plain = matching.literal_of(pattern)
-            if plain is not None:
-                hit = F.contains(fragment, F.lit(plain))
-            else:
-                needed = [F.contains(fragment, F.lit(t)) for t in matching.required_texts(pattern)]
-                hit = matching.all_of_in_turn([*needed, F.rlike(fragment, F.lit(pattern))])
-            entry = F.struct(
-                F.lit(names[r.feature]).alias("feature_no"),
-                F.lit(alt_no).alias("alt_no"),
-                F.lit(rulebook.pretty_text(pattern)).alias("keyword"),
+            hit = matching.pattern_sql(pattern, fragment, one_line_text=False)
+            keyword = matching.text_literal(rulebook.pretty_text(pattern))
+            cases.append(
+                f"CASE WHEN {hit} THEN named_struct('feature_no', {feature_no}, "
+                f"'alt_no', {alt_no}, 'keyword', {keyword}) END"
             )
-            cases.append(F.when(hit, entry))
-    return F.filter(F.array(*cases), lambda x: x.isNotNull())
+    return f"filter(array({', '.join(cases)}), x -> x IS NOT NULL)"
 
 
 def evidence(df: DataFrame, text_col: str, ids: list[str], fam: Family) -> DataFrame:
@@ -216,7 +206,6 @@ def evidence(df: DataFrame, text_col: str, ids: list[str], fam: Family) -> DataF
     costs nothing extra.
     """
     others, agents = _split_alternatives(fam)
-    names = {r.feature: i for i, r in enumerate(fam.rules)}
     found = df.withColumn("__line", one_line(text_or_empty(F.col(text_col))))
     parts = [fragments(F.lower("__line"), others)]
     if agents:
@@ -227,7 +216,7 @@ def evidence(df: DataFrame, text_col: str, ids: list[str], fam: Family) -> DataF
         *ids,
         (F.col("__at") + 1).alias("fragment_no"),
         "fragment",
-        F.explode(_hits(F.col("fragment"), fam.rules, names)).alias("__h"),
+        F.explode(F.expr(_hits_sql("fragment", fam.rules))).alias("__h"),
     ).select(
         *ids,
         "fragment_no",

@@ -134,16 +134,11 @@ def to_long(df: DataFrame, ids: list[str], features: list[str], *, nonzero: bool
     ``nonzero`` drops the zero values before anything is shuffled, the long
     form of "drop the all-zero columns".
     """
-    cells = F.array(
-        *(
-            F.struct(
-                F.lit(no).alias("feature_no"),
-                F.lit(name).alias("feature"),
-                F.col(name).cast("double").alias("value"),
-            )
-            for no, name in enumerate(features)
-        )
+    entries = ", ".join(
+        f"named_struct('feature_no', {no}, 'feature', '{f}', 'value', CAST({f} AS DOUBLE))"
+        for no, f in enumerate(features)
     )
+    cells = F.expr(f"array({entries})")
     if nonzero:
         cells = F.filter(cells, lambda x: x["value"] != 0)
     return df.select(*ids, F.inline(cells))

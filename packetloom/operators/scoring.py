@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from packetloom.functions.text import total
-
 
 # Class labels and the sentence of the report.
 ATTACK, NORMAL = "공격", "정상"
@@ -19,7 +17,8 @@ def sigmoid(x: Column) -> Column:
 
 def linear_score(coefs: dict[str, float], intercept: float) -> Column:
     """Logit from the feature columns of one row; no join, no shuffle."""
-    return F.lit(intercept) + total([F.col(f) * F.lit(w) for f, w in coefs.items()])
+    terms = " + ".join(f"{f} * ({w!r}D)" for f, w in coefs.items())
+    return F.expr(f"{intercept!r}D + {terms}")
 
 
 def with_probability(

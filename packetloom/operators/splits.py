@@ -69,7 +69,7 @@ def with_batch_number(
         n_ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     steps = [i / n_ranges for i in range(1, n_ranges)]
     cuts = sorted(set(df.approxQuantile(order_col, steps, 0.25 / n_ranges))) if steps else []
-    edges = [float("-inf"), *cuts, float("inf")]
+    edges = [float("-inf"), *(cuts or [0.0]), float("inf")]
     ranged = Bucketizer(splits=edges, inputCol="__order", outputCol="__range").transform(
         df.withColumn("__order", F.col(order_col).cast("double"))
     )

@@ -102,9 +102,9 @@ def _evidence_parts(fam) -> dict[str, str]:
     one, zero = "string_split(line, 'HTTP/1.1')", "string_split(line, 'HTTP/1.0')"
     return dict(
         lines="SELECT event_id, translate(coalesce(payload, ''), chr(10) || chr(13) || chr(9), '   ') AS line FROM traffic",
-        frags=f"SELECT event_id, list_concat(regexp_extract_all(lower(line), {quoted(explain.union_pattern(others))}), "
+        frags=f"SELECT event_id, list_concat(regexp_extract_all(lower(line), {quoted('|'.join(explain.keyword_union(others)))}), "
         f"regexp_extract_all(lower(CASE WHEN len({one}) = 2 THEN {one}[2] WHEN len({zero}) = 2 THEN {zero}[2] ELSE '' END), "
-        f"{quoted(explain.union_pattern(agents))})) AS parts FROM lines",
+        f"{quoted('|'.join(explain.keyword_union(agents)))})) AS parts FROM lines",
         frag_rows="SELECT event_id, unnest(parts) AS fragment, CAST(generate_subscripts(parts, 1) AS INT) AS fragment_no FROM frags",
         tested="SELECT fragment, h.feature AS feature, h.alt_no AS alt_no, h.keyword AS keyword FROM ("
         f"SELECT fragment, unnest(list_filter([{', '.join(cases)}], lambda x: x IS NOT NULL)) AS h "
