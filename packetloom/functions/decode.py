@@ -26,14 +26,13 @@ def double_percent_decode(c: Column) -> Column:
     return percent_decode(percent_decode(c))
 
 
-def _base64_characters(segment: Column) -> Column:
-    """The characters a lenient base64 decoder takes from a segment, or NULL.
+def _base64_characters(kept: Column) -> Column:
+    """The characters a lenient decoder takes from base64 text, or NULL.
 
-    Characters outside the alphabet are skipped.  A padding that completes a
-    group of four ends the data; padding anywhere else is skipped.  Without
-    such an end the characters must fill whole groups.
+    A padding that completes a group of four ends the data; padding anywhere
+    else is skipped.  Without such an end the characters must fill whole
+    groups.
     """
-    kept = F.regexp_replace(segment, _BASE64_ONLY, "")
     parts = F.split(kept, "=")
     start = F.struct(
         F.get(parts, F.lit(0)).alias("chars"),
@@ -58,16 +57,10 @@ def _base64_characters(segment: Column) -> Column:
     rest = F.slice(parts, F.lit(2), F.size(parts))
     return F.when(
         F.contains(kept, F.lit("=")), F.aggregate(rest, start, step, finish)
-    ).otherwise(F.when(F.length(kept) % 4 == 0, kept))
+    ).otherwise(kept)
 
 
-def base64_text(segment: Column) -> Column:
-    """Decoded text of a segment; NULL when it is no base64 of UTF-8 text.
-
-    A segment with characters beyond ASCII is no base64.
-    """
-    ascii_only = F.when(~F.rlike(segment, F.lit(r"[^\x00-\x7F]")), segment)
-    chars = _base64_characters(ascii_only)
+def _decoded(chars: Column) -> Column:
     padded = F.rpad(chars, (F.ceil(F.length(chars) / 4) * 4).cast("int"), F.lit("="))
     return F.try_validate_utf8(F.unbase64(padded).cast("string"))
 
@@ -76,11 +69,31 @@ def decode_base64_segments(c: Column) -> Column:
     """Replace the base64 segments between percent escapes by their text.
 
     As in the online decoder, every occurrence of a decodable segment is
-    replaced, in segment order.
+    replaced, in segment order.  Characters outside the base64 alphabet are
+    skipped; a segment beyond ASCII, or whose bytes are no UTF-8 text, stays.
     """
-    segments = F.split(c, r"(?U)%\w\w")
+    # step by step over arrays, so that each value is computed once per segment
+    segments = F.filter(
+        F.split(c, r"(?U)%\w\w"), lambda s: ~F.rlike(s, F.lit(r"[^\x00-\x7F]"))
+    )
+    kept = F.filter(
+        F.transform(
+            segments,
+            lambda s: F.struct(
+                s.alias("segment"), F.regexp_replace(s, _BASE64_ONLY, "").alias("kept")
+            ),
+        ),
+        lambda t: (F.length(t["kept"]) > 0)
+        & ((F.length(t["kept"]) % 4 == 0) | F.contains(t["kept"], F.lit("="))),
+    )
     texts = F.transform(
-        segments, lambda s: F.struct(s.alias("segment"), base64_text(s).alias("text"))
+        F.transform(
+            kept,
+            lambda t: F.struct(
+                t["segment"].alias("segment"), _base64_characters(t["kept"]).alias("chars")
+            ),
+        ),
+        lambda t: F.struct(t["segment"].alias("segment"), _decoded(t["chars"]).alias("text")),
     )
     decodable = F.filter(texts, lambda t: F.length(t["text"]) > 0)
     return F.aggregate(decodable, c, lambda acc, t: F.replace(acc, t["segment"], t["text"]))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from packetloom.operators.lookup import with_small_table
+
 
 def confusion_counts(df: DataFrame, label_col: str, predicted_col: str) -> DataFrame:
     """Long form: one row per pair that occurs."""
@@ -91,3 +93,9 @@ def class_weights(df: DataFrame, label_col: str) -> DataFrame:
     counts = df.groupBy(F.col(label_col).alias("label")).agg(F.count("*").alias("n"))
     everything = df.agg(F.count("*").alias("n")).scalar()
     return counts.withColumn("weight", everything / F.col("n"))
+
+
+def with_class_weight(df: DataFrame, label_col: str) -> DataFrame:
+    """Add the weight of each row's class."""
+    weights = class_weights(df, label_col).select(F.col("label").alias(label_col), "weight")
+    return with_small_table(df, weights, [label_col])

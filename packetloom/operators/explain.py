@@ -68,15 +68,27 @@ def with_importance(
 
 
 def top_features(df: DataFrame, ids: list[str], *, k: int = 10, col: str = "explained") -> DataFrame:
-    """One row per payload and rank, importance in percent."""
+    """One row per payload and rank, importance in percent.
+
+    With the ``evidence`` column the keywords of the feature come along, ``-``
+    when there are none.
+    """
+    found = ["evidence"] if "evidence" in df.columns else []
     top = F.posexplode(F.slice(F.col(col), 1, k)).alias("__at", "__x")
-    return df.select(*ids, top).select(
+    rows = df.select(*ids, *found, top)
+    keywords = []
+    if found:
+        mine = F.filter("evidence", lambda e: e["feature_no"] == F.col("__x.feature_no"))
+        joined = F.array_join(F.transform(mine, lambda e: e["keyword"]), ", ")
+        keywords = [F.regexp_replace(joined, "^$", "-").alias("keywords")]
+    return rows.select(
         *ids,
         (F.col("__at") + 1).alias("rank"),
         F.col("__x.feature").alias("feature"),
         F.col("__x.value").alias("value"),
         F.round(F.col("__x.importance") * 100, 2).alias("importance_percent"),
         F.col("__x.direction").alias("direction"),
+        *keywords,
     )
 
 
@@ -197,20 +209,33 @@ def _hits_sql(fragment: str, rules) -> str:
     return f"filter(array({', '.join(cases)}), x -> x IS NOT NULL)"
 
 
-def evidence(df: DataFrame, text_col: str, ids: list[str], fam: Family) -> DataFrame:
-    """``ids, fragment_no, fragment, feature, alt_no, keyword``.
+def _with_fragments(df: DataFrame, text_col: str, fam: Family) -> DataFrame:
+    """Add ``__fragments``; those of the user-agent rules come last.
 
-    Fragments of the user-agent rules are only looked for behind a single HTTP
-    version; they follow the other fragments.  The rules are part of the
-    expression: no join, no shuffle, and a fragment that occurs everywhere
-    costs nothing extra.
+    User-agent fragments are only looked for behind a single HTTP version.
     """
     others, agents = _split_alternatives(fam)
     found = df.withColumn("__line", one_line(text_or_empty(F.col(text_col))))
     parts = [fragments(F.lower("__line"), others)]
     if agents:
         parts.append(fragments(F.lower(agent_text(F.col("__line"))), agents))
-    rows = found.select(*ids, F.posexplode(F.concat(*parts)).alias("__at", "fragment"))
+    return found.withColumn("__fragments", F.concat(*parts)).drop("__line")
+
+
+def with_evidence(df: DataFrame, text_col: str, fam: Family) -> DataFrame:
+    """Add ``evidence``: array of ``feature_no, alt_no, keyword`` in text order."""
+    hits = F.expr(f"flatten(transform(__fragments, f -> {_hits_sql('f', fam.rules)}))")
+    return _with_fragments(df, text_col, fam).withColumn("evidence", hits).drop("__fragments")
+
+
+def evidence(df: DataFrame, text_col: str, ids: list[str], fam: Family) -> DataFrame:
+    """``ids, fragment_no, fragment, feature, alt_no, keyword``.
+
+    The rules are part of the expression: no join, no shuffle, and a fragment
+    that occurs everywhere costs nothing extra.
+    """
+    found = _with_fragments(df, text_col, fam)
+    rows = found.select(*ids, F.posexplode("__fragments").alias("__at", "fragment"))
     feature_names = F.array(*(F.lit(f) for f in fam.features))
     return rows.select(
         *ids,

@@ -1,0 +1,25 @@
+"""Joins with tables that are small because of what they are."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+MAX_ROWS = 10_000
+
+
+def with_small_table(
+    df: DataFrame, table: DataFrame, on: list[str], *, how: str = "left", max_rows: int = MAX_ROWS
+) -> DataFrame:
+    """Join a table of one row per class, label or range.
+
+    Spark cannot tell the size of an aggregated table while it plans, and would
+    shuffle the large side by the key, hot labels included.  The rows are
+    therefore fetched up to a limit and broadcast.  Above the limit it is an
+    ordinary join.
+    """
+    rows = table.take(max_rows + 1)
+    if len(rows) > max_rows:
+        return df.join(table, on, how)
+    fetched = df.sparkSession.createDataFrame(rows, table.schema)
+    return df.join(F.broadcast(fetched), on, how)

@@ -73,7 +73,12 @@ def vocabulary(spark: SparkSession, fam: Family) -> DataFrame:
     )
 
 
-def words(df: DataFrame, text_col: str) -> DataFrame:
-    """Distinct words; duplicates go before the shuffle, first within a row."""
+def known_words(vocabulary_words: DataFrame, df: DataFrame, text_col: str) -> DataFrame:
+    """The vocabulary words that occur in the texts.
+
+    Everything else is dropped where it is read; only vocabulary words are
+    shuffled, each at most once per task.
+    """
     found = F.array_distinct(F.split(F.lower(F.col(text_col)), "[^a-z0-9]+"))
-    return df.select(F.explode(found).alias("word")).distinct()
+    words = df.select(F.explode(found).alias("word"))
+    return words.join(vocabulary_words, "word", "left_semi").distinct()

@@ -6,6 +6,8 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from packetloom.operators.lookup import with_small_table
+
 
 def stratified_split(
     df: DataFrame, id_col: str, label_col: str | None, seed: str, test_percent: int
@@ -15,7 +17,8 @@ def stratified_split(
     Rows are ordered by a hash of id and seed; the first ``n * test_percent /
     100`` of a label (rounded down) are the test part.  Counts per hash bucket
     find the bucket that holds the border, and only that bucket is ranked, so a
-    label with nearly all rows never meets in one task.
+    label with nearly all rows never meets in one task and the table itself is
+    not shuffled.
     """
     label = F.lit("all") if label_col is None else F.coalesce(F.col(label_col).cast("string"), F.lit(""))
     keyed = df.withColumn("__label", label).withColumn(
@@ -36,24 +39,23 @@ def stratified_split(
             (F.col("__quota") - (F.col("__upto") - F.col("__n"))).alias("__rest"),
         )
     )
-    ranked = (
-        keyed.select("__label", "__bucket", "__hash", id_col)
-        .join(borders, "__label")
-        .where(F.col("__bucket") == F.col("__border"))
-        .withColumn(
-            "__rank",
-            F.row_number().over(
-                Window.partitionBy("__label", "__bucket").orderBy("__hash", id_col)
-            ),
-        )
+    at_border = with_small_table(keyed, borders, ["__label"], how="inner").where(
+        F.col("__bucket") == F.col("__border")
+    )
+    rank = F.row_number().over(
+        Window.partitionBy("__label", "__bucket").orderBy("__hash", id_col)
+    )
+    last = (
+        at_border.withColumn("__rank", rank)
         .where(F.col("__rank") == F.col("__rest"))
         .select("__label", F.struct("__hash", id_col).alias("__last"))
     )
-    joined = keyed.join(ranked, "__label", "left")
     test = F.struct("__hash", id_col) <= F.col("__last")
-    return joined.withColumn(
-        "part", F.when(F.coalesce(test, F.lit(False)), "test").otherwise("train")
-    ).drop("__label", "__hash", "__bucket", "__last")
+    return (
+        with_small_table(keyed, last, ["__label"])
+        .withColumn("part", F.when(F.coalesce(test, F.lit(False)), "test").otherwise("train"))
+        .drop("__label", "__hash", "__bucket", "__last")
+    )
 
 
 def with_batch_number(

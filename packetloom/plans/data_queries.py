@@ -83,7 +83,7 @@ def squad_flattened(spark, sf_dir):
     """Articles written as JSON lines, read back and flattened."""
     rows = datasets.with_answer_span(squad_rows(spark, sf_dir))
     path = scratch_path(spark, "squad")
-    files.write_json_lines(rows.select(F.struct(datasets.squad_article("row_id").alias("a")).alias("x")).select("x.a.*"), path)
+    files.write_json_lines(rows.select(datasets.squad_article("row_id").alias("a")).select("a.*"), path)
     articles = files.read_json_lines(spark, path, f"paragraphs array<{datasets.PARAGRAPH}>")
     return datasets.flatten_squad(articles.select(F.struct("*").alias("article")), "article")
 
@@ -143,7 +143,7 @@ def _instructions(spark, sf_dir):
 def instruction_records(spark, sf_dir):
     """Instruction data written as nested documents and read back."""
     path = scratch_path(spark, "instructions")
-    nested = files.nested_records(_instructions(spark, sf_dir), "train", lines=16)
+    nested = files.nested_records(_instructions(spark, sf_dir), "train")
     files.write_json_lines(nested, path)
     record = "struct<instruction:string,input:string,output:string>"
     docs = files.read_json_lines(spark, path, f"train array<{record}>")

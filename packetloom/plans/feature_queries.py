@@ -331,8 +331,9 @@ def rule_catalogue(spark, sf_dir):
 )
 def new_rule_words(spark, sf_dir):
     """Pieces of the rule patterns that the documents do not use as words."""
-    known = rulebook.words(read_table(spark, sf_dir, "documents"), "text")
-    return rulebook.vocabulary(spark, family("waf_v1")).join(known, "word", "left_anti")
+    vocabulary = rulebook.vocabulary(spark, family("waf_v1"))
+    known = rulebook.known_words(vocabulary, read_table(spark, sf_dir, "documents"), "text")
+    return vocabulary.join(known, "word", "left_anti")
 
 
 @query(

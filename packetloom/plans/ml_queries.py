@@ -53,9 +53,9 @@ def boosted_tree_scores(spark, sf_dir):
 def logistic_model_report(spark, sf_dir):
     """Quality of a weighted logistic model on the held-out part."""
     train, test = _both_parts(_attack_table(spark, sf_dir))
-    weights = evaluate.class_weights(train, "target").select(F.col("label").alias("target"), "weight")
+    weighted = evaluate.with_class_weight(train, "target")
     model = learn.fit_logistic(
-        train.join(weights, "target"), TRAINING.features, "target", weight_col="weight", maxIter=20
+        weighted, TRAINING.features, "target", weight_col="weight", maxIter=20
     )
     return evaluate.classification_report(learn.score(model, test), "target", "prediction")
 
@@ -143,9 +143,8 @@ def agent_class_model(spark, sf_dir):
 def text_model_scores(spark, sf_dir):
     """Class-weighted linear model on hashed payload tokens."""
     rows = fixture(spark, sf_dir, "traffic").where("payload IS NOT NULL")
-    weights = evaluate.class_weights(rows, "label").select("label", "weight")
     path = scratch_path(spark, "texts")
-    rows.join(weights, "label").select(
+    evaluate.with_class_weight(rows, "label").select(
         "event_id", "payload", "weight", (F.col("label") == "anomalies").cast("double").alias("target")
     ).write.parquet(path)
     table = spread(spark.read.parquet(path))

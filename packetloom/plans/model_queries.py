@@ -129,17 +129,17 @@ def keyword_evidence(spark, sf_dir):
     return explain.evidence(fixture(spark, sf_dir, "traffic"), "payload", ID, IPS)
 
 
-def _explained(spark, sf_dir):
-    rows = traffic_features(spark, sf_dir)
-    means = explain.feature_means(rows, IPS.features)
-    return explain.with_importance(rows, explain.attributions(COEFS, means))
+@query(sql("SELECT event_id, feature, keywords FROM keyword_rows", **_EVIDENCE))
+def keyword_lists(spark, sf_dir):
+    """The keywords of every payload and feature in one text."""
+    found = explain.evidence(fixture(spark, sf_dir, "traffic"), "payload", ID, IPS)
+    return explain.keyword_lists(found, ID)
 
 
-def _top10(spark, sf_dir):
-    top = explain.top_features(_explained(spark, sf_dir), ID)
-    found = explain.evidence(fixture(spark, sf_dir, "traffic"), "payload", ID, IPS)
-    described = explain.describe(top, samples.FEATURE_DEFS.to_df(spark))
-    return explain.with_keywords(described, explain.keyword_lists(found, ID), ID)
+def _explained(spark, sf_dir, keep=("event_id", "label")):
+    rows = traffic_features(spark, sf_dir, keep)
+    means = explain.feature_means(rows, IPS.features)
+    return explain.with_importance(rows, explain.attributions(COEFS, means))
 
 
 _TOP10_PARTS = dict(
@@ -165,8 +165,10 @@ _TOP10_PARTS = dict(
 )
 def explanation_top10(spark, sf_dir):
     """The ten most important features with description, value and keywords."""
-    rows = _top10(spark, sf_dir)
-    return rows.withColumn("feature", feat.strip_prefix(F.col("feature"), "ips_"))
+    rows = _explained(spark, sf_dir, ("event_id", "payload"))
+    top = explain.top_features(explain.with_evidence(rows, "payload", IPS), ID)
+    described = explain.describe(top, samples.FEATURE_DEFS.to_df(spark))
+    return described.withColumn("feature", feat.strip_prefix(F.col("feature"), "ips_"))
 
 
 @query(
@@ -182,7 +184,10 @@ def explanation_top10(spark, sf_dir):
 )
 def explanation_sentences(spark, sf_dir):
     """A sentence for each of the three most important features."""
-    return explain.sentences(_top10(spark, sf_dir)).select("event_id", "rank", "statement")
+    top = explain.top_features(_explained(spark, sf_dir), ID, k=3)
+    found = explain.evidence(fixture(spark, sf_dir, "traffic"), "payload", ID, IPS)
+    rows = explain.with_keywords(top, explain.keyword_lists(found, ID), ID)
+    return explain.sentences(rows).select("event_id", "rank", "statement")
 
 
 @query(

@@ -89,11 +89,13 @@ def write_json_lines(df: DataFrame, path: str) -> None:
     df.write.json(path)
 
 
-def nested_records(df: DataFrame, field: str, *, lines: int) -> DataFrame:
-    """Rows as ``{field: [records]}``, spread over ``lines`` documents."""
-    record = F.struct(*df.columns)
-    key = F.pmod(F.xxhash64(*df.columns), F.lit(lines))
-    return df.groupBy(key.alias("__doc")).agg(F.collect_list(record).alias(field)).drop("__doc")
+def nested_records(df: DataFrame, field: str) -> DataFrame:
+    """Rows as ``{field: [record]}`` documents, one per line.
+
+    A document per record keeps the write parallel; ``read_json_field`` and the
+    line reader take documents with any number of records.
+    """
+    return df.select(F.array(F.struct(*df.columns)).alias(field))
 
 
 def read_text_corpus(spark: SparkSession, path: str) -> DataFrame:
