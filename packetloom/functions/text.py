@@ -47,14 +47,6 @@ def any_of(conditions: list[Column]) -> Column:
     return _tree(conditions, lambda a, b: a | b)
 
 
-def all_of(conditions: list[Column]) -> Column:
-    return _tree(conditions, lambda a, b: a & b)
-
-
-def total(columns: list[Column]) -> Column:
-    return _tree(columns, lambda a, b: a + b)
-
-
 def _tree(items: list[Column], join) -> Column:
     if len(items) == 1:
         return items[0]
@@ -62,6 +54,14 @@ def _tree(items: list[Column], join) -> Column:
     return join(_tree(items[:half], join), _tree(items[half:], join))
 
 
+def recode(c: Column, names: dict[str, str], *, otherwise: str | None = "") -> Column:
+    """Values by new name; values without one get ``otherwise`` (None keeps them)."""
+    out = None
+    for old, new in names.items():
+        out = F.when(c == old, new) if out is None else out.when(c == old, new)
+    return out.otherwise(c if otherwise is None else otherwise)
+
+
 def dash_if_empty(c: Column) -> Column:
     return F.when(c == "", "-").otherwise(c)
 

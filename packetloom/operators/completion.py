@@ -91,6 +91,7 @@ def normal_answer(c: Column) -> Column:
 
 
 # Questions of the two stages and the labels of the report.
+IMPORTANCE_QUESTION = "피처 중요도의 AI 탐지 키워드 기반으로 설명을 작성해주세요."
 QUESTIONS = {
     "reason": ("base", "입력된 payload완 연관된 공격 명 1개와 판단 근거를 작성해주세요."),
     "tactic": ("base", "입력된 payload와 연관된 Tactics ID 1개와 판단 근거를 작성해주세요."),

@@ -92,6 +92,29 @@ def top_features(df: DataFrame, ids: list[str], *, k: int = 10, col: str = "expl
     )
 
 
+def top_as_text(df: DataFrame, out_col: str, *, k: int = 10, col: str = "explained") -> DataFrame:
+    """Add the top features of a payload as text, a line each, for a prompt."""
+
+    def keywords(no: Column) -> Column:
+        mine = F.filter("evidence", lambda e: e["feature_no"] == no)
+        return F.regexp_replace(
+            F.array_join(F.transform(mine, lambda e: e["keyword"]), ", "), "^$", "-"
+        )
+
+    lines = F.transform(
+        F.slice(F.col(col), 1, k),
+        lambda x, i: F.concat_ws(
+            " | ",
+            (i + 1).cast("string"),
+            x["feature"],
+            x["value"].cast("int").cast("string"),
+            x["direction"],
+            keywords(x["feature_no"]),
+        ),
+    )
+    return df.withColumn(out_col, F.array_join(lines, "\n"))
+
+
 def describe(df: DataFrame, definitions: DataFrame) -> DataFrame:
     """Add the description of each feature, NULL when there is none."""
     return df.join(definitions, "feature", "left")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 # Class labels and the sentence of the report.
 ATTACK, NORMAL = "공격", "정상"
 SAYS_PREDICTION = "인공지능에서 예측한 결과 %s일 확률이 %s%%입니다."
+SAYS_ATTACK_CLASS = "인공지능에서 예측한 결과 %s 공격일 확률이 %s%%입니다."
 
 
 def sigmoid(x: Column) -> Column:
@@ -82,3 +83,11 @@ def class_name(number: Column) -> Column:
 def other_classes(number: Column) -> Column:
     """Label of everything but the class."""
     return F.element_at(F.array(*(F.lit(c) for c in OTHER_CLASSES)), number.cast("int") + 1)
+
+
+def class_comment(number: Column, percent: Column) -> Column:
+    """The sentence about a four-class prediction."""
+    name = class_name(number)
+    return F.when(name == NORMAL, F.format_string(SAYS_PREDICTION, name, percent)).otherwise(
+        F.format_string(SAYS_ATTACK_CLASS, name, percent)
+    )

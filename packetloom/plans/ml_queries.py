@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from packetloom.functions import httpparse
 from packetloom.functions.rulesets import family
+from packetloom.functions.text import recode
 from packetloom.operators import evaluate, explain, learn, scoring, splits, vectorize
 from packetloom.operators import features as feat
 from packetloom.plans import rule_sql
@@ -17,6 +18,13 @@ from packetloom.sources.fixtures import fixture, spread
 from packetloom.sources.scratch import scratch_path
 from packetloom.streaming import detect
 
+# Names of the agent classes in the report.
+AGENT_NAMES = {
+    "bad_bot_crawler": "악성 봇 크롤러",
+    "normal_bot_crawler": "정상 봇 크롤러",
+    "application": "애플리케이션",
+}
+
 IPS = family("ips")
 WEB = family("web")
 TRAINING = family("ips_training")
@@ -108,12 +116,19 @@ def weblog_class_scores(spark, sf_dir):
     wide.write.parquet(path)
     table = spread(spark.read.parquet(path))
     model = learn.fit_forest(table, WEB.features, "target", numTrees=5, maxDepth=5)
-    scored = learn.score(model, table)
+    scored = learn.score(model, table).select(
+        "event_id", "prediction", *scoring.class_percentages(F.col("proba"))
+    )
+    best = F.greatest("cmd_percent", "normal_percent", "sql_percent", "xss_percent")
     return scored.select(
         "event_id",
         scoring.class_name(F.col("prediction")).alias("predicted"),
         scoring.other_classes(F.col("prediction")).alias("others"),
-        *scoring.class_percentages(F.col("proba")),
+        scoring.class_comment(F.col("prediction"), best).alias("comment"),
+        "cmd_percent",
+        "normal_percent",
+        "sql_percent",
+        "xss_percent",
     )
 
 
@@ -132,11 +147,10 @@ def agent_class_model(spark, sf_dir):
     table = spread(spark.read.parquet(path)).where("parse_status = 'web log'")
     vocabulary = [(w, idf) for _, w, idf in samples.AGENT_VOCABULARY.rows]
     model = learn.fit_agent_classifier(table, "words", "target", vocabulary)
-    # Names of the classes in the report.
-    names = F.array(F.lit("애플리케이션"), F.lit("악성 봇 크롤러"), F.lit("정상 봇 크롤러"))
-    return learn.score(model, table).select(
-        "event_id", F.element_at(names, F.col("prediction").cast("int") + 1).alias("agent_class")
+    scored = learn.score(model, table).withColumn(
+        "name", F.element_at(F.array(*(F.lit(c) for c in classes)), F.col("prediction").cast("int") + 1)
     )
+    return scored.select("event_id", recode(F.col("name"), AGENT_NAMES).alias("agent_class"))
 
 
 @query()

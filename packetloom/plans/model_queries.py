@@ -7,7 +7,15 @@ from pyspark.sql import functions as F
 
 from packetloom.functions import httpparse
 from packetloom.functions.rulesets import family, keyword_patterns
-from packetloom.operators import evaluate, explain, rulebook, scoring, splits, vectorize
+from packetloom.operators import (
+    completion,
+    evaluate,
+    explain,
+    rulebook,
+    scoring,
+    splits,
+    vectorize,
+)
 from packetloom.operators import features as feat
 from packetloom.plans import rule_sql
 from packetloom.plans.registry import query, quoted, sql
@@ -190,6 +198,47 @@ def explanation_sentences(spark, sf_dir):
     return explain.sentences(rows).select("event_id", "rank", "statement")
 
 
+@query(
+    sql(
+        f"SELECT event_id, {quoted(completion.ROLE)} || chr(10) || 'feature importance: ' || string_agg("
+        "CAST(rank AS VARCHAR) || ' | ' || feature || ' | ' || CAST(CAST(value AS INT) AS VARCHAR) || ' | ' || direction || ' | ' || keywords, "
+        "chr(10) ORDER BY rank) || chr(10) || 'question: ' || "
+        f"{quoted(completion.IMPORTANCE_QUESTION)} || chr(10) || 'answer: ' AS prompt FROM top10 GROUP BY event_id",
+        **_TOP10_PARTS,
+    )
+)
+def explanation_prompts(spark, sf_dir):
+    """The prompt that asks for words about the top features."""
+    rows = _explained(spark, sf_dir, ("event_id", "payload"))
+    told = explain.top_as_text(explain.with_evidence(rows, "payload", IPS), "top")
+    prompt = completion.render(
+        completion.TEMPLATES["explain"],
+        xai_result=F.col("top"),
+        question=completion.IMPORTANCE_QUESTION,
+    )
+    return told.select("event_id", prompt.alias("prompt"))
+
+
+@query(
+    sql(
+        "SELECT event_id, attack_proba, CAST(row_number() OVER (ORDER BY attack_proba DESC, event_id) AS INT) AS place FROM "
+        f"(SELECT event_id, round({_PROBA}, 9) AS attack_proba FROM f) ORDER BY attack_proba DESC, event_id LIMIT 20",
+        f=_FEATURES,
+    )
+)
+def most_suspicious_payloads(spark, sf_dir):
+    """The twenty payloads with the highest risk, ties by id."""
+    rows = scoring.with_probability(traffic_features(spark, sf_dir), COEFS, INTERCEPT, "p")
+    top = (
+        rows.select("event_id", F.round("p", 9).alias("attack_proba"))
+        .orderBy(F.desc("attack_proba"), "event_id")
+        .limit(20)
+    )
+    # numbered behind the limit: twenty rows
+    order = Window.orderBy(F.desc("attack_proba"), "event_id")
+    return top.withColumn("place", F.row_number().over(order))
+
+
 @query(
     sql(
         "SELECT event_id, round(sum(round(importance * 100, 2)), 2) AS top_percent, "
