@@ -258,7 +258,11 @@ def evidence(df: DataFrame, text_col: str, ids: list[str], fam: Family) -> DataF
     that occurs everywhere costs nothing extra.
     """
     found = _with_fragments(df, text_col, fam)
-    rows = found.select(*ids, F.posexplode("__fragments").alias("__at", "fragment"))
+    # outer, because the plain form would infer a filter on the array and
+    # search every text again for it
+    rows = found.select(*ids, F.posexplode_outer("__fragments").alias("__at", "fragment")).where(
+        "fragment IS NOT NULL"
+    )
     feature_names = F.array(*(F.lit(f) for f in fam.features))
     return rows.select(
         *ids,
