@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from packetloom.functions.masking import IP_PATTERN
+from packetloom.functions.masking import IP_SEARCH
 from packetloom.functions.text import FAR, after, before, dash_if_empty, text_or_empty
 
 # Fixed values.
@@ -158,7 +158,7 @@ def parse_weblogs(df: DataFrame, log_col: str) -> DataFrame:
 
 def first_ip(c: Column) -> Column:
     """The first address in a line, NULL when there is none."""
-    found = F.regexp_extract(c, "(?U)" + IP_PATTERN, 0)
+    found = F.regexp_extract(c, IP_SEARCH, 0)
     return F.when(found != "", found)
 
 

@@ -28,7 +28,9 @@ HOST_PATTERN = (
     r"((?!10\.10\.123\.123).*?)(?=\.go\.kr|\.or\.kr|\.com|\.co\.kr)"
 )
 EMAIL_PATTERN = r"([a-zA-Z0-9_.-]++)@([a-zA-Z0-9_-]+\.)"
-IP = Mask("ip", "(?U)" + IP_PATTERN, "10.10.123.123", "10.10.123.123")
+# A digit is asked for before the look-behinds, most positions fail there.
+IP_SEARCH = "(?U)(?=[0-9])" + IP_PATTERN
+IP = Mask("ip", IP_SEARCH, "10.10.123.123", "10.10.123.123")
 # An empty host gets one stand-in.
 HOST = Mask("host", "(?id)" + HOST_PATTERN, "*****", "*****", 1)
 EMAIL = Mask(

@@ -295,14 +295,14 @@ def signature_matches(
     """Known signatures in text order; the first definition of a text wins.
 
     The patterns become one alternation, so the texts are read once.  A
-    signature list is a rule set: it is fetched to build the expression, and
-    refused when it is longer than an expression can hold.
+    signature list is configuration: it is fetched to build the expression, and
+    a table too long for that is refused rather than cut.
     """
     rows = signatures.select("pattern_no", "pattern").orderBy("pattern_no").take(MAX_SIGNATURES + 1)
     if len(rows) > MAX_SIGNATURES:
-        raise ValueError(f"more than {MAX_SIGNATURES} signatures; match them in several calls")
-    alternation = "(?i)" + "|".join(quote(r["pattern"].lower()) for r in rows)
-    found = F.regexp_extract_all(F.col(text_col), F.lit(alternation), F.lit(0))
+        raise ValueError(f"more than {MAX_SIGNATURES} signatures")
+    pattern = "(?i)" + matching.alternation([quote(r["pattern"].lower()) for r in rows])
+    found = F.regexp_extract_all(F.col(text_col), F.lit(pattern), F.lit(0))
     hits = df.where(F.col(text_col).isNotNull()).select(
         *ids, F.posexplode(found).alias("__at", "__text")
     )
@@ -317,9 +317,9 @@ def signature_matches(
     )
 
 
-MAX_SIGNATURES = 5000
+MAX_SIGNATURES = 100_000
 
 
 def quote(text: str) -> str:
-    return "".join("\\" + ch if not ch.isalnum() and ord(ch) < 128 else ch for ch in text)
-
+    """A pattern that matches just this text."""
+    return "".join(f"[\\{ch}]" if ord(ch) < 128 and not ch.isalnum() else ch for ch in text)
