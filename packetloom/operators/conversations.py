@@ -40,29 +40,38 @@ def history_prompts(df: DataFrame) -> DataFrame:
     """For every user turn: the turns before it as prior ones, then its own.
 
     The result repeats the history at every turn, as the application does; its
-    size is quadratic in the length of a conversation by definition.
+    size is quadratic in the length of a conversation by definition.  The texts
+    of whole blocks are joined first, so a task only orders the turns of one
+    block, and a long conversation spreads over as many tasks as it has blocks.
     """
-    said = df.where(F.col("role").isin("user", "assistant"))
     line = F.concat(
         F.when(F.col("role") == "assistant", "prior answer: ").otherwise("prior question: "),
         F.col("text"),
     )
-    before = (
-        Window.partitionBy("conv_id")
-        .orderBy("turn")
-        .rowsBetween(Window.unboundedPreceding, -1)
+    said = (
+        df.where(F.col("role").isin("user", "assistant"))
+        .withColumn("__block", F.floor(F.col("turn") / BLOCK))
+        .withColumn("__line", line)
     )
-    latest = F.concat(F.lit("latest question: "), F.col("text"))
-    prior = F.array_join(F.collect_list(line).over(before), "\n")
+    ordered = F.array_sort(F.collect_list(F.struct("turn", "__line")))
+    blocks = said.groupBy("conv_id", "__block").agg(
+        F.array_join(F.transform(ordered, lambda x: x["__line"]), "\n").alias("__text")
+    )
+    up_to = [Window.unboundedPreceding, -1]
+    earlier = Window.partitionBy("conv_id").orderBy("__block").rowsBetween(*up_to)
+    before = blocks.select(
+        "conv_id", "__block", F.collect_list("__text").over(earlier).alias("__before")
+    )
+    inside = Window.partitionBy("conv_id", "__block").orderBy("turn").rowsBetween(*up_to)
+    latest = F.array(F.concat(F.lit("latest question: "), F.col("text")))
     return (
-        said.withColumn("__prior", prior)
+        said.withColumn("__inside", F.collect_list("__line").over(inside))
         .where(F.col("role") == "user")
+        .join(before, ["conv_id", "__block"])
         .select(
             "conv_id",
             "turn",
-            F.when(F.col("__prior") == "", latest)
-            .otherwise(F.concat_ws("\n", "__prior", latest))
-            .alias("prompt"),
+            F.array_join(F.concat("__before", "__inside", latest), "\n").alias("prompt"),
         )
     )
 

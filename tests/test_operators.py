@@ -10,6 +10,7 @@ from packetloom.operators import (
     conversations,
     enrich,
     explain,
+    lookup,
     profile,
     retrieve,
     scoring,
@@ -162,6 +163,26 @@ def test_history(spark):
     assert got == {1: "latest question: a", 3: "prior question: a\nprior answer: b\nlatest question: c"}
 
 
+def test_history_crosses_blocks(spark, monkeypatch):
+    rows = [(c, t, "user" if t % 2 == 0 else "assistant", f"c{c}t{t}") for c in (1, 2) for t in range(11)]
+    df = spark.createDataFrame(rows, "conv_id BIGINT, turn BIGINT, role STRING, text STRING")
+    whole = {(r["conv_id"], r["turn"]): r["prompt"] for r in conversations.history_prompts(df).collect()}
+    monkeypatch.setattr(conversations, "BLOCK", 3)
+    cut = {(r["conv_id"], r["turn"]): r["prompt"] for r in conversations.history_prompts(df).collect()}
+    assert whole == cut and len(whole) == 12
+    assert whole[2, 2] == "prior question: c2t0\nprior answer: c2t1\nlatest question: c2t2"
+
+
+def test_small_table_join_both_ways(spark):
+    rows = spark.range(100).select("id", (F.col("id") % 5).alias("k"))
+    table = spark.range(4).select(F.col("id").alias("k"), (F.col("id") * 10).alias("v"))
+    one = lookup.with_small_table(rows, table, ["k"])
+    two = lookup.with_small_table(rows, table, ["k"], max_rows=2)
+    assert "BroadcastHashJoin" in one._jdf.queryExecution().executedPlan().toString()
+    assert one.exceptAll(two).count() == 0 and one.count() == two.count() == 100
+    assert one.where("v IS NULL").count() == 20
+
+
 def test_replies(spark):
     df = spark.createDataFrame([("one\nquestion: two",), ("a\nb\n질문: c",), ("plain\ntext",)], "t STRING")
     out = df.select(conversations.cut_reply(F.col("t")), conversations.drop_last_line(F.col("t"))).collect()
