@@ -67,6 +67,36 @@ def with_importance(
     return df.withColumn(out_col, F.array_sort(F.transform("__phi", scored))).drop("__phi", "__all")
 
 
+def explain_linear(
+    df: DataFrame,
+    coefs: dict[str, float],
+    means: dict[str, float],
+    *,
+    out_col: str = "explained",
+    places: int = 4,
+) -> DataFrame:
+    """``with_importance`` of a linear model, column by column.
+
+    The shares are plain arithmetic on feature columns, which Spark compiles;
+    only the finished entries become an array.
+    """
+    numbered = list(enumerate(coefs.items()))
+    phis = [f"{w!r}D * ({f} - {means[f]!r}D) AS __phi{i}" for i, (f, w) in numbered]
+    sizes = [f"1 / (1 + exp(-abs(__phi{i}))) AS __s{i}" for i, _ in numbered]
+    whole = " + ".join(f"__s{i}" for i, _ in numbered)
+    shares = [f"round(__s{i} / __all, {places}) AS __share{i}" for i, _ in numbered]
+    entries = ", ".join(
+        f"named_struct('order_key', -__share{i}, 'feature_no', {i}, 'feature', '{f}', "
+        f"'value', CAST({f} AS DOUBLE), 'phi', __phi{i}, 'importance', __share{i}, "
+        f"'direction', CASE WHEN __phi{i} >= 0 THEN '{ATTACK}' ELSE '{NORMAL}' END)"
+        for i, (f, _) in numbered
+    )
+    kept = df.columns
+    steps = df.selectExpr("*", *phis).selectExpr("*", *sizes)
+    steps = steps.selectExpr("*", f"{whole} AS __all").selectExpr("*", *shares)
+    return steps.selectExpr(*kept, f"sort_array(array({entries})) AS {out_col}")
+
+
 def top_features(df: DataFrame, ids: list[str], *, k: int = 10, col: str = "explained") -> DataFrame:
     """One row per payload and rank, importance in percent.
 

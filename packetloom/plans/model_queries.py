@@ -147,7 +147,7 @@ def keyword_lists(spark, sf_dir):
 def _explained(spark, sf_dir, keep=("event_id", "label")):
     rows = traffic_features(spark, sf_dir, keep)
     means = explain.feature_means(rows, IPS.features)
-    return explain.with_importance(rows, explain.attributions(COEFS, means))
+    return explain.explain_linear(rows, COEFS, means)
 
 
 _TOP10_PARTS = dict(

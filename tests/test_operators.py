@@ -219,6 +219,20 @@ def test_importance_sums_and_ties(spark):
     assert all(math.isclose(r["importance_percent"], 3.12, abs_tol=0.011) for r in top)
 
 
+def test_both_ways_to_importance_agree(spark):
+    names = ["a", "b", "c_count"]
+    df = spark.createDataFrame([(1, 1, 0, 7), (2, 0, 0, 0), (3, 1, 1, 2)], "id INT, a INT, b INT, c_count INT")
+    coefs, means = {"a": 0.7, "b": -1.25, "c_count": 0.05}, {"a": 0.5, "b": 0.25, "c_count": 1e-05}
+    one = explain.explain_linear(df, coefs, means)
+    two = explain.with_importance(df, explain.attributions(coefs, means))
+    for r, q in zip(one.orderBy("id").collect(), two.orderBy("id").collect()):
+        assert [x["feature"] for x in r["explained"]] == [x["feature"] for x in q["explained"]]
+        for x, y in zip(r["explained"], q["explained"]):
+            assert x["importance"] == y["importance"] and x["direction"] == y["direction"]
+            assert math.isclose(x["phi"], y["phi"], abs_tol=1e-12)
+    assert set(names) == {x["feature"] for x in one.first()["explained"]}
+
+
 def test_evidence_of_user_agents_needs_one_version(spark):
     rows = [
         (1, "GET / HTTP/1.1 User-Agent: sqlmap"),
