@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from packetloom.llm import url_filter
+from packetloom.llm import mixing, url_filter
 from packetloom.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,3 +35,18 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judged(pages, URL_RULES, model).select(
         "page_id", "host", "path", "rule", "verdict", "probability"
     )
+
+
+@query
+def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of every document."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return mixing.with_copies(docs, mixing.mixing_plan(docs)).select(
+        "doc_id",
+        "size",
+        "source_size",
+        "target",
+        (F.col("copies") * F.col("size")).alias("taken"),
+        "source",
+        "rate",
+    )
