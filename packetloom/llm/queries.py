@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packetloom.llm import mixing, url_filter
+from packetloom.llm import mixing, secrets, url_filter
 from packetloom.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -50,3 +50,25 @@ def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
         "source",
         "rate",
     )
+
+
+@query
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and spans of the secrets in every document."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secrets.scanned(docs, secrets.train(docs)).select("doc_id", "secret_spans")
+    listed = F.transform(
+        "secret_spans", lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])
+    )
+    base = F.filter("secret_spans", lambda s: s["kind"] != "random")
+    base_listed = F.transform(base, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"]))
+
+    def count(kind: str):
+        return F.size(F.filter("secret_spans", lambda s: s["kind"] == kind)).cast("long")
+
+    return found.select(
+        "doc_id",
+        *[count(kind).alias(f"n_{kind}") for kind in secrets.KINDS],
+        F.sha2(F.concat_ws(",", base_listed), 256).alias("base_sha256"),
+        F.concat_ws(",", listed).alias("spans"),
+    )
