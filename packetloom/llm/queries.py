@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packetloom.llm import minhash, mixing, secrets, url_filter
+from packetloom.llm import embedding_dedup, minhash, mixing, secrets, url_filter
 from packetloom.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -112,3 +112,30 @@ SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, least(s.doc_id, coalesce(m, s.d
   s.doc_id = least(s.doc_id, coalesce(m, s.doc_id)) AS kept
 FROM sets s LEFT JOIN low ON s.doc_id = low.a
 """
+
+
+@query
+def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all vectors with equal labels at cosine 0.98."""
+    return embedding_dedup.linked_vectors(read(spark, sf_dir, "embeddings"), cosine=0.98)
+
+
+ORACLES["op2_embedding_dedup"] = """
+WITH RECURSIVE
+v AS (SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL),
+n AS (SELECT vec_id, label, x, sqrt(list_dot_product(x, x)) AS r FROM v),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM n a JOIN n b
+  ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE list_dot_product(a.x, b.x) / (a.r * b.r) >= 0.98
+),
+reach(a, b) AS (
+  SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
+),
+low AS (SELECT a, min(b) AS m FROM reach GROUP BY a),
+deg AS (SELECT a, count(*) AS d FROM links GROUP BY a)
+SELECT e.vec_id, coalesce(d, 0) AS n_links, least(e.vec_id, coalesce(m, e.vec_id)) AS component_id,
+  e.vec_id = least(e.vec_id, coalesce(m, e.vec_id)) AS kept
+FROM embeddings e LEFT JOIN low ON e.vec_id = low.a LEFT JOIN deg ON e.vec_id = deg.a
+"""
