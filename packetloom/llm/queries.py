@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packetloom.llm import embedding_dedup, minhash, mixing, secrets, url_filter
+from packetloom.llm import embedding_dedup, minhash, mixing, secrets, url_filter, va_search
 from packetloom.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -139,3 +139,26 @@ SELECT e.vec_id, coalesce(d, 0) AS n_links, least(e.vec_id, coalesce(m, e.vec_id
   e.vec_id = least(e.vec_id, coalesce(m, e.vec_id)) AS kept
 FROM embeddings e LEFT JOIN low ON e.vec_id = low.a LEFT JOIN deg ON e.vec_id = deg.a
 """
+
+
+@query
+def op6_va_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 best candidates of every vector whose id is divisible by 50."""
+    vectors = read(spark, sf_dir, "embeddings")
+    return va_search.top_k(vectors, F.col("vec_id") % 50 == 0, k=5)
+
+
+ORACLES["op6_va_search"] = """
+WITH q AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS x FROM embeddings
+  WHERE embedding IS NOT NULL
+),
+scores AS (
+  SELECT a.vec_id AS query_id, b.vec_id, list_dot_product(a.x, b.x)::BIGINT AS score
+  FROM q a JOIN q b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id
+),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scores
+)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
