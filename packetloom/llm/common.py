@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import json
+import sys
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,3 +62,15 @@ def need(df: DataFrame, *columns: str) -> None:
     missing = [c for c in columns if c not in df.columns]
     if missing:
         raise ValueError(f"columns {missing} are missing; there are {df.columns}")
+
+
+def once_per_worker(name: str, make: Callable[[], object]):
+    """What ``make`` returned when this Python process first asked for ``name``.
+
+    The package's functions travel to the workers by value, so their globals
+    start anew with each task; ``sys`` stays.
+    """
+    kept = sys.__dict__.setdefault("_packetloom_kept", {})
+    if name not in kept:
+        kept[name] = make()
+    return kept[name]

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packetloom.llm import embedding_dedup, minhash, mixing, secrets, url_filter, va_search
+from packetloom.llm import embedding_dedup, minhash, mixing, secrets, token_files, url_filter, va_search
 from packetloom.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -162,3 +163,15 @@ ranked AS (
 )
 SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM ranked WHERE rank <= 5
 """
+
+
+@query
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document written to token-id files and read back from them."""
+    manifest = token_files.write_token_files(
+        read(spark, sf_dir, "documents"),
+        public_tokenizers.path("word_bpe_49k.json"),
+        token_files.new_folder(spark),
+        end_id=2,
+    )
+    return token_files.read_token_files(manifest).drop("ids")
