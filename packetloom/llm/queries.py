@@ -8,7 +8,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packetloom.llm import embedding_dedup, minhash, mixing, secrets, token_files, url_filter, va_search
+from packetloom.llm import (
+    embedding_dedup,
+    language,
+    minhash,
+    mixing,
+    quality,
+    secrets,
+    token_files,
+    url_filter,
+    va_search,
+)
 from packetloom.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -175,3 +185,26 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         end_id=2,
     )
     return token_files.read_token_files(manifest).drop("ids")
+
+
+@query
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document from its text, declared language and source."""
+    docs = read(spark, sf_dir, "documents")
+    return language.identified(docs, language.train(docs)).select(
+        "doc_id", "language", "confidence", "kept"
+    )
+
+
+@query
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document; a quarter of the labels is held out of the fit."""
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    model = quality.train(docs, labels.where(~held_out))
+    return quality.scored(docs, model).select(
+        "doc_id",
+        held_out.alias("held_out"),
+        "score",
+        (F.col("score") >= 0.7).cast("int").alias("predicted"),
+    )
