@@ -5,8 +5,10 @@ from __future__ import annotations
 import json
 import sys
 import uuid
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -74,3 +76,39 @@ def once_per_worker(name: str, make: Callable[[], object]):
     if name not in kept:
         kept[name] = make()
     return kept[name]
+
+
+def runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
+    """The rows of a sorted partition, one table per value of ``key``."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = batch[key].to_numpy()
+        cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1), len(keys)]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            if held and held[0][key][0].as_py() != keys[a]:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def spanning(i: np.ndarray, j: np.ndarray, n: int) -> list[tuple[int, int]]:
+    """Links that connect what the links (i, j) connect, fewer than n."""
+    parent = list(range(n))
+
+    def top(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    out = []
+    for a, b in zip(i.tolist(), j.tolist(), strict=True):
+        low, high = top(a), top(b)
+        if low != high:
+            parent[low] = high
+            out.append((a, b))
+    return out

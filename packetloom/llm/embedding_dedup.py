@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from packetloom.llm.common import drop_written, need, written
+from packetloom.llm.common import drop_written, need, runs, spanning, written
 from packetloom.llm.components import components
 
 COSINE = 0.98
@@ -47,7 +47,6 @@ LISTED = 32
 BEST = 32
 #: Most vectors of a filter that are verified as one piece.
 MEMBERS = 1024
-#: Guard of the filter join against rounding; the verification itself is exact.
 _SEED = 20250102
 
 
@@ -156,28 +155,7 @@ def _verified(rows: dict[str, np.ndarray], own: bool, cosine: float):
     return gained, i, j
 
 
-def _spanning(i: np.ndarray, j: np.ndarray, n: int) -> list[tuple[int, int]]:
-    """Links that connect what the given ones connect, fewer than n."""
-    parent = list(range(n))
-
-    def top(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    out = []
-    for a, b in zip(i.tolist(), j.tolist(), strict=True):
-        ra, rb = top(a), top(b)
-        if ra != rb:
-            parent[ra] = rb
-            out.append((a, b))
-    return out
-
-
 def _pieces(cosine: float):
-    columns = ["key", "filter", "side", "own", "rep", "copies", "v", "filters"]
-
     def piece(table: pa.Table):
         reps = table["rep"].to_numpy()
         x = np.array(table["v"].to_pylist(), np.float64)
@@ -189,7 +167,7 @@ def _pieces(cosine: float):
             "filters": np.array(table["filters"].to_pylist(), np.int64),
         }
         gained, i, j = _verified(rows, bool(table["own"][0].as_py()), cosine)
-        links = _spanning(i, j, len(reps))
+        links = spanning(i, j, len(reps))
         linked = np.flatnonzero(gained)
         for k in linked:
             yield int(reps[k]), int(gained[k]), None
@@ -197,37 +175,13 @@ def _pieces(cosine: float):
             yield int(reps[a]), 0, int(reps[b])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Runs of equal keys, which sorted partitions hold together."""
-        held: list[pa.RecordBatch] = []
-
-        def results(table: pa.Table, last: bool):
-            keys = table["key"].to_numpy()
-            starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else []
-            ends = [*starts[1:], len(keys)]
-            stop = len(starts) if last else len(starts) - 1
-            out = [r for a, b in zip(starts[:stop], ends[:stop], strict=True) if b - a > 1
-                   for r in piece(table.slice(a, b - a))]
-            rest = table.slice(starts[-1]) if not last and len(starts) else table.slice(0, 0)
-            return out, rest
-
-        def batch_of(out):
-            reps, gained, others = zip(*out, strict=True) if out else ((), (), ())
-            return pa.RecordBatch.from_arrays(
-                [pa.array(reps, pa.int64()), pa.array(gained, pa.int64()), pa.array(others, pa.int64())],
-                ["rep", "gained", "other"],
-            )
-
-        for batch in batches:
-            batch = batch.select(columns)
-            ends_inside = batch.num_rows and held and batch["key"][0] == batch["key"][-1]
-            held.append(batch)
-            if ends_inside and held[0]["key"][-1] == batch["key"][-1]:
-                continue
-            out, rest = results(pa.Table.from_batches(held), False)
-            held = rest.to_batches()
-            yield batch_of(out)
-        if held:
-            yield batch_of(results(pa.Table.from_batches(held), True)[0])
+        for table in runs(batches, "key"):
+            out = list(piece(table)) if table.num_rows > 1 else []
+            if out:
+                columns = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, pa.int64()) for c in columns], ["rep", "gained", "other"]
+                )
 
     return rows
 

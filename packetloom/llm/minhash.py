@@ -8,13 +8,15 @@ probability ``MISS`` at most.  So of the lists that a class shares with others
 only the rarest matter: all but ``match_threshold - 1`` of them (prefix), and a
 class that shares fewer lists than the threshold is skipped altogether.
 
-Within a list not all pairs are formed.  A round compares the members outside
-the list's largest component with one member of it, its centre, which is linear
-in the list; agreeing coordinates are counted, pairs above the threshold are
-confirmed on the full shingle sets, and the components grow.  When the pairs
-left between different components are about as few as the postings, or after
-``ROUNDS``, all of them are compared.  No link between components is lost: two
-members of one list are either in one component already or compared.
+Classes that share a list of their prefixes form a cluster, which holds every
+link of its members.  A cluster of up to ``PIECE`` classes is one row group: a
+task counts the shingles that its members have in common with a matrix product
+and returns the links that span it, not its pairs.  A larger cluster is cut into
+pieces that meet in pairs.  Before that, each of its classes is compared with
+one member of each of its lists, which is linear: agreeing coordinates are
+counted, pairs above the threshold are confirmed on the full shingle sets, and
+the largest component found is left out of comparisons with itself.  No link
+between components is lost.
 
 Signatures and sets are made in Arrow batches, one document at a time; joins,
 counts and confirmation are DataFrame code.  Sets are only made for classes that
@@ -39,7 +41,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from packetloom.llm.common import drop_written, need, written
+from packetloom.llm.common import drop_written, need, runs, spanning, written
 from packetloom.llm.components import components
 
 #: Words of a shingle and least similarity in percent, unless the caller says otherwise.
@@ -48,10 +50,9 @@ PERCENT = 80
 #: Coordinates of a signature, and the accepted chance to miss a link for too few matches.
 HASHES = 32
 MISS = 1e-6
-#: Most rounds of comparing with centres before everything left is compared.
-ROUNDS = 6
-#: Pairs left for each posting at which everything left is compared.
-PAIRS_EACH = 2
+#: Classes that are compared in one piece, and shingles counted at a time.
+PIECE = 512
+COLUMNS = 1 << 13
 #: Bits of the Bloom filter (2 MB), whatever the size of the data.
 BLOOM_BITS = 1 << 24
 _CHUNK = 1 << 15
@@ -195,6 +196,85 @@ def _confirmed(pairs: DataFrame, sigs: DataFrame, sets: DataFrame, least: int, p
     )
 
 
+def _whole(placed: DataFrame) -> DataFrame:
+    """Clusters of one piece."""
+    return placed.select(
+        "rep", F.xxhash64("cluster").alias("key"), F.lit(0).alias("side"), F.lit(True).alias("own")
+    )
+
+
+def _cut(rooted: DataFrame) -> DataFrame:
+    """Clusters of many pieces: each piece outside the largest component meets all pieces."""
+    counts = rooted.groupBy("cluster", "root").agg(F.count("*").alias("n_root"))
+    main = counts.groupBy("cluster").agg(
+        F.max(F.struct("n_root", "root")).alias("main"), F.sum("n_root").alias("n_all")
+    )
+    pieces = lambda n: F.ceil(n / PIECE).cast("int")
+    rows = (
+        rooted.select("rep", "cluster", "root")
+        .join(main, "cluster")
+        .withColumn("inside", F.col("root") == F.col("main.root"))
+        .withColumn("n_in", pieces(F.col("main.n_root")))
+        .withColumn("n_out", pieces(F.col("n_all") - F.col("main.n_root")))
+        .where(F.col("n_out") > 0)
+    )
+    place = F.when(F.col("inside"), F.pmod(F.xxhash64("rep"), F.col("n_in"))).otherwise(
+        F.col("n_in") + F.pmod(F.xxhash64("rep"), F.col("n_out"))
+    )
+    first = F.when(F.col("inside"), F.col("n_in")).otherwise(F.lit(0))
+    rows = rows.withColumn("piece", place.cast("int")).withColumn(
+        "other", F.explode(F.sequence(first, F.col("n_in") + F.col("n_out") - 1))
+    )
+    low, high = F.least("piece", "other"), F.greatest("piece", "other")
+    return rows.select(
+        "rep",
+        F.xxhash64("cluster", low, high).alias("key"),
+        (F.col("piece") != low).cast("int").alias("side"),
+        (low == high).alias("own"),
+    )
+
+
+def similar_rows(sets: list[np.ndarray], percent: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places i < j of the sets that are similar enough, by counting common shingles."""
+    sizes = np.array([len(s) for s in sets], np.int64)
+    rows = np.repeat(np.arange(len(sets)), sizes)
+    values, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = times[column] > 1  # others add nothing to any intersection
+    number = np.cumsum(times > 1) - 1
+    rows, column = rows[shared], number[column[shared]]
+    both = np.zeros((len(sets), len(sets)))
+    for start in range(0, int((times > 1).sum()), COLUMNS):
+        here = (column >= start) & (column < start + COLUMNS)
+        part = np.zeros((len(sets), min(COLUMNS, int(column.max()) + 1 - start)), np.float32)
+        part[rows[here], column[here] - start] = 1
+        both += part @ part.T
+    either = sizes[:, None] + sizes[None, :] - both
+    i, j = np.nonzero(np.triu(100 * both >= percent * either, 1))
+    return i, j
+
+
+def _pieces(percent: float):
+    def links(table: pa.Table) -> list[tuple[int, int]]:
+        reps, side = table["rep"].to_numpy(), table["side"].to_numpy()
+        sets = [np.array(x, np.int64) for x in table["set"].to_pylist()]
+        i, j = similar_rows(sets, percent)
+        if not table["own"][0].as_py():
+            apart = side[i] != side[j]
+            i, j = i[apart], j[apart]
+        return [(int(reps[a]), int(reps[b])) for a, b in spanning(i, j, len(reps))]
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in runs(batches, "key"):
+            found = links(table) if table.num_rows > 1 else []
+            if found:
+                a, b = zip(*found, strict=True)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"]
+                )
+
+    return rows
+
+
 def near_duplicates(
     docs: DataFrame,
     *,
@@ -248,69 +328,38 @@ def near_duplicates(
     sets = written(_sets(docs, postings.select("rep").distinct(), words), "sets")
     sigs = written(sigs.join(postings.select("rep").distinct(), "rep", "left_semi"), "candidates")
 
-    links, roots = None, None
-    for number in range(ROUNDS + 1):
-        placed = postings.withColumn("root", F.col("rep"))
-        if roots is not None:
-            placed = postings.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select(
-                "rep", "list", F.coalesce("root", "rep").alias("root")
-            )
-        placed = written(placed, "placed")
-        largest = (
-            placed.groupBy("list", "root")
-            .agg(
-                F.count("*").alias("n"),
-                F.min(F.struct(F.xxhash64("rep", F.lit(number)).alias("h"), "rep")).alias("first"),
-            )
-            .groupBy("list")
-            .agg(
-                F.max(F.struct("n", -F.col("root"), "root", "first.rep")).alias("main"),
-                F.sum("n").alias("n"),
-                F.count("*").alias("roots"),
-            )
-            .where(F.col("roots") > 1)
-        )
-        largest = written(
-            largest.select(
-                "list",
-                F.col("main.root").alias("main"),
-                F.col("main.rep").alias("centre"),
-                ((F.col("n") - F.col("main.n")) * F.col("n")).alias("left"),
-            ),
-            "lists",
-        )
-        left, rows = largest.agg(F.sum("left")).first()[0] or 0, placed.count()
-        if not left:
-            break
-        outside = placed.join(largest, "list").where(F.col("root") != F.col("main"))
-        last = number == ROUNDS or left <= PAIRS_EACH * rows
-        if last:
-            other = placed.select("list", F.col("rep").alias("b"), F.col("root").alias("root_b"))
-            tried = (
-                outside.join(other, "list")
-                .where(
-                    (F.col("root") != F.col("root_b"))
-                    & ((F.col("root_b") == F.col("main")) | (F.col("rep") < F.col("b")))
-                )
-                .select(F.col("rep").alias("a"), "b")
-            )
-        else:
-            tried = outside.select(F.col("rep").alias("a"), F.col("centre").alias("b"))
-        tried = tried.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        found = _confirmed(tried.distinct(), sigs, sets, least, percent)
-        links = written(found if links is None else links.unionAll(found), "similar")
-        roots = components(links)
-        drop_written(placed)
-        drop_written(largest)
-        if last:
-            break
-
-    if roots is None:
-        component = members.withColumn("component_id", F.col("rep"))
+    hubs = postings.groupBy("list").agg(F.min("rep").alias("hub"))
+    met = written(postings.join(hubs, "list").select("rep", "hub").distinct(), "met")
+    clusters = components(met, "rep", "hub")
+    clusters = clusters.unionAll(clusters.select("root", "root").distinct())
+    clusters = clusters.select(F.col("node").alias("rep"), F.col("root").alias("cluster"))
+    sizes = clusters.groupBy("cluster").agg(F.count("*").alias("n"))
+    placed = written(clusters.join(sizes, "cluster"), "clusters")
+    large = placed.where(F.col("n") > PIECE)
+    n_large = large.count()
+    links = None
+    if n_large:
+        tried = met.join(large, "rep").where(F.col("rep") != F.col("hub"))
+        tried = tried.select(F.col("rep").alias("a"), F.col("hub").alias("b"))
+        links = written(_confirmed(tried, sigs, sets, least, percent), "hub-links")
+        found = components(links).withColumnRenamed("node", "rep")
+        rooted = large.join(found, "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+        cut = written(_cut(rooted), "cut")
+        keyed = cut.unionAll(_whole(placed.where(F.col("n") <= PIECE)))
     else:
-        component = members.join(roots, F.col("rep") == F.col("node"), "left").withColumn(
-            "component_id", F.coalesce("root", "rep")
-        )
+        keyed = _whole(placed)
+    compared = written(
+        keyed.join(sets, "rep")
+        .repartition("key")
+        .sortWithinPartitions("key", "side", "rep")
+        .mapInArrow(_pieces(percent), "a long, b long"),
+        "piece-links",
+    )
+    roots = components(compared if links is None else compared.unionAll(links))
+
+    component = members.join(roots, F.col("rep") == F.col("node"), "left").withColumn(
+        "component_id", F.coalesce("root", "rep")
+    )
     return component.select(
         "doc_id",
         "n_shingles",
