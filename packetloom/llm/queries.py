@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from packetloom.llm import (
+    byte_bpe,
     embedding_dedup,
     language,
     minhash,
@@ -208,3 +209,20 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
         "score",
         (F.col("score") >= 0.7).cast("int").alias("predicted"),
     )
+
+
+@query
+def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document, and the bytes that they decode to."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    ranks = byte_bpe.Ranks(
+        byte_bpe.load_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    )
+    known = byte_bpe.known_words(docs, ranks, public_tokenizers.PATTERN)
+    ids = byte_bpe.encoded(docs, known, ranks, public_tokenizers.PATTERN).select("doc_id", "ids")
+    return ids.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(byte_bpe.packed(F.col("ids"), ranks), 256).alias("ids_sha256"),
+        F.sha2(byte_bpe.decoded(F.col("ids"), ranks), 256).alias("decoded_sha256"),
+    )
