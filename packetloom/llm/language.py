@@ -28,6 +28,7 @@ Columns of the input are kept, those called like an added one are replaced.
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -47,15 +48,20 @@ TEXT_WEIGHT = 0.3
 #: Weight of the wider level in the prior of a host or domain, in documents.
 SMOOTHING = 20.0
 #: Prior of text in no known language.
-UNKNOWN = 1e-3
+UNKNOWN = 1e-9
 #: Least probability of the winner.
 LEAST = 0.5
 UND = "und"
+#: Numbers, keys and the like say nothing about the language.
+_WITH_DIGITS = re.compile(r"\w*\d\w*")
 
 
 def trigram_counts(text: str | None) -> np.ndarray:
-    """Counts of hashed trigrams of lower-case letters; other characters are one blank."""
-    low = (text or "").lower()
+    """Counts of hashed trigrams of lower-case letters; other characters are one blank.
+
+    Words that hold digits are left out.
+    """
+    low = _WITH_DIGITS.sub(" ", (text or "").lower())
     codes = np.frombuffer(low.encode("utf-32-le", "surrogatepass"), np.uint32)
     if not len(codes):
         return np.zeros(CELLS, np.int64)
