@@ -2,15 +2,71 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame.  The runner
 writes it as Parquet and reads it again as the documents of the next stage.
+All stages but the last return the columns of their documents.
+
+language     documents whose language is unknown go
+near_dedup   of every group of near duplicates the smallest id stays
+secrets      secrets are cut out of the texts; all documents stay
+mix          documents are dropped or repeated so that sources meet their targets
+tokens       token ids of every document and the text they decode to
 """
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from packetloom.llm import byte_bpe, language, minhash, mixing, secrets
 from packetloom.llm.common import read, written
 
-STAGES: list = []
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    judged = language.identified(docs.withColumn("_row", F.struct(*docs.columns)), language.train(docs))
+    return judged.where("kept").select("_row.*")
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Words of five, similarity 0.8; rows that repeat an id and its text stay once."""
+    found = minhash.near_duplicates(docs)
+    copies = written(
+        found.where(~F.col("kept")).select(F.col("doc_id").alias("_copy")).distinct(), "copies"
+    )
+    kept = docs.join(copies, docs["doc_id"] == copies["_copy"], "left_anti")
+    return kept
+
+
+def cut_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return secrets.without_secrets(docs, secrets.train(docs)).select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mixed(docs, mixing.mixing_plan(docs))
+
+
+def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, source, n_tokens, ids and whether they decode to the text again."""
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    ranks = byte_bpe.Ranks(byte_bpe.load_ranks(path))
+    known = byte_bpe.known_words(docs, ranks, public_tokenizers.PATTERN)
+    rows = byte_bpe.encoded(docs, known, ranks, public_tokenizers.PATTERN)
+    text = F.coalesce(F.encode("text", "UTF-8"), F.unhex(F.lit("")))
+    return rows.select(
+        "doc_id",
+        "source",
+        F.size("ids").cast("long").alias("n_tokens"),
+        "ids",
+        (byte_bpe.decoded(F.col("ids"), ranks) == text).alias("decodes"),
+    )
+
+
+STAGES = [
+    ("language", identify_language),
+    ("near_dedup", drop_near_duplicates),
+    ("secrets", cut_secrets),
+    ("mix", mix_sources),
+    ("tokens", encode_tokens),
+]
 
 #: Trained models and token ids are beyond SQL; the tests compare with brute force.
 ORACLE_SQL = None
