@@ -22,6 +22,7 @@ Further columns are left out.
 
 from __future__ import annotations
 
+import itertools
 import re
 import struct
 import uuid
@@ -41,8 +42,10 @@ from packetloom.llm.common import need, once_per_worker, scratch_path, written
 #: About as many documents share a file.
 FILE_DOCUMENTS = 8192
 LEVEL = 3
+#: Texts whose new words are learnt together.
+TOGETHER = 64
 #: Words that a worker remembers; all are forgotten when there are more.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 700_000
 
 #: Zstandard's magic number of a skippable frame, and this format's.
 SKIPPABLE = 0x184D2A5E
@@ -109,17 +112,20 @@ class Encoder:
         for word, (core, marks) in split.items():
             self.known[word] = self.known[core] + (self.known[marks] if marks else b"")
 
-    def __call__(self, text: str) -> bytes:
-        if _SEPARATORS.search(text):
-            return self._direct([text])[0]
-        words = text.split()
-        new = set(words).difference(self.known)
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        odd = [bool(_SEPARATORS.search(text)) for text in texts]
+        cut = [[] if o else text.split() for text, o in zip(texts, odd, strict=True)]
+        new = set(itertools.chain.from_iterable(cut)).difference(self.known)
         if new:
             if len(self.known) + len(new) > CACHE_WORDS:
                 self.known.clear()
-                new = set(words)
+                new = set(itertools.chain.from_iterable(cut))
             self._learn(new)
-        return b"".join(map(self.known.__getitem__, words))
+        get = self.known.__getitem__
+        return [
+            self._direct([text])[0] if o else b"".join(map(get, words))
+            for text, words, o in zip(texts, cut, odd, strict=True)
+        ]
 
 
 def encoder(path: str) -> Encoder:
@@ -214,7 +220,9 @@ def write_token_files(
         end = np.array([end_id], encode_text.kind).tobytes()
         for batch in batches:
             ids = batch.column(0).to_pylist()
-            packed = [encode_text(t or "") + end for t in batch.column(1).to_pylist()]
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            groups = [texts[k : k + TOGETHER] for k in range(0, len(texts), TOGETHER)]
+            packed = [x + end for group in groups for x in encode_text(group)]
             places = np.searchsorted(bounds, [-(1 << 63) if i is None else i for i in ids], "right")
             width = pa.array([encode_text.kind.itemsize] * len(ids), pa.int32())
             yield pa.RecordBatch.from_arrays(
