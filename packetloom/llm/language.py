@@ -89,8 +89,10 @@ class TextModel:
 
     def evidence(self, texts: list[str | None]) -> np.ndarray:
         """Weakened log-likelihood of every class; the last class is und.  0 without letters."""
-        counts = np.array([trigram_counts(t) for t in texts]).reshape(-1, CELLS)
-        return TEXT_WEIGHT * (counts @ self.log_probabilities.T)
+        out = np.zeros((len(texts), len(self.log_probabilities)))
+        for i, text in enumerate(texts):
+            out[i] = self.log_probabilities @ trigram_counts(text)
+        return TEXT_WEIGHT * out
 
 
 def text_model(languages: tuple[str, ...], counts: np.ndarray) -> TextModel:
