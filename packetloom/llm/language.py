@@ -56,6 +56,10 @@ UND = "und"
 _WITH_DIGITS = re.compile(r"\w*\d\w*")
 
 
+_LETTERS = np.array([chr(c).isalpha() for c in range(0x3000)])
+_BLANK = np.array([32], np.uint32)
+
+
 def trigram_counts(text: str | None) -> np.ndarray:
     """Counts of hashed trigrams of lower-case letters; other characters are one blank.
 
@@ -63,23 +67,23 @@ def trigram_counts(text: str | None) -> np.ndarray:
     """
     low = _WITH_DIGITS.sub(" ", (text or "").lower())
     codes = np.frombuffer(low.encode("utf-32-le", "surrogatepass"), np.uint32)
-    if not len(codes):
+    letter = _LETTERS[np.minimum(codes, len(_LETTERS) - 1)]
+    beyond = codes >= len(_LETTERS)
+    if beyond.any():
+        for code in np.unique(codes[beyond]):
+            letter[codes == code] = chr(code).isalpha()
+    if not letter.any():
         return np.zeros(CELLS, np.int64)
-    plain = codes < 128
-    letter = np.where(plain, (codes >= 97) & (codes <= 122), True)
-    if not plain.all():
-        for code in np.unique(codes[~plain]):
-            if not chr(code).isalpha():
-                letter[codes == code] = False
     keep = letter.copy()
     keep[1:] |= letter[:-1]  # one blank after each word
-    codes = np.where(letter, codes, 32)[keep].astype(np.uint64)
-    codes = np.concatenate([[np.uint64(32)], codes, [np.uint64(32)]])
-    if not letter.any():
-        return np.zeros(CELLS, np.int64)
-    mixed = codes[:-2] * np.uint64(0x9E3779B1) + codes[1:-1] * np.uint64(0x85EBCA77)
-    mixed = (mixed + codes[2:] * np.uint64(0xC2B2AE3D)) * np.uint64(0x27D4EB2F165667C5)
-    return np.bincount((mixed >> np.uint64(52)).astype(np.int64), minlength=CELLS)
+    codes = np.where(letter, codes, np.uint32(32))[keep]
+    codes = np.concatenate([_BLANK, codes, _BLANK])
+    mixed = codes[:-2] * np.uint32(0x9E3779B1)
+    mixed += codes[1:-1] * np.uint32(0x85EBCA77)
+    mixed += codes[2:] * np.uint32(0xC2B2AE3D)
+    mixed ^= mixed >> np.uint32(15)
+    mixed *= np.uint32(0x27D4EB2F)
+    return np.bincount(mixed >> np.uint32(20), minlength=CELLS)
 
 
 @dataclass(frozen=True)
