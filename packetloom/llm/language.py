@@ -53,7 +53,8 @@ UNKNOWN = 1e-9
 LEAST = 0.5
 UND = "und"
 #: Numbers, keys and the like say nothing about the language.
-_WITH_DIGITS = re.compile(r"\w*\d\w*")
+_DIGIT = re.compile(r"\d")
+_WITH_DIGITS = re.compile(r"\b[^\W\d]*\d\w*")
 
 
 _LETTERS = np.array([chr(c).isalpha() for c in range(0x3000)])
@@ -65,7 +66,9 @@ def trigram_counts(text: str | None) -> np.ndarray:
 
     Words that hold digits are left out.
     """
-    low = _WITH_DIGITS.sub(" ", (text or "").lower())
+    low = (text or "").lower()
+    if _DIGIT.search(low):
+        low = _WITH_DIGITS.sub(" ", low)
     codes = np.frombuffer(low.encode("utf-32-le", "surrogatepass"), np.uint32)
     letter = _LETTERS[np.minimum(codes, len(_LETTERS) - 1)]
     beyond = codes >= len(_LETTERS)
