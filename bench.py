@@ -17,6 +17,7 @@ from pyspark.sql import SparkSession
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from packetloom.plans import QUERIES  # noqa: E402
+from packetloom.sources import fixtures  # noqa: E402
 
 HEADLINES = [
     "ips_rule_features",
@@ -65,6 +66,7 @@ def timed(build) -> float:
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     spark = session(os.environ.get("BENCH_CPUS", "8"))
+    fixtures.SPREAD = True  # one small file would use one core
     timed(lambda: QUERIES["character_features"].build(spark, sf_dir))  # warm the JVM
     seconds = {}
     for name in HEADLINES:

@@ -8,8 +8,9 @@ The other patterns run as a regex, but only on rows that hold all their
 literal pieces.
 
 The regex dot also stops at U+0085, U+2028 and U+2029, which the one-line text
-may still hold.  Rows with such a character take the plain regex branch, so
-both branches give the regex result.
+may still hold, and at line breaks in the other texts.  There the pieces are
+searched line by line, so both branches give the regex result, and no pattern
+of literal pieces ever backtracks.
 """
 
 from __future__ import annotations
@@ -123,6 +124,28 @@ def _in_order(column: str, pieces: list[str]) -> str:
     return " AND ".join(conditions)
 
 
+#: Where the regex dot stops.
+LINES = r"r'[\n\r\x85\u2028\u2029]'"
+
+
+def _in_a_line(column: str, patterns: list[list[str]]) -> str:
+    """Do the pieces of one of the patterns occur in order within one line?"""
+    any_ = " OR ".join(f"({_in_order('line', pieces)})" for pieces in patterns)
+    return f"exists(split({column}, {LINES}), line -> {any_})"
+
+
+def atomic(pattern: str) -> str:
+    """The same matches, but a gap before a literal piece is not tried again.
+
+    A later occurrence of a literal piece never lets the rest match where the
+    first one does not, so nothing is lost.
+    """
+    first, *rest = pattern.split(GAP)
+    return first + "".join(
+        f"(?>.*?{piece})" if literal_of(piece) is not None else f"{GAP}{piece}" for piece in rest
+    )
+
+
 def pattern_sql(pattern: str, column: str, *, one_line_text: bool) -> str:
     """Condition that a pattern matches, cheapest exact form.
 
@@ -135,7 +158,9 @@ def pattern_sql(pattern: str, column: str, *, one_line_text: bool) -> str:
     if None not in pieces and one_line_text:
         return _in_order(column, pieces)
     present = [has(column, t) for t in required_texts(pattern)]
-    return " AND ".join([*present, f"{column} RLIKE {text_literal(pattern)}"])
+    if None not in pieces:
+        return " AND ".join([*present, _in_a_line(column, [pieces])])
+    return " AND ".join([*present, f"{column} RLIKE {text_literal(atomic(pattern))}"])
 
 
 def match_sql(alt: Alt) -> str:
@@ -161,7 +186,7 @@ def _has_plain_gap(alt: Alt) -> bool:
 
 
 def merged_regex_sql(rule: Rule) -> str:
-    """All alternatives of a rule with one regex per scope and guard."""
+    """All alternatives of a rule, line by line, for rows with odd line breaks."""
     groups: dict[tuple, list[Alt]] = {}
     for a in rule.alts:
         groups.setdefault((a.scope, a.needs, a.http_guard, a.literal), []).append(a)
@@ -170,8 +195,13 @@ def merged_regex_sql(rule: Rule) -> str:
         first, column = alts[0], getattr(SCOPES, alts[0].scope)
         if first.literal:
             hits += [_guarded(a, has(column, instr_text(a))) for a in alts]
-        else:
-            joined = "|".join(a.pattern for a in alts)
+            continue
+        cut = {a.pattern: [literal_of(p) for p in a.pattern.split(GAP)] for a in alts}
+        plain = [pieces for pieces in cut.values() if None not in pieces]
+        joined = "|".join(atomic(p) for p, pieces in cut.items() if None in pieces)
+        if plain:
+            hits.append(_guarded(first, _in_a_line(column, plain)))
+        if joined:
             hits.append(_guarded(first, f"{column} RLIKE {text_literal(joined)}"))
     return " OR ".join(hits)
 
@@ -200,13 +230,31 @@ def _occurrences_sql(alt: Alt) -> str:
     if plain is not None:
         gone = f"length({column}) - length(replace({column}, {text_literal(plain)}, ''))"
         return f"CAST(({gone}) / {len(plain)} AS INT)"
-    present = " AND ".join(has(column, t) for t in required_texts(alt.pattern))
-    return f"CASE WHEN {present} THEN regexp_count({column}, {text_literal(alt.pattern)}) ELSE 0 END"
+    present = pattern_sql(alt.pattern, column, one_line_text=False)
+    counted = f"regexp_count({column}, {text_literal(atomic(alt.pattern))})"
+    return f"CASE WHEN {present} THEN {counted} ELSE 0 END"
 
 
 # --- one alternation for many patterns --------------------------------------
 
 
+def occurring_sql(patterns: list[str], column: str) -> str:
+    """The alternation of those patterns that occur in the text of this row, '' if none.
+
+    Patterns of literal pieces are looked for without a regex first, so those
+    that only seem to begin never reach the regex engine.
+    """
+    cases = []
+    for pattern in dict.fromkeys(patterns):
+        pieces = [literal_of(p) for p in pattern.split(GAP)]
+        if None in pieces:
+            present = " AND ".join(has(column, t) for t in required_texts(pattern)) or "true"
+        else:
+            present = pattern_sql(pattern, column, one_line_text=False)
+        cases.append(f"CASE WHEN {present} THEN {text_literal(atomic(pattern))} END")
+    return f"array_join(array({', '.join(cases)}), '|')"
+
+
 def alternation(patterns: list[str]) -> str:
     """The patterns joined by ``|`` with common beginnings written once.
 

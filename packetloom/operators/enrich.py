@@ -15,30 +15,35 @@ def ip_number(c: Column) -> Column:
 
 
 def with_country(df: DataFrame, ip_col: str, ranges: DataFrame, out_col: str = "country") -> DataFrame:
-    """Left range join on ``start_ip <= ip <= end_ip``.
+    """Country of the narrowest range with ``start_ip <= ip <= end_ip``.
 
-    Ranges are cut into the /16 blocks they touch, which gives an equi key;
-    Spark broadcasts the ranges or merges on the block, whatever their size
-    asks for, and splits a block that is hot.  Rows without an address or a
-    range get ``not found``.
+    Ranges are cut into the /16 blocks they touch, and a block becomes one row
+    with its ranges, narrowest first.  So every row meets one block at most and
+    never multiplies, also where ranges overlap.  Spark broadcasts the blocks or
+    merges on them, whatever their size asks for, and splits a block that is
+    hot.  Rows without an address or a range get ``not found``.
     """
-    cut = ranges.select(
-        "start_ip",
-        "end_ip",
-        F.col("country").alias("__country"),
-        F.explode(F.sequence(F.shiftright("start_ip", 16), F.shiftright("end_ip", 16))).alias(
-            "__block"
-        ),
+    one = F.struct(
+        (F.col("end_ip") - F.col("start_ip")).alias("width"),
+        F.col("start_ip").alias("first"),
+        F.col("end_ip").alias("last"),
+        F.col("country").alias("name"),
+    )
+    blocks = (
+        ranges.select(
+            one.alias("range"),
+            F.explode(F.sequence(F.shiftright("start_ip", 16), F.shiftright("end_ip", 16))).alias(
+                "__block"
+            ),
+        )
+        .groupBy("__block")
+        .agg(F.array_sort(F.collect_list("range")).alias("__ranges"))  # of one block of addresses
     )
     left = df.withColumn("__ip", ip_number(F.col(ip_col))).withColumn(
         "__ip_block", F.shiftright("__ip", 16)
     )
-    joined = left.join(
-        cut,
-        (F.col("__ip_block") == F.col("__block"))
-        & F.col("__ip").between(F.col("start_ip"), F.col("end_ip")),
-        "left",
-    )
-    return joined.withColumn(out_col, F.coalesce("__country", F.lit("not found"))).drop(
-        "__ip", "__ip_block", "__block", "__country", "start_ip", "end_ip"
-    )
+    joined = left.join(blocks, F.col("__ip_block") == F.col("__block"), "left")
+    fitting = F.filter("__ranges", lambda r: F.col("__ip").between(r["first"], r["last"]))
+    return joined.withColumn(
+        out_col, F.coalesce(F.get(fitting, F.lit(0))["name"], F.lit("not found"))
+    ).drop("__ip", "__ip_block", "__block", "__ranges")

@@ -145,17 +145,43 @@ def top_as_text(df: DataFrame, out_col: str, *, k: int = 10, col: str = "explain
     return df.withColumn(out_col, F.array_join(lines, "\n"))
 
 
+def token_ranks(tokens: Column, weights: dict[str, float]) -> Column:
+    """Array of ``order_key, token_no, token, phi``, largest share first; in the row.
+
+    The share of a token is ``sigmoid(|phi|)`` over the sum in the row, in
+    percent; ``order_key`` is its negative.
+    """
+    known = F.create_map(*[F.lit(x) for pair in weights.items() for x in pair])
+    phis = F.transform(
+        tokens,
+        lambda t, i: F.struct(
+            i.alias("token_no"),
+            t.alias("token"),
+            F.coalesce(F.element_at(known, F.lower(t)), F.lit(0.0)).alias("phi"),
+        ),
+    )
+
+    def shared(rows: Column) -> Column:
+        whole = F.aggregate(rows, F.lit(0.0), lambda acc, x: acc + sigmoid(F.abs(x["phi"])))
+        return F.get(F.transform(F.array(whole), lambda total: of(rows, total)), F.lit(0))
+
+    def of(rows: Column, total: Column) -> Column:
+        def entry(x: Column) -> Column:
+            percent = F.round(sigmoid(F.abs(x["phi"])) / total * 100, 2)
+            names = ("token_no", "token", "phi")
+            kept = [x[n].alias(n) for n in names]
+            return F.struct((-percent).alias("order_key"), *kept)
+
+        return F.array_sort(F.transform(rows, entry))
+
+    return F.get(F.transform(F.array(phis), shared), F.lit(0))
+
+
 def describe(df: DataFrame, definitions: DataFrame) -> DataFrame:
     """Add the description of each feature, NULL when there is none."""
     return df.join(definitions, "feature", "left")
 
 
-def with_keywords(df: DataFrame, keywords: DataFrame, ids: list[str]) -> DataFrame:
-    """Add the keywords found in the payload, ``-`` when there are none."""
-    joined = df.join(keywords, [*ids, "feature"], "left")
-    return joined.withColumn("keywords", F.coalesce("keywords", F.lit("-")))
-
-
 def shares(df: DataFrame, *, k: int = 10, col: str = "explained") -> DataFrame:
     """Add the shares of the top features: all of them and the attack ones."""
     top = F.slice(F.col(col), 1, k)
@@ -226,10 +252,19 @@ def keyword_union(rules) -> list[str]:
     return list(dict.fromkeys(p for r in rules for p in keyword_patterns(r)))
 
 
-def fragments(lower_text: Column, rules) -> Column:
-    """Texts that the rules' patterns cover, left to right, not overlapping."""
-    pattern = matching.alternation(keyword_union(rules))
-    return F.regexp_extract_all(lower_text, F.lit(pattern), F.lit(0))
+def with_found(df: DataFrame, text_col: str, rules, out_col: str) -> DataFrame:
+    """Add the texts that the rules' patterns cover, left to right, not overlapping.
+
+    The regex holds only those patterns that occur in the text of the row.
+    """
+    pattern = matching.occurring_sql(keyword_union(rules), text_col)
+    found = F.regexp_extract_all(text_col, F.col("__pattern"), F.lit(0))
+    none = F.array().cast("array<string>")
+    return (
+        df.withColumn("__pattern", F.expr(pattern))
+        .withColumn(out_col, F.when(F.col("__pattern") != "", found).otherwise(none))
+        .drop("__pattern")
+    )
 
 
 def agent_text(text: Column) -> Column:
@@ -268,11 +303,14 @@ def _with_fragments(df: DataFrame, text_col: str, fam: Family) -> DataFrame:
     User-agent fragments are only looked for behind a single HTTP version.
     """
     others, agents = _split_alternatives(fam)
-    found = df.withColumn("__line", one_line(text_or_empty(F.col(text_col))))
-    parts = [fragments(F.lower("__line"), others)]
+    line = one_line(text_or_empty(F.col(text_col)))
+    out = df.withColumn("__line", line).withColumn("__low", F.lower("__line"))
+    out = with_found(out, "__low", others, "__fragments")
     if agents:
-        parts.append(fragments(F.lower(agent_text(F.col("__line"))), agents))
-    return found.withColumn("__fragments", F.concat(*parts)).drop("__line")
+        out = out.withColumn("__low", F.lower(agent_text(F.col("__line"))))
+        out = with_found(out, "__low", agents, "__agents")
+        out = out.withColumn("__fragments", F.concat("__fragments", "__agents")).drop("__agents")
+    return out.drop("__line", "__low")
 
 
 def with_evidence(df: DataFrame, text_col: str, fam: Family) -> DataFrame:
@@ -309,14 +347,18 @@ def evidence(df: DataFrame, text_col: str, ids: list[str], fam: Family) -> DataF
     )
 
 
-def keyword_lists(evidence_rows: DataFrame, ids: list[str]) -> DataFrame:
-    """``ids, feature, keywords`` joined in the order of the text."""
-    entry = F.struct("fragment_no", "alt_no", "keyword")
-    return evidence_rows.groupBy(*ids, "feature").agg(
-        F.array_join(
-            F.transform(F.array_sort(F.collect_list(entry)), lambda x: x["keyword"]), ", "
-        ).alias("keywords")
-    )
+def keyword_lists(df: DataFrame, ids: list[str], features: list[str]) -> DataFrame:
+    """``ids, feature, keywords`` of the ``evidence`` column, joined in text order."""
+    numbers = F.array_distinct(F.transform("evidence", lambda e: e["feature_no"]))
+
+    def of(no: Column) -> Column:
+        mine = F.filter("evidence", lambda e: e["feature_no"] == no)
+        words = F.array_join(F.transform(mine, lambda e: e["keyword"]), ", ")
+        return F.struct(no.alias("feature_no"), words.alias("keywords"))
+
+    rows = df.select(*ids, F.inline(F.transform(numbers, of)))
+    names = F.array(*(F.lit(f) for f in features))
+    return rows.select(*ids, F.get(names, F.col("feature_no")).alias("feature"), "keywords")
 
 
 def signature_matches(

@@ -20,9 +20,24 @@ def null_counts(df: DataFrame, columns: list[str]) -> DataFrame:
 def describe(df: DataFrame, columns: list[str]) -> DataFrame:
     """One row per column with exact quartiles.
 
-    The values of each column are counted first, so that the quartiles come
-    from the distinct values and their frequencies, not from all rows.
+    Counts, mean, deviation and limits come from one wide aggregate.  For the
+    quartiles the values of each column are counted first, so that they come
+    from the distinct values and their frequencies, not from all rows; they are
+    meant for counts and flags.
     """
+    wide = df.agg(
+        *[
+            F.struct(
+                F.lit(c).alias("feature"),
+                F.count(c).alias("n"),
+                F.round(F.avg(c), 6).alias("mean"),
+                F.round(F.stddev_samp(c), 6).alias("std"),
+                F.min(c).cast("double").alias("min"),
+                F.max(c).cast("double").alias("max"),
+            ).alias(c)
+            for c in columns
+        ]
+    ).select(F.inline(F.array(*columns)))
     cells = F.array(
         *(
             F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value"))
@@ -35,23 +50,15 @@ def describe(df: DataFrame, columns: list[str]) -> DataFrame:
         .groupBy("feature", "value")
         .agg(F.count("*").alias("freq"))
     )
-    v, w = F.col("value"), F.col("freq")
-    n = F.sum(w)
-    mean = F.sum(v * w) / n
-    variance = (F.sum(v * v * w) - n * mean * mean) / (n - 1)
 
     def quartile(p: float):
-        return F.percentile(v, F.lit(p), w)
-
-    return counted.groupBy("feature").agg(
-        n.alias("n"),
-        F.round(mean, 6).alias("mean"),
-        F.round(F.sqrt(variance), 6).alias("std"),
-        F.min(v).alias("min"),
-        quartile(0.25).alias("q25"),
-        quartile(0.5).alias("q50"),
-        quartile(0.75).alias("q75"),
-        F.max(v).alias("max"),
+        return F.percentile("value", F.lit(p), F.col("freq"))
+
+    quartiles = counted.groupBy("feature").agg(
+        quartile(0.25).alias("q25"), quartile(0.5).alias("q50"), quartile(0.75).alias("q75")
+    )
+    return wide.join(quartiles, "feature", "left").select(
+        "feature", "n", "mean", "std", "min", "q25", "q50", "q75", "max"
     )
 
 

@@ -28,18 +28,49 @@ def with_probability(
     return df.withColumn(out_col, sigmoid(linear_score(coefs, intercept)))
 
 
-def long_scores(long: DataFrame, ids: list[str], coefs: DataFrame, intercept: float) -> DataFrame:
+def long_scores(
+    long: DataFrame, every: DataFrame, ids: list[str], coefs: DataFrame, intercept: float
+) -> DataFrame:
     """The same score from long features and a coefficient table.
 
-    Needs ids whose texts have at least one row in ``long``.
+    ``every`` names all ids, so that a text without any feature scores the
+    intercept.
     """
+    weight = F.coalesce("coef", F.lit(0.0)) * F.col("value")
+    terms = long.join(coefs.select("feature", "coef"), "feature", "left").select(
+        *ids, weight.alias("term")
+    )
     return (
-        long.join(coefs.select("feature", "coef"), "feature", "left")
+        terms.unionByName(every.select(*ids, F.lit(0.0).alias("term")))
         .groupBy(*ids)
-        .agg((F.lit(intercept) + F.sum(F.coalesce("coef", F.lit(0.0)) * F.col("value"))).alias("score"))
+        .agg((F.lit(intercept) + F.sum("term")).alias("score"))
     )
 
 
+def _weight_sum(words: Column, weights: Column) -> Column:
+    found = F.transform(words, lambda w: F.coalesce(F.element_at(weights, w), F.lit(0.0)))
+    return F.aggregate(found, F.lit(0.0), lambda acc, x: acc + x)
+
+
+def best_class(
+    words: Column, intercepts: dict[str, float], weights: dict[str, dict[str, float]]
+) -> Column:
+    """Struct of the class with the highest linear score of the words, and the score.
+
+    Everything is in the row; a row without known words gets the class with the
+    highest intercept, equal scores go to the first name.
+    """
+    words = F.coalesce(words, F.array().cast("array<string>"))
+    structs = []
+    for name in sorted(intercepts):
+        pairs = [F.lit(x) for pair in weights.get(name, {}).items() for x in pair]
+        known = F.create_map(*pairs) if pairs else F.lit(None).cast("map<string,double>")
+        score = F.lit(float(intercepts[name])) + _weight_sum(words, known)
+        structs.append(F.struct((-score).alias("low"), F.lit(name).alias("agent_class")))
+    best = F.array_min(F.array(*structs))
+    return F.struct(best["agent_class"].alias("agent_class"), (-best["low"]).alias("score"))
+
+
 def as_percent(p: Column) -> Column:
     """Probability, rounded to two places, as an integer percentage."""
     return F.round(F.round(p, 2) * 100).cast("int")

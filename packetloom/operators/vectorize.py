@@ -24,30 +24,51 @@ def tokens_with_separators(c: Column, separators: str = KEPT_SEPARATORS) -> Colu
     return F.filter(both, lambda t: F.coalesce(t, F.lit("")) != "")
 
 
+def counted(token_array: Column) -> Column:
+    """Array of ``word, term_count``, each word of the row once; in n log n time."""
+
+    def of(words: Column) -> Column:
+        places = F.sequence(F.lit(0), F.size(words) - 1)
+        starts = F.filter(
+            places,
+            lambda i: (i == 0) | (F.get(words, i) != F.get(words, i - 1)),
+        )
+        return F.get(F.transform(F.array(starts), lambda at: lengths(words, at)), F.lit(0))
+
+    def lengths(words: Column, starts: Column) -> Column:
+        return F.transform(
+            starts,
+            lambda at, k: F.struct(
+                F.get(words, at).alias("word"),
+                (F.coalesce(F.get(starts, k + 1), F.size(words)) - at)
+                .cast("long")
+                .alias("term_count"),
+            ),
+        )
+
+    found = F.get(F.transform(F.array(F.array_sort(token_array)), of), F.lit(0))
+    return F.when(F.size(token_array) > 0, found)
+
+
 def term_counts(
     df: DataFrame, ids: list[str], token_array: Column, vocabulary: DataFrame
 ) -> DataFrame:
     """``ids, feature, word, term_count`` for the words of the vocabulary.
 
-    Words outside the vocabulary go before the shuffle; the tokens of a text
-    lie in one partition, so the counts are complete map-side.
+    Words are counted within their row, so nothing is shuffled when Spark
+    broadcasts the vocabulary.
     """
-    words = df.select(*ids, F.explode(token_array).alias("word"))
-    return (
-        words.join(vocabulary.select("feature", "word"), "word")
-        .groupBy(*ids, "feature", "word")
-        .agg(F.count("*").alias("term_count"))
+    words = df.select(*ids, F.inline(counted(token_array)))
+    return words.join(vocabulary.select("feature", "word"), "word").select(
+        *ids, "feature", "word", "term_count"
     )
 
 
 def tfidf(df: DataFrame, ids: list[str], token_array: Column, vocabulary: DataFrame) -> DataFrame:
     """Term counts times the stored IDF."""
-    words = df.select(*ids, F.explode(token_array).alias("word"))
-    return (
-        words.join(vocabulary, "word")
-        .groupBy(*ids, "feature", "word")
-        .agg(F.count("*").alias("term_count"), F.first("idf").alias("idf"))
-        .select(*ids, "feature", "word", (F.col("term_count") * F.col("idf")).alias("value"))
+    words = df.select(*ids, F.inline(counted(token_array)))
+    return words.join(vocabulary, "word").select(
+        *ids, "feature", "word", (F.col("term_count") * F.col("idf")).alias("value")
     )
 
 

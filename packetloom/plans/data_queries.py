@@ -15,12 +15,15 @@ from packetloom.sources import files, samples
 from packetloom.sources.fixtures import fixture, read_table
 from packetloom.sources.scratch import scratch_path
 
+#: Tokens of a training text.
+TOKEN_BUDGET = 1024
+
 # --- question answering data ------------------------------------------------
 
 _SQUAD = (
     "SELECT conv_id, turn, conv_id * 1000 + turn AS row_id, "
     "CASE WHEN conv_id % 3 = 0 THEN question ELSE question || ' ' || answer END AS context, "
-    "substr(answer, 1, 40) AS payload, question, answer FROM qa_pairs"
+    "answer AS payload, question, answer FROM qa_pairs"
 )
 _SPANNED = (
     "SELECT conv_id, turn, row_id, lower(context) AS context, payload, lower(question) AS question, "
@@ -37,7 +40,7 @@ def squad_rows(spark, sf_dir):
         "turn",
         (F.col("conv_id") * 1000 + F.col("turn")).alias("row_id"),
         F.when(F.col("conv_id") % 3 == 0, F.col("question")).otherwise(whole).alias("context"),
-        F.substring("answer", 1, 40).alias("payload"),
+        F.col("answer").alias("payload"),
         "question",
         "answer",
     )
@@ -127,14 +130,15 @@ def distinct_answers(spark, sf_dir):
 
 _INSTRUCTIONS = (
     "SELECT coalesce(question, '') AS instruction, "
-    "CASE WHEN conv_id % 2 = 0 THEN translate(substr(answer, 1, 60), chr(10) || chr(13) || chr(9), '   ') ELSE '' END AS input, "
+    "CASE WHEN turn % 2 = 0 THEN translate(coalesce(answer, ''), chr(10) || chr(13) || chr(9), '   ') ELSE '' END AS input, "
     "coalesce(answer, '') AS output FROM qa_pairs"
 )
 
 
 def _instructions(spark, sf_dir):
+    # even turns carry an input, odd ones have none
     pairs = fixture(spark, sf_dir, "qa_pairs").withColumn(
-        "given", F.when(F.col("conv_id") % 2 == 0, F.substring("answer", 1, 60))
+        "given", F.when(F.col("turn") % 2 == 0, F.col("answer"))
     )
     return datasets.instruction_records(pairs, "question", "given", "answer")
 
@@ -164,9 +168,9 @@ def instruction_prompts(spark, sf_dir):
 
 @query(
     sql(
-        "SELECT prompt, CASE WHEN len(t) < 48 THEN list_append(t, '</s>') ELSE t END AS input_tokens, "
-        "CAST(CASE WHEN len(t) < 48 THEN len(t) + 1 ELSE len(t) END AS BIGINT) AS n_tokens FROM "
-        "(SELECT prompt, string_split_regex(prompt, '\\s+')[1:48] AS t FROM p)",
+        f"SELECT prompt, CASE WHEN len(t) < {TOKEN_BUDGET} THEN list_append(t, '</s>') ELSE t END AS input_tokens, "
+        f"CAST(CASE WHEN len(t) < {TOKEN_BUDGET} THEN len(t) + 1 ELSE len(t) END AS BIGINT) AS n_tokens FROM "
+        f"(SELECT prompt, string_split_regex(prompt, '\\s+')[1:{TOKEN_BUDGET}] AS t FROM p)",
         i=_INSTRUCTIONS,
         p=_PROMPTS,
     )
@@ -174,7 +178,7 @@ def instruction_prompts(spark, sf_dir):
 def training_tokens(spark, sf_dir):
     """Tokens of the training texts within a budget, with end marker."""
     prompts = _instructions(spark, sf_dir).select(datasets.instruction_prompt().alias("prompt"))
-    tokens = datasets.training_tokens(F.split("prompt", "\\s+"), 48)
+    tokens = datasets.training_tokens(F.split("prompt", "\\s+"), TOKEN_BUDGET)
     return prompts.withColumn("input_tokens", tokens).withColumn(
         "n_tokens", F.size("input_tokens").cast("long")
     )
@@ -687,14 +691,14 @@ def answer_report(spark, sf_dir):
 
 # --- files ------------------------------------------------------------------
 
-_RENAMED = "SELECT replace(payload, 'item', 'webpage') AS payload, CASE WHEN label = 'anomalies' THEN 1 ELSE 0 END AS label FROM traffic WHERE payload <> ''"
+_RENAMED = "SELECT replace(payload, 'item', 'webpage') AS payload, CASE WHEN label = 'anomalies' THEN 1 ELSE 0 END AS label FROM traffic"
 
 
 @query(sql(_RENAMED))
 def csv_round_trip(spark, sf_dir):
     """Labelled payloads through CSV, recoded on the way in."""
     path = scratch_path(spark, "payloads")
-    rows = fixture(spark, sf_dir, "traffic").select("payload", "label").where("payload <> ''")
+    rows = fixture(spark, sf_dir, "traffic").select("payload", "label")
     files.write_csv(rows, path)
     back = files.register(files.read_csv(spark, path, files.PAYLOAD_SCHEMA), "labelled_payloads")
     return back.select(

@@ -255,7 +255,7 @@ def null_counts(spark, sf_dir):
     return profile.null_counts(rows, ["event_id", "payload", "label"])
 
 
-_DESCRIBED = ["ips_payload_dir_count", "ips_payload_semicolon_count", "ips_payload_sql_01_comb"]
+_DESCRIBED = list(family("ips").features)
 
 
 def _describe_sql() -> str:

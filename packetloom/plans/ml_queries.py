@@ -50,7 +50,7 @@ def _both_parts(table):
 def boosted_tree_scores(spark, sf_dir):
     """Boosted trees on the training features, scored on the held-out part."""
     train, test = _both_parts(_attack_table(spark, sf_dir))
-    model = learn.fit_boosted_trees(train, TRAINING.features, "target", maxIter=5, maxDepth=4)
+    model = learn.fit_boosted_trees(train, TRAINING.features, "target")
     p = F.get("proba", F.lit(1))
     return learn.score(model, test).select(
         "event_id", "label", F.round(p, 6).alias("attack_proba"), scoring.binary_comment(p).alias("comment")
@@ -84,7 +84,7 @@ def saved_model_scores(spark, sf_dir):
 def tree_attributions(spark, sf_dir):
     """Occlusion attributions of the boosted trees on the held-out part."""
     train, test = _both_parts(_attack_table(spark, sf_dir))
-    model = learn.fit_boosted_trees(train, TRAINING.features, "target", maxIter=5, maxDepth=4)
+    model = learn.fit_boosted_trees(train, TRAINING.features, "target")
     means = explain.feature_means(train, TRAINING.features)
     baseline = {f: float(round(m)) for f, m in means.items()}
     out = learn.occlusion(model, test, ["event_id"], TRAINING.features, baseline)
@@ -115,7 +115,7 @@ def weblog_class_scores(spark, sf_dir):
     path = scratch_path(spark, "log-features")
     wide.write.parquet(path)
     table = spread(spark.read.parquet(path))
-    model = learn.fit_forest(table, WEB.features, "target", numTrees=5, maxDepth=5)
+    model = learn.fit_forest(table, WEB.features, "target")
     scored = learn.score(model, table).select(
         "event_id", "prediction", *scoring.class_percentages(F.col("proba"))
     )
@@ -156,14 +156,14 @@ def agent_class_model(spark, sf_dir):
 @query()
 def text_model_scores(spark, sf_dir):
     """Class-weighted linear model on hashed payload tokens."""
-    rows = fixture(spark, sf_dir, "traffic").where("payload IS NOT NULL")
+    rows = fixture(spark, sf_dir, "traffic").fillna("", ["payload"])
     path = scratch_path(spark, "texts")
     evaluate.with_class_weight(rows, "label").select(
         "event_id", "payload", "weight", (F.col("label") == "anomalies").cast("double").alias("target")
     ).write.parquet(path)
     table = spread(spark.read.parquet(path))
     model = learn.fit_text_classifier(
-        table, "payload", "target", separators=vectorize.KEPT_SEPARATORS, weight_col="weight", cells=1 << 12
+        table, "payload", "target", separators=vectorize.KEPT_SEPARATORS, weight_col="weight"
     )
     return learn.score(model, table).select(
         "event_id",

@@ -65,7 +65,7 @@ _LONG = (
     sql(
         f"SELECT event_id, round({INTERCEPT} + sum(coalesce(c.coef, 0) * value), 9) AS score "
         f"FROM l LEFT JOIN ({samples.coefficients('ips').sql()}) c ON l.feature = c.feature "
-        "WHERE value <> 0 GROUP BY event_id",
+        "GROUP BY event_id",
         f=_FEATURES,
         l=_LONG,
     )
@@ -74,7 +74,8 @@ def scores_from_long_features(spark, sf_dir):
     """The same model as a coefficient table joined to long features."""
     long = feat.to_long(traffic_features(spark, sf_dir), ID, IPS.features, nonzero=True)
     coefs = samples.coefficients("ips").to_df(spark)
-    return scoring.long_scores(long, ID, coefs, INTERCEPT).select(
+    every = fixture(spark, sf_dir, "traffic").select(*ID)
+    return scoring.long_scores(long, every, ID, coefs, INTERCEPT).select(
         "event_id", F.round("score", 9).alias("score")
     )
 
@@ -140,8 +141,8 @@ def keyword_evidence(spark, sf_dir):
 @query(sql("SELECT event_id, feature, keywords FROM keyword_rows", **_EVIDENCE))
 def keyword_lists(spark, sf_dir):
     """The keywords of every payload and feature in one text."""
-    found = explain.evidence(fixture(spark, sf_dir, "traffic"), "payload", ID, IPS)
-    return explain.keyword_lists(found, ID)
+    found = explain.with_evidence(fixture(spark, sf_dir, "traffic"), "payload", IPS)
+    return explain.keyword_lists(found, ID, IPS.features)
 
 
 def _explained(spark, sf_dir, keep=("event_id", "label")):
@@ -192,9 +193,8 @@ def explanation_top10(spark, sf_dir):
 )
 def explanation_sentences(spark, sf_dir):
     """A sentence for each of the three most important features."""
-    top = explain.top_features(_explained(spark, sf_dir), ID, k=3)
-    found = explain.evidence(fixture(spark, sf_dir, "traffic"), "payload", ID, IPS)
-    rows = explain.with_keywords(top, explain.keyword_lists(found, ID), ID)
+    explained = _explained(spark, sf_dir, ("event_id", "payload"))
+    rows = explain.top_features(explain.with_evidence(explained, "payload", IPS), ID, k=3)
     return explain.sentences(rows).select("event_id", "rank", "statement")
 
 
@@ -401,9 +401,9 @@ def document_idf(spark, sf_dir):
 
 
 _INTERLEAVED = (
-    f"SELECT event_id, list_filter(flatten(list_transform(list_zip(string_split_regex(payload, {quoted(_KEPT)}), "
-    f"regexp_extract_all(payload, {quoted(_KEPT)})), lambda z: [z[1], z[2]])), "
-    "lambda x: coalesce(x, '') <> '') AS tok FROM traffic WHERE payload IS NOT NULL"
+    f"SELECT event_id, list_filter(flatten(list_transform(list_zip(string_split_regex(coalesce(payload, ''), {quoted(_KEPT)}), "
+    f"regexp_extract_all(coalesce(payload, ''), {quoted(_KEPT)})), lambda z: [z[1], z[2]])), "
+    "lambda x: coalesce(x, '') <> '') AS tok FROM traffic"
 )
 
 
@@ -414,7 +414,7 @@ _INTERLEAVED = (
 )
 def attribution_tokens(spark, sf_dir):
     """Tokens with their separators, and the first 64 of them."""
-    rows = fixture(spark, sf_dir, "traffic").where("payload IS NOT NULL")
+    rows = fixture(spark, sf_dir, "traffic").fillna("", ["payload"])
     out = rows.withColumn("tokens", vectorize.tokens_with_separators(F.col("payload")))
     return out.select(
         "event_id",
@@ -433,12 +433,6 @@ _TOKEN_TOP = (
 )
 
 
-def _token_rows(spark, sf_dir):
-    rows = fixture(spark, sf_dir, "traffic").where("payload IS NOT NULL")
-    rows = rows.withColumn("tokens", vectorize.tokens_with_separators(F.col("payload")))
-    return rows.select("event_id", F.col("payload"), F.posexplode("tokens").alias("token_no", "token"))
-
-
 @query(
     sql(
         "SELECT event_id, rank, token, percent, CASE WHEN phi >= 0 THEN '공격' ELSE '정상' END AS direction "
@@ -450,25 +444,15 @@ def _token_rows(spark, sf_dir):
 )
 def token_attribution(spark, sf_dir):
     """The ten tokens that move the linear text score most."""
-    weights = samples.TOKEN_WEIGHTS.to_df(spark).withColumnRenamed("token", "known")
-    rows = _token_rows(spark, sf_dir).drop("payload")
-    rows = rows.join(weights, F.lower("token") == F.col("known"), "left")
-    phi = F.coalesce("weight", F.lit(0.0))
-    # the tokens of one payload; payloads are bounded, ids are not skewed
-    mine = Window.partitionBy("event_id")
-    share = scoring.sigmoid(F.abs(phi))
-    rows = rows.withColumn("percent", F.round(share / F.sum(share).over(mine) * 100, 2))
-    rank = F.row_number().over(mine.orderBy(F.desc("percent"), "token_no"))
-    return (
-        rows.withColumn("rank", rank)
-        .where("rank <= 10")
-        .select(
-            "event_id",
-            "rank",
-            "token",
-            "percent",
-            F.when(phi >= 0, explain.ATTACK).otherwise(explain.NORMAL).alias("direction"),
-        )
+    rows = fixture(spark, sf_dir, "traffic").fillna("", ["payload"])
+    tokens = vectorize.tokens_with_separators(F.col("payload"))
+    ranked = explain.token_ranks(tokens, dict(samples.TOKEN_WEIGHTS.rows))
+    return rows.select("event_id", F.posexplode(F.slice(ranked, 1, 10)).alias("at", "x")).select(
+        "event_id",
+        (F.col("at") + 1).alias("rank"),
+        "x.token",
+        (-F.col("x.order_key")).alias("percent"),
+        F.when(F.col("x.phi") >= 0, explain.ATTACK).otherwise(explain.NORMAL).alias("direction"),
     )
 
 
@@ -482,7 +466,7 @@ def token_attribution(spark, sf_dir):
 )
 def token_offsets(spark, sf_dir):
     """First position of every token in its payload."""
-    rows = fixture(spark, sf_dir, "traffic").where("payload IS NOT NULL")
+    rows = fixture(spark, sf_dir, "traffic").fillna("", ["payload"])
     words = F.array_distinct(vectorize.tokens_with_separators(F.col("payload")))
     at = F.position(F.col("token"), F.col("payload")) - 1
     return rows.select("event_id", "payload", F.explode(words).alias("token")).select(
@@ -620,26 +604,25 @@ def agent_tfidf(spark, sf_dir):
     sql(
         "SELECT event_id, agent_class, score FROM (SELECT *, row_number() OVER "
         "(PARTITION BY event_id ORDER BY score DESC, agent_class) AS k FROM "
-        "(SELECT w.event_id, a.agent_class, sum(a.weight) AS score FROM words w "
-        f"JOIN ({samples.AGENT_WEIGHTS.sql()}) a ON w.word = a.word GROUP BY w.event_id, a.agent_class)) WHERE k = 1",
+        "(SELECT g.event_id, b.agent_class, b.intercept + coalesce(sum(a.weight), 0) AS score "
+        f"FROM logs g CROSS JOIN ({samples.AGENT_INTERCEPTS.sql()}) b LEFT JOIN words w ON w.event_id = g.event_id "
+        f"LEFT JOIN ({samples.AGENT_WEIGHTS.sql()}) a ON w.word = a.word AND a.agent_class = b.agent_class "
+        "WHERE g.parse_status = 'web log' GROUP BY g.event_id, b.agent_class, b.intercept)) WHERE k = 1",
         **_AGENT_WORDS,
     )
 )
 def agent_classes(spark, sf_dir):
-    """Best class of every user agent with a known word."""
+    """Best class of the user agent of every parsed log."""
     logs = httpparse.parse_weblogs(fixture(spark, sf_dir, "weblogs"), "web_log")
     words = vectorize.tokens(
         httpparse.agent_words(F.col("user_agent")), vectorize.AGENT_SEPARATORS
     )
-    rows = logs.select("event_id", F.explode(words).alias("word"))
-    scored = (
-        rows.join(samples.AGENT_WEIGHTS.to_df(spark), "word")
-        .groupBy("event_id", "agent_class")
-        .agg(F.sum("weight").alias("score"))
-    )
-    best = F.min_by(
-        F.struct("agent_class", "score"), F.struct(-F.col("score"), F.col("agent_class"))
-    )
-    return scored.groupBy("event_id").agg(best.alias("b")).select(
-        "event_id", "b.agent_class", "b.score"
+    weights = {}
+    for name, word, weight in samples.AGENT_WEIGHTS.rows:
+        weights.setdefault(name, {})[word] = weight
+    best = scoring.best_class(words, dict(samples.AGENT_INTERCEPTS.rows), weights)
+    return (
+        logs.where("parse_status = 'web log'")
+        .withColumn("best", best)
+        .select("event_id", "best.agent_class", "best.score")
     )

@@ -15,6 +15,9 @@ PAYLOAD_SCHEMA = T.StructType(
 )
 
 
+# How a missing value is written; an empty text stays an empty text.
+NULL = "\\N"
+
 # Encodings that Spark's text sources take themselves.
 _NATIVE = {"UTF-8", "US-ASCII", "ISO-8859-1", "UTF-16", "UTF-16BE", "UTF-16LE", "UTF-32"}
 
@@ -48,6 +51,7 @@ def read_csv(
         .option("multiLine", True)
         .option("quote", '"')
         .option("escape", '"')
+        .option("nullValue", NULL)
         .option("encoding", encoding if native else "ISO-8859-1")
         .csv(path)
     )
@@ -63,6 +67,7 @@ def write_csv(df: DataFrame, path: str, *, encoding: str = "UTF-8") -> None:
         .option("escape", '"')
         .option("encoding", encoding if native else "ISO-8859-1")
         .option("emptyValue", "")
+        .option("nullValue", NULL)
         .csv(path)
     )
 

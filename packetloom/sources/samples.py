@@ -148,6 +148,11 @@ AGENT_WEIGHTS = Dim(
     ],
 )
 
+AGENT_INTERCEPTS = Dim(
+    "agent_class STRING, intercept DOUBLE",
+    [("application", 0.25), ("normal_bot_crawler", 0.0), ("bad_bot_crawler", 0.0)],
+)
+
 # token, weight of a linear text model
 TOKEN_WEIGHTS = Dim(
     "token STRING, weight DOUBLE",

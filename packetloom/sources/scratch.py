@@ -25,4 +25,9 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/packetloom/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder; Hadoop deletes it when the application ends."""
+    path = f"{shared_folder(spark)}/packetloom/{name}-{uuid.uuid4().hex}"
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    hadoop_path.getFileSystem(conf).deleteOnExit(hadoop_path)
+    return path

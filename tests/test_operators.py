@@ -287,3 +287,29 @@ def test_stream_equals_batch(spark, sf_dir):
         "attack_proba", F.round("attack_proba", 9)
     )
     assert streamed.exceptAll(batch).count() == 0 and batch.exceptAll(streamed).count() == 0
+
+
+def test_nested_ranges_give_the_narrowest_country(spark):
+    ranges = spark.createDataFrame(
+        [(0, 2**24, "wide"), (256, 511, "narrow"), (300, 300, "one"), (256, 511, "twin")],
+        "start_ip LONG, end_ip LONG, country STRING",
+    )
+    df = spark.createDataFrame([("0.0.0.7",), ("0.0.1.1",), ("0.0.1.44",), (None,)], "ip STRING")
+    out = {r["ip"]: r["country"] for r in enrich.with_country(df, "ip", ranges).collect()}
+    assert out == {"0.0.0.7": "wide", "0.0.1.1": "narrow", "0.0.1.44": "one", None: "not found"}
+
+
+def test_csv_keeps_missing_and_empty_apart(spark, tmp_path):
+    rows = [(None, "a"), ("", "b"), ('x "y"\nz', None)]
+    path = f"{tmp_path}/rows"
+    files.write_csv(spark.createDataFrame(rows, files.PAYLOAD_SCHEMA), path)
+    back = files.read_csv(spark, path, files.PAYLOAD_SCHEMA).collect()
+    assert {tuple(r) for r in back} == set(rows)
+
+
+def test_long_scores_keep_ids_without_features(spark):
+    long = spark.createDataFrame([(1, "f", 2.0)], "id LONG, feature STRING, value DOUBLE")
+    every = spark.createDataFrame([(1,), (2,)], "id LONG")
+    coefs = spark.createDataFrame([("f", 0.5)], "feature STRING, coef DOUBLE")
+    out = scoring.long_scores(long, every, ["id"], coefs, -1.0).collect()
+    assert {r["id"]: r["score"] for r in out} == {1: 0.0, 2: -1.0}

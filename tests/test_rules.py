@@ -1,9 +1,14 @@
+import random
 import re
+import time
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from packetloom.functions import matching
 from packetloom.functions.rulesets import FAMILIES, family
+from packetloom.operators import explain
 from packetloom.operators.features import rule_features
 from packetloom.plans import spelled_out
 from packetloom.sources.fixtures import sample_text
@@ -89,3 +94,53 @@ def test_projection_has_no_shuffle_and_no_python(spark, sf_dir):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Python" not in plan
     assert re.search(r"ReadSchema: struct<doc_id:bigint,text:string>", plan)
+
+
+HUNDRED_KB = {
+    "openers": "GET / HTTP/1.1 " + "user agent " * 9_000,
+    "cut by a line break": "GET / HTTP/1.1 " + "user agent " * 9_000 + "\u0085 name",
+    "wrong order": "name agent user " * 6_000,
+}
+
+
+@pytest.mark.parametrize("name", [*FAMILIES, "evidence"])
+def test_long_texts_of_repeated_openers_take_seconds(spark, name):
+    """Each text was a matter of hours when gaps were tried again and again."""
+
+    def run(text):
+        df = spark.createDataFrame([(1, text)], "id INT, payload STRING")
+        if name == "evidence":
+            out = explain.with_evidence(df, "payload", family("ips"))
+        else:
+            out = rule_features(df, "payload", family(name), keep=["id"])
+        start = time.perf_counter()
+        out.collect()
+        return time.perf_counter() - start
+
+    run("GET / HTTP/1.1")
+    short = run("GET / HTTP/1.1 ")
+    for kind, text in HUNDRED_KB.items():
+        assert run(text) < short + 8, kind
+
+
+def test_atomic_gaps_match_the_same():
+    rng = random.Random(4)
+    patterns = ["a(.*?)b(.*?)c", "ab(.*?)a", "a(.*?)a(.*?)b", "c(.*?)b(.?)a(.*?)c"]
+    for _ in range(5_000):
+        text = "".join(rng.choice("abc \n") for _ in range(rng.randrange(20)))
+        for p in patterns:
+            assert [m.span() for m in re.finditer(p, text)] == [
+                m.span() for m in re.finditer(matching.atomic(p), text)
+            ]
+
+
+def test_evidence_is_what_the_plain_alternation_finds(spark):
+    fam = family("ips")
+    others, agents = explain._split_alternatives(fam)
+    plain = matching.alternation(explain.keyword_union(others))
+    texts = [t for t in texts_for(fam) if t]
+    df = spark.createDataFrame([(t.lower().replace("\n", " "),) for t in texts], "low STRING")
+    found = explain.with_found(df, "low", others, "found").withColumn(
+        "want", F.regexp_extract_all("low", F.lit(plain), F.lit(0))
+    )
+    assert found.where("NOT (found <=> want)").count() == 0
