@@ -42,7 +42,7 @@ from packetloom.llm.components import components
 COSINE = 0.98
 BLOCKS = 4
 CODE = 256
-LISTED = 32
+LISTED = 64
 #: Best directions of a part that are considered.
 BEST = 32
 #: Most vectors of a filter that are verified as one piece.
@@ -124,6 +124,24 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
+def _smaller_shared(
+    filters: np.ndarray, here: int, one: np.ndarray, two: np.ndarray
+) -> np.ndarray:
+    """How many filters below ``here`` each of ``one`` shares with each of ``two``."""
+    row, place = np.nonzero(filters < here)
+    _, column, times = np.unique(filters[row, place], return_inverse=True, return_counts=True)
+    number = np.cumsum(times > 1) - 1
+    kept = times[column] > 1
+    row, column = row[kept], number[column[kept]]
+    out = np.zeros((len(one), len(two)), np.float32)
+    for start in range(0, int((times > 1).sum()), 4096):
+        part = np.zeros((len(filters), 4096), np.float32)
+        inside = (column >= start) & (column < start + 4096)
+        part[row[inside], column[inside] - start] = 1
+        out += part[one] @ part[two].T
+    return out
+
+
 def _verified(rows: dict[str, np.ndarray], own: bool, cosine: float):
     """Links within one piece (``own``) or between two, each pair in its smallest filter.
 
@@ -134,20 +152,12 @@ def _verified(rows: dict[str, np.ndarray], own: bool, cosine: float):
     one = np.flatnonzero(side == 0)
     two = one if own else np.flatnonzero(side == 1)
     unit = rows["unit"]
-    i, j = np.nonzero(unit[one] @ unit[two].T >= cosine)
-    i, j = one[i], two[j]
+    at_i, at_j = np.nonzero(unit[one] @ unit[two].T >= cosine)
     if own:
-        i, j = i[i < j], j[i < j]
+        at_i, at_j = at_i[at_i < at_j], at_j[at_i < at_j]
+    i, j = one[at_i], two[at_j]
     # of the filters that a pair shares, only the smallest counts it
-    here, filters = rows["filter"][0], rows["filters"]
-    first = np.ones(len(i), bool)
-    for k in range(0, len(i), 1 << 14):
-        a, b = filters[i[k : k + (1 << 14)]], filters[j[k : k + (1 << 14)]]
-        smaller = np.zeros(len(a), bool)
-        for t in range(a.shape[1]):
-            mine = a[:, t]
-            smaller |= (mine < here) & (b == mine[:, None]).any(axis=1)
-        first[k : k + (1 << 14)] = ~smaller
+    first = _smaller_shared(rows["filters"], rows["filter"][0], one, two)[at_i, at_j] == 0
     i, j = i[first], j[first]
     gained = np.zeros(len(side), np.int64)
     np.add.at(gained, i, rows["copies"][j])
