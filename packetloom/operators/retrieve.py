@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from packetloom.operators.vectorize import counted
+
 # --- chunks -----------------------------------------------------------------
 
 
@@ -117,13 +120,20 @@ def hashed_counts(c: Column, size: int = 64) -> Column:
     cells = F.transform(
         words, lambda w: (F.conv(F.substr(F.md5(w), F.lit(1), F.lit(4)), 16, 10).cast("int") % size)
     )
-    return F.transform(
-        F.sequence(F.lit(0), F.lit(size - 1)),
-        lambda i: F.size(F.filter(cells, lambda x: x == i)).cast("double"),
-    )
+    found = F.map_from_entries(F.coalesce(counted(cells), F.array().cast(_COUNTS)))
+    places = F.sequence(F.lit(0), F.lit(size - 1))
+
+    def filled(counts: Column) -> Column:
+        return F.transform(
+            places, lambda i: F.coalesce(F.element_at(counts, i), F.lit(0)).cast("double")
+        )
+
+    return F.get(F.transform(F.array(found), filled), F.lit(0))
 
 
-MATRIX_CELLS = 16_000_000  # numbers in a matrix that goes to every executor: 128 MB
+_COUNTS = "array<struct<word: int, term_count: bigint>>"
+#: Vectors of a block; a pair of blocks is the unit of work.
+BLOCK = 2048
 
 
 def top_k_similar(
@@ -138,33 +148,43 @@ def top_k_similar(
     metric: str = "cosine",
     floor: float | None = None,
     exclude_same_id: bool = False,
-    max_cells: int = MATRIX_CELLS,
 ) -> DataFrame:
     """``query_id, rank, corpus_id, similarity``: exact nearest neighbours.
 
-    Similarity counts to six places, ties go to the smaller id.  One side is
-    held as a matrix when its measured size allows: a small corpus answers
-    every query where the query lies, without a shuffle; a small set of
-    queries visits the corpus, and only ``k`` rows per query and partition are
-    merged.  When both are large the queries go in blocks of allowed size.
-    The floor drops rows behind the ranking.
+    Similarity counts to six places, ties go to the smaller id.  Both sides are
+    packed into blocks of vectors where they lie.  The blocks of the corpus are
+    dealt out to as many groups as there are shuffle partitions, those of the
+    queries go to every group, and each pair of blocks is one matrix product
+    that keeps ``k`` rows per query.  Nothing passes through the driver, and
+    building the query runs nothing.  Vectors that are NULL or hold a NULL take
+    no part, vectors of different length do not meet.  The floor drops rows
+    behind the ranking.
     """
-    options = dict(k=k, metric=metric, exclude=exclude_same_id)
-    q = queries.select(F.col(query_id).alias("__q"), F.col(query_vector).alias("__v"))
-    c = corpus.select(F.col(corpus_id).alias("__c"), F.col(corpus_vector).alias("__v"))
-    c_cells = _cells(c)
-    if c_cells <= max_cells:
-        found = _visit(q, "__q", _matrix(c, "__c"), "__c", **options)
-    else:
-        n_blocks = max(1, math.ceil(_cells(q) / max_cells))
-        block = F.pmod(F.xxhash64("__q"), F.lit(n_blocks))
-        found = None
-        for b in range(n_blocks):
-            ids, matrix = _matrix(q.where(block == b) if n_blocks > 1 else q, "__q")
-            partial = _visit_running(c, "__c", (ids, matrix), "__q", **options)
-            found = partial if found is None else found.unionByName(partial)
-        order = Window.partitionBy("__q").orderBy(F.desc("similarity"), "__c")
-        found = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    groups = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    q = _packed(queries, query_id, query_vector, metric).select(
+        "dims",
+        F.col("ids").alias("q_ids"),
+        F.col("rows").alias("q_rows"),
+        F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"),
+    )
+    c = _packed(corpus, corpus_id, corpus_vector, metric).withColumn(
+        "group", F.pmod(F.xxhash64("rows"), F.lit(groups)).cast("int")
+    )
+    pairs = c.join(q, ["group", "dims"]).select("dims", "ids", "rows", "q_ids", "q_rows")
+    types = [queries.schema[query_id].dataType, corpus.schema[corpus_id].dataType]
+    schema = T.StructType(
+        [
+            T.StructField("__q", types[0]),
+            T.StructField("__c", types[1]),
+            T.StructField("similarity", T.DoubleType()),
+        ]
+    )
+    order = Window.partitionBy("__q").orderBy(F.desc("similarity"), "__c")
+    found = (
+        pairs.mapInArrow(_block_search(k, exclude_same_id), schema)
+        .withColumn("rank", F.row_number().over(order))
+        .where(F.col("rank") <= k)
+    )
     if floor is not None:
         found = found.where(F.col("similarity") >= floor)
     return found.select(
@@ -175,17 +195,46 @@ def top_k_similar(
     )
 
 
-def _cells(df: DataFrame) -> int:
-    row = df.agg(F.coalesce(F.sum(F.size("__v").cast("long")), F.lit(0)).alias("n")).first()
-    return int(row["n"])
+def _packed(df: DataFrame, id_col: str, vector: str, metric: str) -> DataFrame:
+    """``dims, ids, rows``: the vectors of a partition in blocks of one length."""
+    usable = F.col(id_col).isNotNull() & F.forall(vector, lambda x: x.isNotNull())
+    rows = df.where(usable & (F.size(vector) > 0)).select(
+        F.col(id_col).alias("id"), F.col(vector).cast("array<double>").alias("v")
+    )
 
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = pc.list_value_length(batch.column(1)).to_numpy()
+            for dims in np.unique(sizes):
+                places = np.flatnonzero(sizes == dims)
+                for start in range(0, len(places), BLOCK):
+                    some = pa.array(places[start : start + BLOCK])
+                    values = batch.column(1).take(some).flatten().to_numpy()
+                    matrix = values.reshape(-1, dims)
+                    if metric == "cosine":
+                        matrix = _unit(matrix)
+                    ids = batch.column(0).take(some)
+                    ends = pa.array([0, len(ids)], pa.int32())
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array([dims], pa.int32()),
+                            pa.ListArray.from_arrays(ends, ids),
+                            pa.array([matrix.tobytes()], pa.binary()),
+                        ],
+                        ["dims", "ids", "rows"],
+                    )
 
-def _matrix(df: DataFrame, id_col: str) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and rows of a side whose size was measured before."""
-    pdf = df.toPandas().sort_values(id_col, kind="stable")
-    if pdf.empty:
-        return np.array([], dtype="int64"), np.zeros((0, 0))
-    return pdf[id_col].to_numpy(), np.stack([np.asarray(v, dtype="float64") for v in pdf["__v"]])
+    id_type = df.schema[id_col].dataType
+    return rows.mapInArrow(
+        pack,
+        T.StructType(
+            [
+                T.StructField("dims", T.IntegerType()),
+                T.StructField("ids", T.ArrayType(id_type)),
+                T.StructField("rows", T.BinaryType()),
+            ]
+        ),
+    )
 
 
 def _unit(m: np.ndarray) -> np.ndarray:
@@ -194,7 +243,7 @@ def _unit(m: np.ndarray) -> np.ndarray:
 
 
 def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Columns of the k best scores of one row; ids must be ascending."""
+    """Places of the k best scores of one row, ties to the smaller id."""
     if len(scores) > 4 * k:
         border = np.partition(scores, len(scores) - k)[len(scores) - k]
         near = np.flatnonzero(scores >= border)
@@ -203,86 +252,34 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return near[np.lexsort((ids[near], -scores[near]))][:k]
 
 
-def _visit(df: DataFrame, id_col: str, held: tuple, held_name: str, *, k: int, metric: str, exclude: bool) -> DataFrame:
-    """Complete answers for every row of ``df`` against the held matrix."""
-    ids, matrix = held
-    if metric == "cosine" and len(matrix):
-        matrix = _unit(matrix)
-    shared = df.sparkSession.sparkContext.broadcast((ids, matrix))
-    id_type = df.schema[id_col].dataType
-    schema = T.StructType(
-        [
-            T.StructField(id_col, id_type),
-            T.StructField("rank", T.IntegerType()),
-            T.StructField(held_name, T.LongType()),
-            T.StructField("similarity", T.DoubleType()),
-        ]
-    )
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, matrix = shared.value
+def _block_search(k: int, exclude: bool):
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.empty or not len(ids):
-                continue
-            rows = np.stack([np.asarray(v, dtype="float64") for v in batch["__v"]])
-            if metric == "cosine":
-                rows = _unit(rows)
-            scores = np.round(rows @ matrix.T, 6) + 0.0
-            out = []
-            for own, line in zip(batch[id_col], scores):
+            for row in range(batch.num_rows):
+                dims = batch.column(0)[row].as_py()
+                ids, q_ids = batch.column(1)[row].values, batch.column(3)[row].values
+                held = np.frombuffer(batch.column(2)[row].as_py()).reshape(-1, dims)
+                asked = np.frombuffer(batch.column(4)[row].as_py()).reshape(-1, dims)
+                own = ids.to_numpy(zero_copy_only=False)
+                scores = np.round(asked @ held.T, 6) + 0.0
                 if exclude:
-                    line = np.where(ids == own, -np.inf, line)
-                for rank, j in enumerate(_best(line, ids, k), start=1):
-                    if line[j] > -np.inf:
-                        out.append((own, rank, int(ids[j]), float(line[j])))
-            yield pd.DataFrame(out, columns=[id_col, "rank", held_name, "similarity"])
-
-    return df.mapInPandas(run, schema)
-
-
-def _visit_running(df: DataFrame, id_col: str, held: tuple, held_name: str, *, k: int, metric: str, exclude: bool) -> DataFrame:
-    """Per partition of ``df`` the k best rows for every held row."""
-    ids, matrix = held
-    if metric == "cosine" and len(matrix):
-        matrix = _unit(matrix)
-    shared = df.sparkSession.sparkContext.broadcast((ids, matrix))
-    schema = T.StructType(
-        [
-            T.StructField(held_name, T.LongType()),
-            T.StructField(id_col, df.schema[id_col].dataType),
-            T.StructField("similarity", T.DoubleType()),
-        ]
-    )
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, matrix = shared.value
-        kept: list[tuple[np.ndarray, np.ndarray]] = [
-            (np.array([], dtype="int64"), np.array([])) for _ in ids
-        ]
-        for batch in batches:
-            if batch.empty or not len(ids):
-                continue
-            rows = np.stack([np.asarray(v, dtype="float64") for v in batch["__v"]])
-            if metric == "cosine":
-                rows = _unit(rows)
-            own = batch[id_col].to_numpy()
-            scores = np.round(matrix @ rows.T, 6) + 0.0
-            for i, line in enumerate(scores):
-                if exclude:
-                    line = np.where(own == ids[i], -np.inf, line)
-                some = np.concatenate([kept[i][0], own])
-                values = np.concatenate([kept[i][1], line])
-                best = _best(values, some, k)
-                kept[i] = (some[best], values[best])
-        out = [
-            (int(q), int(c), float(s))
-            for q, (found, values) in zip(ids, kept)
-            for c, s in zip(found, values)
-            if s > -np.inf
-        ]
-        yield pd.DataFrame(out, columns=[held_name, id_col, "similarity"])
-
-    return df.mapInPandas(run, schema)
+                    same = q_ids.to_numpy(zero_copy_only=False)[:, None] == own[None, :]
+                    scores = np.where(same, -np.inf, scores)
+                best = [_best(line, own, k) for line in scores]
+                at = np.concatenate([np.full(len(b), i) for i, b in enumerate(best)])
+                found = np.concatenate(best)
+                values = scores[at, found]
+                kept = values > -np.inf
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        q_ids.take(pa.array(at[kept])),
+                        ids.take(pa.array(found[kept])),
+                        pa.array(values[kept]),
+                    ],
+                    ["__q", "__c", "similarity"],
+                )
+
+    return search
 
 
 # --- passages ---------------------------------------------------------------

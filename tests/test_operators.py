@@ -73,9 +73,10 @@ def test_halves(spark):
             assert [got[i][k] for k in sorted(got[i])] == cut(t, limit), (t, limit)
 
 
-@pytest.mark.parametrize("max_cells", [10**9, 500, 60])
+@pytest.mark.parametrize("block", [2048, 7])
 @pytest.mark.parametrize("metric", ["cosine", "dot"])
-def test_nearest_neighbours_every_path(spark, max_cells, metric):
+def test_nearest_neighbours_in_blocks(spark, monkeypatch, block, metric):
+    monkeypatch.setattr(retrieve, "BLOCK", block)
     rng = np.random.default_rng(3)
     corpus = rng.integers(-3, 4, size=(90, 6)).astype(float)
     queries = rng.integers(-3, 4, size=(70, 6)).astype(float)
@@ -83,7 +84,7 @@ def test_nearest_neighbours_every_path(spark, max_cells, metric):
     q = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(queries)], "q BIGINT, v ARRAY<DOUBLE>")
     out = retrieve.top_k_similar(
         q, c, k=3, query_id="q", corpus_id="c", query_vector="v", corpus_vector="v",
-        metric=metric, max_cells=max_cells,
+        metric=metric,
     )
     got = {}
     for r in out.collect():
@@ -100,6 +101,13 @@ def test_nearest_neighbours_every_path(spark, max_cells, metric):
         assert [got[i][k][0] for k in (1, 2, 3)] == want
 
 
+def test_nearest_neighbours_without_vectors(spark):
+    rows = [("a", [1.0, 0.0]), ("b", None), ("c", [1.0, None]), ("d", [2.0]), ("e", [0.5, 0.5])]
+    df = spark.createDataFrame(rows, "i STRING, embedding ARRAY<DOUBLE>")
+    out = retrieve.top_k_similar(df, df, k=3, query_id="i", corpus_id="i", exclude_same_id=True)
+    assert {(r["i"], r["near_i"]) for r in out.collect()} == {("a", "e"), ("e", "a")}
+
+
 def test_similarity_floor(spark):
     rows = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.8, 0.6]), (3, [0.0, 1.0])], "i BIGINT, embedding ARRAY<DOUBLE>")
     out = retrieve.top_k_similar(rows, rows, k=3, query_id="i", corpus_id="i", floor=0.7, exclude_same_id=True)
