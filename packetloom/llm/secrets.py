@@ -48,7 +48,7 @@ ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 #: Added to every count, so that unseen pairs keep some probability.
 SMOOTHING = 0.5
 #: Least log-likelihood ratio per character pair, in nats.
-MARGIN = 0.5
+MARGIN = 0.25
 
 _N = len(ALPHABET)
 _CODES = np.full(256, _N, np.int64)

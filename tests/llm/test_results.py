@@ -193,7 +193,7 @@ def test_markov_models_find_random_strings(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     models = secrets.train(docs)
     hits = [bool(secrets.all_spans(f"see {k} there", models)[1]) for k in keys[200:]]
-    assert np.mean(hits) >= 0.95
+    assert np.mean(hits) >= 0.9
     assert secrets.all_spans(prose * 3, models)[1] == []
     text = f"see {keys[210]} there"
     assert secrets.redacted(text, secrets.all_spans(text, models)[1]) == "see [random removed] there"
