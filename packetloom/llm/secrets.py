@@ -45,6 +45,8 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 #: Tokens that the models judge, and the shortest.
 TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
+#: Documents whose characters are counted at a time.
+TOGETHER = 100
 #: Added to every count, so that unseen pairs keep some probability.
 SMOOTHING = 0.5
 #: Least log-likelihood ratio per character pair, in nats.
@@ -93,8 +95,13 @@ def _texts(batch: pa.RecordBatch) -> list[str]:
 
 def _count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     every, secret = np.zeros((_N, _N), np.int64), np.zeros((_N, _N), np.int64)
-    for batch in batches:
-        texts = _texts(batch)
+    parts = (
+        batch.slice(k, TOGETHER)
+        for batch in batches
+        for k in range(0, batch.num_rows, TOGETHER)
+    )
+    for part in parts:
+        texts = _texts(part)
         every += _pairs(" ".join(texts).encode())
         found = []
         for text in texts:
