@@ -48,6 +48,8 @@ KNOWN_WORDS = 1 << 20
 KNOWN_BYTES = 64
 #: Longest word that is folded.
 FOLD_BYTES = 512
+#: Documents that are looked up at a time.
+TOGETHER = 500
 #: No rank.
 NONE = 2**31 - 1
 
@@ -269,6 +271,10 @@ def encoded(
 
     @F.arrow_udf(kind)
     def looked_up(words: pa.Array) -> pa.Array:
+        starts = range(0, max(len(words), 1), TOGETHER)
+        return pa.concat_arrays([part(words.slice(k, TOGETHER)) for k in starts])
+
+    def part(words: pa.Array) -> pa.Array:
         """Ids of the known words; the k-th other word of a document as -k - 1, kept in rare."""
         names, offsets, flat, rank = sent.value
         ends = words.offsets.to_numpy().astype(np.int64)
