@@ -42,9 +42,9 @@ from packetloom.llm.common import literal_json, need, written
 #: White space of the tokenizer's pattern; Java's own class has ASCII only (fixed values).
 SPACE = r"\t-\r \x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
 #: Buckets of the rank map.
-BUCKETS = 1 << 15
+BUCKETS = 1 << 16
 #: Most frequent words sent to the tasks, and the longest of them.
-KNOWN_WORDS = 1 << 20
+KNOWN_WORDS = 3 << 18
 KNOWN_BYTES = 64
 #: Longest word that is folded.
 FOLD_BYTES = 512
@@ -105,7 +105,7 @@ class Ranks:
 
 
 def _bucket(piece: Column) -> Column:
-    return F.pmod(F.xxhash64(piece), F.lit(BUCKETS)).cast("int")
+    return F.pmod(F.hash(piece), F.lit(BUCKETS))
 
 
 def _rank(ranks: Column, piece: Column) -> Column:
@@ -118,47 +118,37 @@ def _let(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def _pair_rank(ranks: Column, pieces: Column, i: Column) -> Column:
-    """Rank of the pair that begins at place i (from 1); none outside the array."""
-    inside = (i >= 1) & (i < F.size(pieces))
-    pair = F.concat(F.get(pieces, i - 1), F.get(pieces, i))
-    return F.when(inside, _rank(ranks, pair)).otherwise(F.lit(NONE))
+#: Stands before and behind the pieces; no pair with it has a rank.
+EDGE = "|"
+
+
+def _joined(*arrays: Column) -> Column:
+    """Like concat, which is slow on arrays inside a lambda."""
+    return F.flatten(F.array(*arrays))
 
 
 def _merged(ranks: Column, state: Column) -> Column:
     """One merge; state is struct<pieces, pairs>, pairs the rank of each neighbouring pair."""
+    pieces, pairs = state["pieces"], state["pairs"]
+    rest = F.lit(4 * FOLD_BYTES)  # more than there is
 
     def at(i: Column) -> Column:
-        pieces, pairs = state["pieces"], state["pairs"]
-        one = F.concat(F.get(pieces, i - 1), F.get(pieces, i))
-        fewer = F.concat(
-            F.slice(pieces, F.lit(1), i - 1),
-            F.array(one),
-            F.slice(pieces, i + 2, F.size(pieces)),
-        )
-
-        def of(fewer: Column) -> Column:
-            before = F.when(
-                i > 1,
-                F.concat(
-                    F.slice(pairs, F.lit(1), i - 2), F.array(_pair_rank(ranks, fewer, i - 1))
-                ),
-            ).otherwise(F.array().cast("array<int>"))
-            after = F.when(
-                i < F.size(fewer),
-                F.concat(
-                    F.array(_pair_rank(ranks, fewer, i)), F.slice(pairs, i + 2, F.size(pairs))
-                ),
-            ).otherwise(F.array().cast("array<int>"))
-            return F.struct(fewer.alias("pieces"), F.concat(before, after).alias("pairs"))
-
-        return _let(fewer, of)
+        def with_piece(one: Column) -> Column:
+            before = _rank(ranks, F.concat(F.get(pieces, i - 2), one))
+            after = _rank(ranks, F.concat(one, F.get(pieces, i + 1)))
+            return F.struct(
+                _joined(
+                    F.slice(pieces, F.lit(1), i - 1), F.array(one), F.slice(pieces, i + 2, rest)
+                ).alias("pieces"),
+                _joined(
+                    F.slice(pairs, F.lit(1), i - 2), F.array(before, after), F.slice(pairs, i + 2, rest)
+                ).alias("pairs"),
+            )
 
-    def step(low: Column) -> Column:
-        place = F.array_position(state["pairs"], low).cast("int")
-        return F.when(F.coalesce(low, F.lit(NONE)) == NONE, state).otherwise(_let(place, at))
+        one = F.concat(F.get(pieces, i - 1), F.get(pieces, i))
+        return F.when(F.get(pairs, i - 1) == NONE, state).otherwise(_let(one, with_piece))
 
-    return _let(F.array_min(state["pairs"]), step)
+    return _let(F.array_position(pairs, F.array_min(pairs)).cast("int"), at)
 
 
 def folded(words: Column, ranks: Column) -> Column:
@@ -173,18 +163,21 @@ def folded(words: Column, ranks: Column) -> Column:
             return F.struct(pieces.alias("pieces"), pairs.alias("pairs"))
 
         def run(first: Column) -> Column:
-            steps = F.slice(first["pieces"], F.lit(2), F.size(first["pieces"]))
             return F.aggregate(
-                steps,
+                F.slice(first["pieces"], F.lit(4), F.size(first["pieces"])),
                 first,
                 lambda state, _: _merged(ranks, state),
-                lambda state: F.transform(state["pieces"], lambda p: _rank(ranks, p)),
+                lambda state: F.transform(
+                    F.slice(state["pieces"], F.lit(2), F.size(state["pieces"]) - 2),
+                    lambda p: _rank(ranks, p),
+                ),
             )
 
         def ids(digits: Column) -> Column:
             places = F.sequence(F.lit(1), (F.length(digits) / 2).cast("int"))
             pieces = F.transform(places, lambda i: F.substring(digits, i * 2 - 1, F.lit(2)))
-            split = _let(_let(pieces, start), run)
+            edge = F.array(F.lit(EDGE))
+            split = _let(_let(F.concat(edge, pieces, edge), start), run)
             return _let(
                 _rank(ranks, digits), lambda r: F.when(r != NONE, F.array(r)).otherwise(split)
             )
