@@ -10,10 +10,14 @@ Four kinds of evidence about the language of a document add up as logarithms:
 * the host, by a prior that is smoothed from the host to its domain to all
   documents.
 
-The trigram model learns from the declared languages and covers all documents.
-The other tables count how documents are classed by their text alone, in one
-grouped aggregation each, combined before the shuffle; they are joined to the
-documents, and Spark broadcasts those that are small.  ``und`` is a further
+The trigram model learns from the declared languages, however rare, and covers
+all documents.  The trigrams of all of them smooth those of each, so that a
+language with few documents fits other text no better than the corpus does.  The
+driver and the tasks hold ``CELLS`` numbers per language.  The other tables count
+how documents are classed by their text and the frequency of the declarations,
+in one grouped aggregation each, combined before the shuffle; a key has the
+counts of its own languages only.  They are joined to the documents, and Spark
+broadcasts those that are small.  ``und`` is a further
 class for text that fits no language: all trigrams are equally likely in it.  A
 document is rejected when ``und`` wins, when the winner's probability is below
 ``LEAST``, or when there are no letters.
@@ -41,9 +45,9 @@ from packetloom.llm.common import need, written
 from packetloom.llm.url_filter import host_of
 
 CELLS = 1 << 12
-#: Share of all declarations from which a declared language is learnt, and most of them.
-LEAST_SHARE = 0.001
-MOST_LANGUAGES = 200
+#: Languages whose counts a task holds, and documents that are judged, at a time.
+HELD = 256
+TOGETHER = 256
 TEXT_WEIGHT = 0.3
 #: Weight of the wider level in the prior of a host or domain, in documents.
 SMOOTHING = 20.0
@@ -52,6 +56,7 @@ UNKNOWN = 1e-9
 #: Least probability of the winner.
 LEAST = 0.5
 UND = "und"
+KEYS = ("declared", "suffix", "domain", "host")
 #: Numbers, keys and the like say nothing about the language.
 _DIGIT = re.compile(r"\d")
 _WITH_DIGITS = re.compile(r"\b[^\W\d]*\d\w*")
@@ -103,7 +108,8 @@ class TextModel:
 
 
 def text_model(languages: tuple[str, ...], counts: np.ndarray) -> TextModel:
-    smooth = counts + 0.5
+    every = counts.sum(axis=0) + 0.5
+    smooth = counts + 0.5 * CELLS * every / every.sum()
     rows = np.log(smooth / smooth.sum(axis=1, keepdims=True))
     return TextModel(languages, np.vstack([rows, np.full((1, CELLS), -math.log(CELLS))]))
 
@@ -112,8 +118,16 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total: dict[str, np.ndarray] = {}
     for batch in batches:
         for text, declared in zip(*[batch.column(i).to_pylist() for i in range(2)], strict=True):
-            total.setdefault(declared, np.zeros(CELLS, np.int64))
+            if declared not in total:
+                if len(total) == HELD:
+                    yield from _cell_rows(total)
+                    total.clear()
+                total[declared] = np.zeros(CELLS, np.int64)
             total[declared] += trigram_counts(text)
+    yield from _cell_rows(total)
+
+
+def _cell_rows(total: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
     for declared, counts in total.items():
         cells = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays(
@@ -131,9 +145,23 @@ class LanguageModel:
     """The text model, and counts of text-only decisions by declaration, suffix, domain, host."""
 
     text: TextModel
-    tables: dict[str, DataFrame]  # key -> table of key, array of counts per language
+    counts: dict[str, DataFrame]  # key -> table of key, counts of its languages
     overall: tuple[float, ...]
 
+    @property
+    def tables(self) -> dict[str, DataFrame]:
+        """The same as tables of key, array of counts per language."""
+        places = F.sequence(F.lit(0), F.lit(len(self.text.languages) - 1))
+
+        def dense(counts: str) -> Column:
+            found = F.map_from_entries(counts)
+            return F.transform(places, lambda i: F.coalesce(F.try_element_at(found, i), F.lit(0.0)))
+
+        return {
+            key: table.select(key, dense(f"{key}_counts").alias(f"{key}_counts"))
+            for key, table in self.counts.items()
+        }
+
 
 def _evidence_rows(docs: DataFrame, text: str, declared: str, address: str) -> DataFrame:
     """docs as a struct, with the keys of all evidence."""
@@ -153,21 +181,22 @@ def _evidence_rows(docs: DataFrame, text: str, declared: str, address: str) -> D
     )
 
 
-def _text_evidence(model: TextModel, spark):
-    sent = spark.sparkContext.broadcast(model)
-
-    @F.arrow_udf("array<double>")
-    def evidence(texts: pa.Array) -> pa.Array:
-        found = sent.value.evidence(texts.to_pylist())
-        ends = pa.array(np.arange(len(found) + 1, dtype=np.int32) * found.shape[1])
-        return pa.ListArray.from_arrays(ends, pa.array(found.ravel(), pa.float64()))
-
-    return evidence
+def _guesses(model: TextModel, log_shares: np.ndarray, spark):
+    """Place of the language that text and frequency speak for; -1 where the text fits none."""
+    sent = spark.sparkContext.broadcast((model, log_shares))
 
+    @F.arrow_udf("int")
+    def guess(texts: pa.Array) -> pa.Array:
+        model, log_shares = sent.value
+        out = []
+        for k in range(0, len(texts), TOGETHER):
+            found = model.evidence(texts.slice(k, TOGETHER).to_pylist())
+            best = (found[:, :-1] + log_shares).argmax(axis=1)
+            fits = found[np.arange(len(found)), best] >= found[:, -1]
+            out.append(np.where(fits, best, -1))
+        return pa.array(np.concatenate(out) if out else [], pa.int32())
 
-def _best(values: Column) -> Column:
-    """Place of the largest number, the first of equals."""
-    return F.array_position(values, F.array_max(values)).cast("int") - 1
+    return guess
 
 
 def train(
@@ -181,75 +210,106 @@ def train(
     need(docs, text, declared, address)
     rows = _evidence_rows(docs, text, declared, address).drop("_doc")
     known = rows.where((F.col("declared") != "") & (F.col("declared") != UND))
-    counted = known.groupBy("declared").count()
-    total = counted.agg(F.sum("count")).first()[0] or 0
-    frequent = counted.where(F.col("count") >= LEAST_SHARE * total)
-    languages = tuple(sorted(r[0] for r in frequent.orderBy(F.desc("count"), "declared").take(MOST_LANGUAGES)))
+    declared_counts = {r[0]: r[1] for r in known.groupBy("declared").count().toLocalIterator()}
+    languages = tuple(sorted(declared_counts))
     learnt = (
-        known.where(F.col("declared").isin(*languages))
-        .select("_text", "declared")
+        known.select("_text", "declared")
         .mapInArrow(_counted, "declared string, cell int, n long")
         .groupBy("declared", "cell")
         .agg(F.sum("n").alias("n"))
-        .collect()  # CELLS rows per language at most
+        .toLocalIterator()  # CELLS rows per language at most
     )
     counts = np.zeros((len(languages), CELLS))
     place = {name: i for i, name in enumerate(languages)}
     for name, cell, n in learnt:
         counts[place[name], cell] = n
     model = text_model(languages, counts)
-    evidence = _text_evidence(model, docs.sparkSession)(F.col("_text"))
+    if not languages:
+        return LanguageModel(model, {}, ())
+    often = np.array([declared_counts[name] for name in languages], np.float64)
+    guess = _guesses(model, np.log(often / often.sum()), docs.sparkSession)(F.col("_text"))
     guessed = written(
-        rows.select("declared", "suffix", "domain", "host", _best(evidence).alias("guess")).groupBy(
+        rows.select("declared", "suffix", "domain", "host", guess.alias("guess")).groupBy(
             "declared", "suffix", "domain", "host", "guess"
         ).agg(F.count("*").alias("n")),
         "language-guesses",
-    ).where(F.col("guess") < len(languages))
-    each = [F.sum(F.when(F.col("guess") == i, F.col("n")).otherwise(0)) for i in range(len(languages))]
+    ).where(F.col("guess") >= 0)
     tables = {
         key: written(
             guessed.where(F.col(key).isNotNull())
+            .groupBy(key, "guess")
+            .agg(F.sum("n").cast("double").alias("n"))
             .groupBy(key)
-            .agg(F.array(*each).cast("array<double>").alias(f"{key}_counts")),
+            .agg(F.collect_list(F.struct("guess", "n")).alias(f"{key}_counts")),
             f"language-{key}",
         )
-        for key in ("declared", "suffix", "domain", "host")
-        if languages
+        for key in KEYS
     }
-    sums = guessed.agg(*each).first() if languages else ()
-    return LanguageModel(model, tables, tuple(float(s or 0) for s in sums))
-
-
-def _posterior(model: LanguageModel) -> Column:
-    """Log evidence of every language and und, from the joined counts."""
-    n = len(model.text.languages)
-    total = sum(model.overall)
-    overall = [(c + 1) / (total + n) for c in model.overall]
-
-    def count(key: str, i: int) -> Column:
-        return F.coalesce(F.get(f"{key}_counts", F.lit(i)), F.lit(0.0))
-
-    def sums(key: str) -> Column:
-        found = F.aggregate(F.col(f"{key}_counts"), F.lit(0.0), lambda s, x: s + x)
-        return F.coalesce(found, F.lit(0.0))
-
-    def given_language(key: str, i: int) -> Column:
-        """How likely the declaration or suffix is in the language; 1 without one."""
-        likely = (count(key, i) + 0.5) / (model.overall[i] + 1)
-        return F.when(F.col(key).isNull(), 1.0).otherwise(F.least(likely, F.lit(1.0)))
-
-    logs = []
-    for i in range(n):
-        domain = (count("domain", i) + SMOOTHING * overall[i]) / (sums("domain") + SMOOTHING)
-        host = (count("host", i) + SMOOTHING * domain) / (sums("host") + SMOOTHING)
-        logs.append(
-            F.get("_text_evidence", F.lit(i))
-            + F.log(given_language("declared", i))
-            + F.log(given_language("suffix", i))
-            + F.log(host)
+    overall = np.zeros(len(languages))
+    for i, n in guessed.groupBy("guess").agg(F.sum("n")).toLocalIterator():
+        overall[i] = n
+    return LanguageModel(model, tables, tuple(overall.tolist()))
+
+
+def _dense(counts: pa.Array, n: int) -> np.ndarray:
+    """Counts per language of every row, from lists of places and counts."""
+    out = np.zeros((len(counts), n))
+    pairs = counts.flatten()
+    rows = np.repeat(np.arange(len(counts)), counts.value_lengths().fill_null(0).to_numpy())
+    out[rows, pairs.field(0).to_numpy()] = pairs.field(1).to_numpy()
+    return out
+
+
+def _log_evidence(
+    model: TextModel, overall: np.ndarray, columns: list[pa.Array]
+) -> tuple[np.ndarray, np.ndarray]:
+    """Log evidence of every language and und, and whether there are no letters.
+
+    The columns are the texts, whether declaration and suffix are missing, and the counts of ``KEYS``.
+    """
+    texts, *missing = columns[:3]
+    n = len(model.languages)
+    count = {key: _dense(column, n) for key, column in zip(KEYS, columns[3:], strict=True)}
+    logs = model.evidence(texts.to_pylist())
+    silent = ~logs.any(axis=1)
+    for key, none in zip(("declared", "suffix"), missing, strict=True):
+        # how likely the declaration or suffix is in the language; 1 without one
+        likely = np.minimum((count[key] + 0.5) / (overall + 1), 1)
+        likely[none.to_numpy(zero_copy_only=False)] = 1
+        logs[:, :-1] += np.log(likely)
+    prior = (overall + 1) / (overall.sum() + n)
+    for key in ("domain", "host"):
+        sums = count[key].sum(axis=1, keepdims=True)
+        prior = (count[key] + SMOOTHING * prior) / (sums + SMOOTHING)
+    logs[:, :-1] += np.log(prior)
+    logs[:, -1] += math.log(UNKNOWN)
+    return logs, silent
+
+
+def _decisions(model: LanguageModel, spark):
+    """The most probable class of every document and its probability."""
+    sent = spark.sparkContext.broadcast((model.text, np.array(model.overall)))
+    kind = pa.struct([("language", pa.string()), ("confidence", pa.float64())])
+
+    @F.arrow_udf("struct<language: string, confidence: double>")
+    def decide(
+        texts: pa.Array, a: pa.Array, b: pa.Array, c: pa.Array, d: pa.Array, e: pa.Array, f: pa.Array
+    ) -> pa.Array:
+        text_model, overall = sent.value
+        names = [*text_model.languages, UND]
+        found, shares = [], []
+        for k in range(0, len(texts), TOGETHER):
+            part = [x.slice(k, TOGETHER) for x in (texts, a, b, c, d, e, f)]
+            logs, silent = _log_evidence(text_model, overall, part)
+            best = logs.argmax(axis=1)
+            share = 1 / np.exp(logs - logs.max(axis=1, keepdims=True)).sum(axis=1)
+            found += [names[i] for i in np.where(silent, len(names) - 1, best)]
+            shares += np.where(silent, 0.0, share).tolist()
+        return pa.StructArray.from_arrays(
+            [pa.array(found, pa.string()), pa.array(shares, pa.float64())], fields=list(kind)
         )
-    unknown = F.get("_text_evidence", F.lit(n)) + math.log(UNKNOWN)
-    return F.array(*logs, unknown)
+
+    return decide
 
 
 def identified(
@@ -262,10 +322,9 @@ def identified(
 ) -> DataFrame:
     """Adds language, confidence and kept to every document."""
     need(docs, text, declared, address)
-    names = [*model.text.languages, UND]
     added = ["language", "confidence", "kept"]
     columns = [F.col(f"_doc.{c}") for c in docs.columns if c not in added]
-    if len(names) == 1:
+    if not model.text.languages:
         return docs.select(
             *[c for c in docs.columns if c not in added],
             F.lit(UND).alias("language"),
@@ -273,19 +332,16 @@ def identified(
             F.lit(False).alias("kept"),
         )
     rows = _evidence_rows(docs, text, declared, address)
-    for key, table in model.tables.items():
+    for key, table in model.counts.items():
         rows = rows.join(table, key, "left")
-    evidence = _text_evidence(model.text, docs.sparkSession)(F.col("_text"))
-    rows = rows.withColumn("_text_evidence", evidence).withColumn("_logs", _posterior(model))
-    top = F.array_max("_logs")
-    silent = F.forall("_text_evidence", lambda x: x == 0)
-    share = 1 / F.aggregate("_logs", F.lit(0.0), lambda s, x: s + F.exp(x - top))
-    language = F.when(silent, UND).otherwise(
-        F.get(F.array(*[F.lit(x) for x in names]), _best(F.col("_logs")))
+    decide = _decisions(model, docs.sparkSession)
+    missing = [F.col(key).isNull() for key in ("declared", "suffix")]
+    rows = rows.withColumn(
+        "_found", decide(F.col("_text"), *missing, *[F.col(f"{key}_counts") for key in KEYS])
     )
     return rows.select(
         *columns,
-        language.alias("language"),
-        F.when(silent, 0.0).otherwise(share).alias("confidence"),
-        ((language != UND) & (share >= LEAST)).alias("kept"),
+        F.col("_found.language").alias("language"),
+        F.col("_found.confidence").alias("confidence"),
+        ((F.col("_found.language") != UND) & (F.col("_found.confidence") >= LEAST)).alias("kept"),
     )
