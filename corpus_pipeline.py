@@ -5,7 +5,7 @@ writes it as Parquet and reads it again as the documents of the next stage.
 All stages but the last return the columns of their documents.
 
 language     documents whose language is unknown go
-near_dedup   of every group of near duplicates the smallest id stays
+near_dedup   of every group of near duplicates one row, with the smallest id, stays
 secrets      secrets are cut out of the texts; all documents stay
 mix          documents are dropped or repeated so that sources meet their targets
 tokens       token ids of every document and the text they decode to
@@ -27,13 +27,32 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Words of five, similarity 0.8; rows that repeat an id and its text stay once."""
-    found = minhash.near_duplicates(docs)
-    copies = written(
-        found.where(~F.col("kept")).select(F.col("doc_id").alias("_copy")).distinct(), "copies"
+    """Words of five, similarity 0.8; decided per row, as ids may repeat.
+
+    Of each group the row with the smallest id stays, rows without an id come
+    last.  Rows without words have no near duplicates, but those that repeat an
+    id and its text stay once, too.
+    """
+    rows = written(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    found = minhash.near_duplicates(rows, doc_id="_row").select(
+        F.col("doc_id").alias("_row"), "n_shingles", "component_id"
     )
-    kept = docs.join(copies, docs["doc_id"] == copies["_copy"], "left_anti")
-    return kept
+    wordless = F.col("n_shingles") == 0
+    alone = wordless & F.col("doc_id").isNull()
+    group = F.struct(
+        F.when(~wordless | alone, F.col("component_id")).alias("component"),
+        F.when(wordless, F.col("doc_id")).alias("id"),
+        F.when(wordless, F.sha2("text", 256)).alias("text"),
+    )
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_row"))
+    stays = written(
+        found.join(rows.select("_row", "doc_id", "text"), "_row")
+        .groupBy(group.alias("_group"))
+        .agg(first.alias("_first"))
+        .select("_first._row"),
+        "first-rows",
+    )
+    return rows.join(stays, "_row", "left_semi").select(*docs.columns)
 
 
 def cut_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
