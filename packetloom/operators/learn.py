@@ -116,23 +116,25 @@ def occlusion(
     """Attribution for any model: change of the probability without a feature.
 
     ``phi`` is the class-1 probability of the row minus that of the row with
-    one feature at its baseline.  Features already at the baseline change
-    nothing and make no row.  Scoring stays in the JVM.
+    one feature at its baseline.  Every row has all features; those already at
+    the baseline change nothing, so their 0 needs no scoring.  Scoring stays in
+    the JVM.
     """
     numbers = F.array(*(F.col(f).cast("double") for f in features))
     base = F.array(*(F.lit(float(baseline[f])) for f in features))
-    rows = df.select(*ids, numbers.alias("__x"))
+    rows = df.select(*ids, numbers.alias("__x"), F.monotonically_increasing_id().alias("__row"))
     changed = F.filter(
         F.transform(
             F.arrays_zip(F.col("__x").alias("x"), base.alias("b")),
-            lambda z, i: F.struct(i.alias("no"), (z["x"] != z["b"]).alias("differs")),
+            lambda z, i: F.struct(i.alias("no"), (~z["x"].eqNullSafe(z["b"])).alias("differs")),
         ),
         lambda z: z["differs"],
     )
     variants = F.concat(F.array(F.lit(-1)), F.transform(changed, lambda z: z["no"]))
-    exploded = rows.select(*ids, "__x", F.explode(variants).alias("__no"))
+    exploded = rows.select(*ids, "__row", "__x", F.explode(variants).alias("__no"))
     inputs = exploded.select(
         *ids,
+        "__row",
         "__no",
         *(
             F.when(F.col("__no") == i, F.lit(float(baseline[f])))
@@ -141,22 +143,23 @@ def occlusion(
             for i, f in enumerate(features)
         ),
     )
-    scored = score(model, inputs).select(*ids, "__no", F.get("proba", F.lit(1)).alias("__p"))
+    scored = score(model, inputs).select(*ids, "__row", "__no", F.get("proba", F.lit(1)).alias("__p"))
     # all variants of a row; at most one per feature
     whole = F.max(F.when(F.col("__no") == -1, F.col("__p")))
-    gathered = scored.groupBy(*ids).agg(
-        whole.alias("__whole"), F.collect_list(F.struct("__no", "__p")).alias("__v")
+    changed_p = F.collect_list(F.when(F.col("__no") >= 0, F.struct("__no", "__p")))
+    gathered = scored.groupBy(*ids, "__row").agg(
+        whole.alias("__whole"), F.map_from_entries(changed_p).alias("__v")
     )
-    names = F.array(*(F.lit(f) for f in features))
-    return (
-        gathered.select(*ids, "__whole", F.explode("__v").alias("__one"))
-        .where(F.col("__one.__no") >= 0)
-        .select(
-            *ids,
-            F.get(names, F.col("__one.__no")).alias("feature"),
-            (F.col("__whole") - F.col("__one.__p")).alias("phi"),
+    each = F.array(
+        *(
+            F.struct(
+                F.lit(f).alias("feature"),
+                F.coalesce(F.col("__whole") - F.try_element_at("__v", F.lit(i)), F.lit(0.0)).alias("phi"),
+            )
+            for i, f in enumerate(features)
         )
     )
+    return gathered.select(*ids, F.inline(each))
 
 
 def numbered_labels(c: Column, classes: list[str]) -> Column:
