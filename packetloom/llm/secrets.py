@@ -3,7 +3,8 @@
 The patterns find secrets that announce themselves (see ``base_spans``).  The
 models find the rest: one is trained on random strings, the other on ordinary
 identifiers, and a token counts as secret when its log-likelihood ratio per
-character is high enough.  Both are first-order chains over the characters of
+character is high enough; of a token that a pattern covers in part, the rest is
+judged.  Both are first-order chains over the characters of
 ``ALPHABET``.  The labelled samples come from the corpus itself and cover all of
 it: what the patterns found is labelled random, all other tokens are labelled
 ordinary.  Each task adds its samples up to two square tables of counts, which a
@@ -43,7 +44,10 @@ ASSIGN_LENGTH = 8
 ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 HEX = re.compile(r"[0-9a-f]{32,}")
 #: Tokens that the models judge, and the shortest.
-TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+LEAST_TOKEN = 16
+TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % LEAST_TOKEN)
+#: What a short part of a token is made of where a key or hex digits go on.
+RUN = re.compile(r"[A-Za-z0-9+/]*")
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 #: Documents whose characters are counted at a time.
 TOGETHER = 100
@@ -159,16 +163,41 @@ def train(docs: DataFrame, text: str = "text") -> MarkovModels:
     return models_of(tables["secret"].reshape(_N, _N), ordinary.reshape(_N, _N))
 
 
+def _uncovered(token: re.Match, taken: list[Span]) -> Iterator[tuple[int, int]]:
+    """The parts of a token outside the given sorted spans that are long enough to judge.
+
+    Of a shorter part, what runs on without ``_``, ``=`` or ``-`` from a key or
+    hex digits, with the character that it touches there, as these may end
+    within a secret.
+    """
+    at, end = token.span()
+    before = None  # kind of the span that ends at ``at``
+    for a, b, kind in [*taken, (end, end, None)]:
+        if b < at or a > end or (b == at and kind is not None):
+            continue
+        if a - at >= LEAST_TOKEN:
+            yield at, a
+        elif a > at:
+            if before in (1, 2):
+                yield at, RUN.match(token.string, at, a).end()
+            if kind in (1, 2):
+                tail = RUN.match(token.string[at:a][::-1]).end()
+                yield a - tail, a
+        if b > at:
+            at, before = b, kind
+
+
 def model_spans(text: str, models: MarkovModels, taken: list[Span]) -> list[Span]:
-    """Tokens outside the given spans that look random."""
-    spans: list[Span] = []
+    """Tokens that look random, or what the given sorted spans leave of them."""
+    spans: set[Span] = set()
     for m in TOKEN.finditer(text):
-        start, end = m.span()
-        if any(a < end and start < b for a, b, _ in taken):
-            continue
-        if models.score(m.group()) >= MARGIN:
-            spans.append((start, end, 3))
-    return spans
+        low, high = m.span()
+        for a, b in _uncovered(m, taken):
+            short = b - a < LEAST_TOKEN
+            judged = text[max(a - 1, low) : min(b + 1, high)] if short else text[a:b]
+            if b > a and models.score(judged) >= MARGIN:
+                spans.add((a, b, 3))
+    return sorted(spans)
 
 
 def all_spans(text: str, models: MarkovModels) -> tuple[list[Span], list[Span]]:
