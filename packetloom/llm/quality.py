@@ -2,13 +2,14 @@
 
 Word vectors: words fall into ``CELLS`` hashed cells, every cell has a sparse
 random index vector, and the vector of a cell is the sum of the index vectors
-around its occurrences.  These are integer sums, formed per task and combined by
-one grouped sum, so they do not depend on the order.  A document is the mean and
+around its occurrences in all documents, labelled or not.  These are integer
+sums, formed per task and combined by one grouped sum, so they do not depend on
+the order.  A document is the mean and
 the spread of the vectors of all its words, with two counts.  A network of two
 layers, trained with numpy, turns them into a probability, whose temperature is
 fitted on training rows that the weights did not see.
 
-The fit uses at most ``TRAIN_ROWS`` labelled documents: those with the smallest
+The fit of the network uses at most ``TRAIN_ROWS`` labelled documents: those with the smallest
 hash of the id.  The driver holds the pooled numbers of these, never texts.
 Scoring reads every whole text in one pass of Arrow batches.
 
@@ -209,7 +210,7 @@ def train(
         "quality-sample",
     )
     summed = (
-        sample.select("text")
+        docs.select(text)
         .mapInArrow(_context_sums, "cell int, sums array<long>")
         .groupBy("cell")
         .agg(F.array(*[F.sum(F.get("sums", F.lit(i))) for i in range(DIMS)]).alias("sums"))
