@@ -12,6 +12,7 @@ from packetloom.llm import (
     byte_bpe,
     embedding_dedup,
     language,
+    merkle,
     minhash,
     mixing,
     quality,
@@ -226,3 +227,98 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(byte_bpe.packed(F.col("ids"), ranks), 256).alias("ids_sha256"),
         F.sha2(byte_bpe.decoded(F.col("ids"), ranks), 256).alias("decoded_sha256"),
     )
+
+
+@query
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, proof and roots of every document; half of the texts are checked without newlines."""
+    docs = read(spark, sf_dir, "documents")
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    leaf = merkle.leaf_of(*[F.col(c) for c in fields])
+    cut = merkle.leaf_of(*[F.col(c) for c in fields[:-1]], F.replace("text", F.lit("\n"), F.lit("")))
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 2 == 0
+    rows = docs.select("doc_id", "source", leaf.alias("leaf"), F.when(tampered, cut).alias("tampered"))
+    found = merkle.proofs(rows, leaf="leaf", keep=["tampered"])
+    folded = merkle.root_from(F.coalesce("tampered", "leaf"), F.col("path"))
+    return found.select(
+        "doc_id",
+        "leaf",
+        "subroot",
+        "root",
+        merkle.digest(merkle.siblings(F.col("path"))).alias("proof_sha256"),
+        folded.alias("folded_root"),
+    ).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+ORACLES["op11_merkle_manifest"] = """
+WITH RECURSIVE
+field AS (
+  SELECT doc_id, source, text,
+    list_transform([doc_id::VARCHAR, source, lang, n_chars::VARCHAR],
+      lambda x: coalesce(strlen(x) || ':' || x, '-')) AS f
+  FROM documents
+),
+leaf AS (
+  SELECT doc_id, source,
+    sha256(array_to_string(f, '') || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+    sha256(array_to_string(f, '') || coalesce(strlen(replace(text, chr(10), '')) || ':'
+      || replace(text, chr(10), ''), '-')) AS cut,
+    -- crc32 of the decimal id, bit by bit; a byte is followed by seven shifts without one
+    xor(list_reduce([4294967295::BIGINT] || flatten(list_transform(string_split(doc_id::VARCHAR, ''),
+      lambda c: [ascii(c)::BIGINT, 0, 0, 0, 0, 0, 0, 0])),
+      lambda a, b: xor(xor(a, b) >> 1, 3988292384 * (xor(a, b) & 1))), 4294967295::BIGINT) AS crc
+  FROM field
+),
+names AS (
+  SELECT source, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS s
+  FROM (SELECT DISTINCT source FROM documents)
+),
+placed AS (
+  SELECT l.*, s, row_number() OVER (PARTITION BY s ORDER BY doc_id NULLS FIRST, leaf) - 1 AS r
+  FROM leaf l JOIN names n ON l.source IS NOT DISTINCT FROM n.source
+),
+low(level, s, r, h, n) AS (
+  SELECT 0, s, r, leaf, count(*) OVER (PARTITION BY s) FROM placed
+  UNION ALL
+  SELECT level + 1, s, r // 3, sha256(string_agg(h, '' ORDER BY r)), (any_value(n) + 2) // 3
+  FROM low WHERE n > 1 GROUP BY level, s, r // 3
+),
+subroots AS (SELECT s, h AS subroot, level AS top FROM low WHERE n = 1),
+high(level, s, r, h, n) AS (
+  SELECT 100, 0, s, subroot, count(*) OVER () FROM subroots
+  UNION ALL
+  SELECT level + 1, 0, r // 3, sha256(string_agg(h, '' ORDER BY r)), (any_value(n) + 2) // 3
+  FROM high WHERE n > 1 GROUP BY level, r // 3
+),
+steps AS (
+  SELECT p.doc_id, p.leaf, v.level, string_agg(b.h, '' ORDER BY b.r) FILTER (b.r < v.r) AS lefts,
+    string_agg(b.h, '' ORDER BY b.r) FILTER (b.r > v.r) AS rights
+  FROM placed p
+  JOIN (SELECT DISTINCT level, s, r, n FROM low WHERE n > 1) v
+    ON v.s = p.s AND v.r = p.r // (3 ** v.level)::BIGINT
+  JOIN low b ON b.s = v.s AND b.level = v.level AND b.r // 3 = v.r // 3
+  GROUP BY ALL
+  UNION ALL
+  SELECT p.doc_id, p.leaf, v.level, string_agg(b.h, '' ORDER BY b.r) FILTER (b.r < v.r),
+    string_agg(b.h, '' ORDER BY b.r) FILTER (b.r > v.r)
+  FROM placed p
+  JOIN high v ON v.n > 1 AND v.r = p.s // (3 ** (v.level - 100))::BIGINT
+  JOIN high b ON b.level = v.level AND b.r // 3 = v.r // 3
+  GROUP BY ALL
+),
+paths AS (
+  SELECT doc_id, leaf,
+    list(coalesce(lefts, '') || '|' || coalesce(rights, '') ORDER BY level) AS path
+  FROM steps GROUP BY doc_id, leaf
+),
+folded AS (
+  SELECT p.doc_id, p.leaf, s, path,
+    list_reduce([CASE WHEN crc % 2 = 0 THEN cut ELSE p.leaf END] || coalesce(path, []),
+      lambda h, x: sha256(split_part(x, '|', 1) || h || split_part(x, '|', 2))) AS folded_root
+  FROM placed p LEFT JOIN paths t ON p.doc_id = t.doc_id AND p.leaf = t.leaf
+)
+SELECT doc_id, leaf, subroot, h AS root,
+  sha256(coalesce(array_to_string(list_transform(path, lambda x: replace(x, '|', '')), ''), '')) AS proof_sha256,
+  folded_root, folded_root = h AS verified
+FROM folded JOIN subroots USING (s) CROSS JOIN (SELECT h FROM high WHERE n = 1)
+"""
