@@ -15,6 +15,7 @@ from packetloom.llm import (
     merkle,
     minhash,
     mixing,
+    piece_bpe,
     quality,
     secrets,
     token_files,
@@ -322,3 +323,17 @@ SELECT doc_id, leaf, subroot, h AS root,
   folded_root, folded_root = h AS verified
 FROM folded JOIN subroots USING (s) CROSS JOIN (SELECT h FROM high WHERE n = 1)
 """
+
+
+@query
+def op13_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SentencePiece ids of every document, and the text that they decode to."""
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    ids = piece_bpe.encoded(docs, path)
+    return ids.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
+        F.sha2(piece_bpe.decoded(F.col("ids"), path), 256).alias("decoded_sha256"),
+    )
