@@ -44,12 +44,14 @@ from packetloom.llm.common import need, once_per_worker
 
 #: Stands for a space in pieces.
 SPACE = "▁"
+#: A match is a piece's number, shifted by so many bits, and its length; a pair is left * PAIR + right.
+BITS, LENGTH, PAIR = 8, 255, 1 << 22
 #: Letters of which words are made that end before another character.
 LETTERS = "A-Za-zÀ-ÖØ-öø-ʯ"
 #: Chunks that a task remembers, and as many that it has not seen for longer.
-CHUNKS = 300_000
+CHUNKS = 550_000
 #: Pairs of pieces that a task remembers.
-PAIRS = 400_000
+PAIRS = 700_000
 #: Longest chunk that is remembered.
 CHUNK_LENGTH = 64
 #: Documents that are encoded at a time.
@@ -72,24 +74,28 @@ class Vocabulary:
         size = model.get_piece_size()
         self.ids: dict[str, int] = {}
         self.scores: dict[str, float] = {}
-        self.raw: list[bytes] = [b""] * size
+        self.names = [""] * size
+        raw = [b""] * size
         self.byte_ids = [model.unk_id()] * 256
         for i in range(size):
             piece = model.id_to_piece(i)
             if model.is_byte(i):
                 value = int(piece[1:-1], 16)
-                self.byte_ids[value], self.raw[i] = i, bytes([value])
+                self.byte_ids[value], raw[i] = i, bytes([value])
             elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)):
                 self.ids[piece], self.scores[piece] = i, model.get_score(i)
-                self.raw[i] = piece.replace(SPACE, " ").encode()
+                self.names[i], raw[i] = piece, piece.replace(SPACE, " ").encode()
         if model.unk_id() in self.byte_ids:
             raise ValueError(f"{path} has no bytes for unknown characters")
+        self.raw = pa.array(raw, pa.binary())
+        if max(map(len, self.ids)) > LENGTH or size >= PAIR >> 1:
+            raise ValueError(f"{path} has too long or too many pieces")
         self.matches = ahocorasick.Automaton()
-        for piece in self.ids:
-            self.matches.add_word(piece, len(piece))
+        for piece, i in self.ids.items():
+            self.matches.add_word(piece, i << BITS | len(piece))
         self.matches.make_automaton()
         self.chunk = self._chunks()
-        self.compatible: dict[tuple[str, str], bool] = {}
+        self.compatible: dict[int, bool] = {}
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -101,8 +107,8 @@ class Vocabulary:
         marks = any(
             SPACE not in (a, b) and bool(letter.match(a)) != bool(letter.match(b)) for a, b in borders
         )
-        word = rf"{SPACE}*[{LETTERS}]+|{SPACE}*[^{LETTERS}{SPACE}]+|{SPACE}+"
-        parts = {(False, False): word, (False, True): rf"{SPACE}*[^{SPACE}]+|{SPACE}+"}
+        word = f" *[{LETTERS}]+| *[^{LETTERS} ]+| +"
+        parts = {(False, False): word, (False, True): " *[^ ]+| +"}
         return re.compile(parts.get((space, marks), r"(?s:.+)"))
 
     def merged(self, text: str) -> list[str]:
@@ -135,82 +141,106 @@ class Vocabulary:
                 offer(before[i])
         return [p for p in pieces if p is not None]
 
-    def fits(self, left: str, right: str) -> bool:
-        """Whether the two stay as they are when their joined text is merged; "" is the start."""
-        pair = (left, right)
-        found = self.compatible.get(pair)
-        if found is None:
-            found = self.merged(left + right) == ([left, right] if left else [right])
-            if len(self.compatible) >= PAIRS:
-                self.compatible.clear()
-            self.compatible[pair] = found
+    def _text(self, piece: int) -> str:
+        """Text of a piece; numbers above the vocabulary are characters that are no piece."""
+        if piece < 0:
+            return ""
+        return self.names[piece] if piece < len(self.names) else chr(piece - len(self.names))
+
+    def fits(self, left: int, right: int) -> bool:
+        """Whether the two stay as they are when their joined text is merged; -1 is the start."""
+        a, b = self._text(left), self._text(right)
+        found = self.merged(a + b) == ([a, b] if a else [b])
+        if len(self.compatible) >= PAIRS:
+            self.compatible.clear()
+        self.compatible[left * PAIR + right] = found
         return found
 
-    def pieces(self, text: str) -> list[str]:
+    def pieces(self, text: str) -> list[int]:
         """The pieces of a text by backtracking over its matches."""
         n = len(text)
-        longest_first: list[list[int]] = [[] for _ in range(n)]
-        for end, length in self.matches.iter(text):
-            longest_first[end + 1 - length].append(length)
-        for i, lengths in enumerate(longest_first):
-            if not lengths or lengths[0] != 1:
-                lengths.insert(0, 1)  # a character that is no piece stays alone
-            lengths.reverse()
+        starting: list[list[int] | None] = [None] * n  # number and length of the matches, longest last
+        for end, match in self.matches.iter(text):
+            at = end + 1 - (match & LENGTH)
+            if starting[at]:
+                starting[at].append(match)
+            else:
+                starting[at] = [match]
+        for at, matches in enumerate(starting):
+            if not matches:
+                starting[at] = [self._alone(text[at])]
+            elif matches[0] & LENGTH != 1:
+                matches.insert(0, self._alone(text[at]))
+        compatible, fits = self.compatible, self.fits
         dead = bytearray(n // 8 + 1)  # ends from which nothing fits
-        found: list[str] = []
-        tried = [0]  # how many lengths were tried at the place of each piece, and now
-        at = 0
+        found: list[int] = []
+        left: list[int] = []  # how many matches are still untried at the place of each piece
+        last, at, k = -1, 0, len(starting[0]) if n else 0
         while at < n:
-            last = found[-1] if found else ""
-            lengths, k = longest_first[at], tried[-1]
-            while k < len(lengths):
-                end = at + lengths[k]
-                k += 1
-                if not dead[end >> 3] & 1 << (end & 7) and self.fits(last, text[at:end]):
-                    tried[-1] = k
-                    tried.append(0)
-                    found.append(text[at:end])
-                    at = end
-                    break
+            matches = starting[at]
+            while k:
+                k -= 1
+                match = matches[k]
+                piece = match >> BITS
+                good = compatible.get(last * PAIR + piece)
+                if good is None:
+                    good = fits(last, piece)
+                if good:
+                    end = at + (match & LENGTH)
+                    if not dead[end >> 3] >> (end & 7) & 1:
+                        left.append(k)
+                        found.append(match)
+                        last, at, k = piece, end, len(starting[end]) if end < n else 0
+                        break
             else:
                 dead[at >> 3] |= 1 << (at & 7)
-                tried.pop()
-                at -= len(found.pop())
-        return found
+                at -= found.pop() & LENGTH
+                k = left.pop()
+                last = found[-1] >> BITS if found else -1
+        return [match >> BITS for match in found]
+
+    def _alone(self, character: str) -> int:
+        """Match of a single character that is no piece."""
+        return (len(self.names) + ord(character)) << BITS | 1
 
     def _packed(self, chunk: str) -> bytes:
         out: list[int] = []
         for piece in self.pieces(chunk):
-            number = self.ids.get(piece)
-            if number is None:
-                out += [self.byte_ids[b] for b in piece.encode()]
+            if piece < len(self.names):
+                out.append(piece)
             else:
-                out.append(number)
+                out += [self.byte_ids[b] for b in self._text(piece).encode()]
         return np.array(out, np.int32).tobytes()
 
     def _learnt(self, chunk: str) -> bytes:
-        packed = self.older.get(chunk)
+        packed = self.known.get(chunk)  # it may have been learnt in the same text
         if packed is None:
-            packed = self._packed(chunk)
-        if len(chunk) <= CHUNK_LENGTH:
-            if len(self.known) >= CHUNKS:
-                self.older, self.known = self.known, {}
-            self.known[chunk] = packed
+            packed = self.older.get(chunk)
+            if packed is None:
+                packed = self._packed(chunk.replace(" ", SPACE))
+            if len(chunk) <= CHUNK_LENGTH:
+                if len(self.known) >= CHUNKS:
+                    self.older, self.known = self.known, {}
+                self.known[chunk] = packed
         return packed
 
     def encode(self, text: str) -> np.ndarray:
         if not text:
             return np.empty(0, np.int32)
-        parts = []
-        for chunk in self.chunk.findall(SPACE + text.replace(" ", SPACE)):
-            packed = self.known.get(chunk)
-            parts.append(self._learnt(chunk) if packed is None else packed)
+        chunks = self.chunk.findall(" " + text.replace(SPACE, " "))
+        parts = list(map(self.known.get, chunks))
+        if None in parts:
+            parts = [self._learnt(c) if p is None else p for c, p in zip(chunks, parts, strict=True)]
         return np.frombuffer(b"".join(parts), np.int32)
 
-    def decode(self, ids: list[int]) -> str:
-        """The text of the ids without the space in front; broken bytes become U+FFFD."""
-        text = b"".join([self.raw[i] for i in ids])
-        return text.decode("utf-8", "replace").removeprefix(" ")
+    def decode(self, lists: pa.ListArray) -> pa.Array:
+        """The texts of lists of ids, without the space in front; broken bytes become U+FFFD."""
+        pieces = self.raw.take(lists.flatten())
+        ends = np.frombuffer(pieces.buffers()[1], np.int32)
+        ends = ends[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
+        buffers = [None, pa.py_buffer(ends), pieces.buffers()[2]]
+        texts = pa.Array.from_buffers(pa.binary(), len(lists), buffers).to_pylist()
+        return pa.array([t.decode("utf-8", "replace").removeprefix(" ") for t in texts], pa.string())
 
 
 def vocabulary(path: str) -> Vocabulary:
@@ -246,10 +276,7 @@ def decoded(ids: Column, model_path: str) -> Column:
     @F.arrow_udf("string")
     def text(lists: pa.Array) -> pa.Array:
         decode = vocabulary(model_path).decode
-        parts = [
-            pa.array([decode(i) for i in lists.slice(k, TOGETHER).to_pylist()], pa.string())
-            for k in range(0, max(len(lists), 1), TOGETHER)
-        ]
-        return pa.concat_arrays(parts)
+        starts = range(0, max(len(lists), 1), TOGETHER)
+        return pa.concat_arrays([decode(lists.slice(k, TOGETHER)) for k in starts])
 
     return text(ids)

@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
@@ -21,6 +22,10 @@ def library():
     return sentencepiece.SentencePieceProcessor(model_file=PATH)
 
 
+def decode(ours, ids):
+    return ours.decode(pa.array([ids], pa.list_(pa.int32())))[0].as_py()
+
+
 def test_random_texts(library):
     ours, rng = piece_bpe.Vocabulary(PATH), random.Random(4)
     texts = ["".join(rng.choices(LETTERS, k=rng.randint(0, 40))) for _ in range(4000)]
@@ -29,14 +34,14 @@ def test_random_texts(library):
     for text in texts:
         ids = ours.encode(text).tolist()
         assert ids == library.encode(text), repr(text[:80])
-        assert ours.decode(ids) == library.decode(ids)
+        assert decode(ours, ids) == library.decode(ids)
 
 
 def test_backtracking_gives_what_merging_gives():
     ours, rng = piece_bpe.Vocabulary(PATH), random.Random(6)
     for _ in range(3000):
         text = "".join(rng.choices("etaoinshr▁", k=rng.randint(1, 25)))
-        assert ours.pieces(text) == ours.merged(text)
+        assert [ours.names[i] for i in ours.pieces(text)] == ours.merged(text)
 
 
 def test_forgetting_changes_nothing(library, monkeypatch):
@@ -50,7 +55,7 @@ def test_forgetting_changes_nothing(library, monkeypatch):
 def test_broken_ids_decode_like_the_library(library):
     ours = piece_bpe.Vocabulary(PATH)
     for ids in ([], [library.piece_to_id("<0xC3>")], [264, 264], [28705, 28705, 264]):
-        assert ours.decode(ids) == library.decode(ids)
+        assert decode(ours, ids) == library.decode(ids)
 
 
 def test_query_equals_the_library(spark, library):
