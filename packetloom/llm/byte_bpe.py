@@ -4,8 +4,8 @@ A text is cut into words by the tokenizer's pattern.  A word is its UTF-8 bytes,
 written as pieces of two hexadecimal digits per byte; a fold over the array of
 pieces merges, step by step, the leftmost pair of lowest rank, until no pair has
 one.  Ranks come from a literal map, cut into buckets by a hash of the piece so
-that a lookup reads one short map.  Decoding joins the pieces of the ids, taken
-from a literal array, and turns them into bytes.
+that a lookup reads one short map.  Decoding concatenates the binary pieces of
+the ids.
 
 Words repeat, so each different word is folded once: a grouped count finds the
 words, the frequent ones are folded as a table and sent to the tasks, and a pass
@@ -49,7 +49,7 @@ KNOWN_BYTES = 64
 #: Longest word that is folded.
 FOLD_BYTES = 512
 #: Documents that are looked up at a time.
-TOGETHER = 500
+TOGETHER = 2000
 #: No rank.
 NONE = 2**31 - 1
 
@@ -249,17 +249,7 @@ def encoded(
 ) -> DataFrame:
     """Adds ``ids``: array<int> of every text."""
     need(docs, text)
-    table = known.toArrow()  # KNOWN_WORDS short words at most
-    order = pc.sort_indices(table["word"])
-    ids = table["ids"].combine_chunks().take(order)
-    sent = docs.sparkSession.sparkContext.broadcast(
-        (
-            table["word"].combine_chunks().take(order),
-            ids.offsets.to_numpy().astype(np.int64),
-            ids.flatten().to_numpy().astype(np.int32),
-            ranks.ranks,
-        )
-    )
+    sent = _sent(known, ranks)
     kind = "struct<ids: array<int>, rare: array<string>>"
 
     @F.arrow_udf(kind)
@@ -313,28 +303,85 @@ def encoded(
             [ids, pa.array(rare, pa.list_(pa.string()))], ["ids", "rare"]
         )
 
-    found = docs.withColumn("_found", looked_up(words_of(F.col(text), pattern)))
-    rows = ranks.with_map(found)
-
-    def filled(rare: Column) -> Column:
-        of = lambda i: F.when(i < 0, F.get(rare, -i - 1)).otherwise(F.array(i))
-        return F.flatten(F.transform("_found.ids", of))
-
-    rare = folded(F.col("_found.rare"), F.col("_ranks"))
-    ids = F.when(F.size("_found.rare") == 0, F.col("_found.ids")).otherwise(_let(rare, filled))
-    return rows.withColumn("ids", ids).drop("_found", "_ranks")
+    @F.arrow_udf("array<int>")
+    def filled(codes: pa.Array, rare: pa.Array) -> pa.Array:
+        starts = range(0, max(len(codes), 1), TOGETHER)
+        return pa.concat_arrays([_filled(codes.slice(k, TOGETHER), rare.slice(k, TOGETHER)) for k in starts])
+
+    rows = ranks.with_map(docs.withColumn("_found", looked_up(words_of(F.col(text), pattern))))
+    # generated as a row of its own: Spark runs no Arrow function on an expression with lambdas
+    rare = F.explode(F.array(folded(F.col("_found.rare"), F.col("_ranks"))))
+    rows = rows.select(*docs.columns, "_found", rare.alias("_rare"))
+    return rows.withColumn("ids", filled("_found.ids", "_rare")).drop("_found", "_rare")
+
+
+def _sent(known: DataFrame, ranks: Ranks):
+    """Broadcast of the known words and their ids; KNOWN_WORDS short words at most."""
+    table = known.toArrow()
+    ids = table["ids"].combine_chunks()
+    value = (
+        table["word"].combine_chunks(),
+        ids.offsets.to_numpy().astype(np.int64),
+        ids.flatten().to_numpy().astype(np.int32),
+        ranks.ranks,
+    )
+    del table, ids
+    return known.sparkSession.sparkContext.broadcast(value)
+
+
+def _spans(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """Bounds of the lists, from 0, and their values."""
+    ends = lists.offsets.to_numpy().astype(np.int64)
+    return ends - ends[0], lists.flatten()
+
+
+def _filled(codes: pa.ListArray, rare: pa.ListArray) -> pa.ListArray:
+    """The ids with code -k - 1 replaced by the ids of the k-th rare word of the row."""
+    ends, flat = _spans(codes)
+    first, words = _spans(rare)
+    starts, ids = _spans(words)
+    flat, ids = flat.to_numpy(), ids.to_numpy()
+    open_ = np.flatnonzero(flat < 0)
+    row = np.searchsorted(ends, open_, "right") - 1
+    word = first[row] - flat[open_] - 1
+    sizes = np.ones(len(flat), np.int64)
+    sizes[open_] = starts[word + 1] - starts[word]
+    begin = np.concatenate([[0], np.cumsum(sizes)])
+    out = np.empty(begin[-1], np.int32)
+    known = flat >= 0
+    out[begin[:-1][known]] = flat[known]
+    many = sizes[open_]
+    inside = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+    out[np.repeat(begin[:-1][open_], many) + inside] = ids[np.repeat(starts[word], many) + inside]
+    return pa.ListArray.from_arrays(pa.array(begin[ends].astype(np.int32)), pa.array(out))
 
 
 def decoded(ids: Column, ranks: Ranks) -> Column:
     """The bytes of the ids: their pieces, one after the other."""
-    pieces = literal_json(ranks.pieces, "array<string>")
-    return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(pieces, i)), ""))
+    pieces = pa.array([bytes.fromhex(piece) for piece in ranks.pieces], pa.binary())
+
+    def joined(lists: pa.ListArray) -> pa.Array:
+        ends, flat = _spans(lists)
+        taken = pieces.take(flat)
+        bounds = np.frombuffer(taken.buffers()[1], np.int32)[ends]
+        return pa.Array.from_buffers(pa.binary(), len(lists), [None, pa.py_buffer(bounds), taken.buffers()[2]])
+
+    @F.arrow_udf("binary")
+    def text(lists: pa.Array) -> pa.Array:
+        starts = range(0, max(len(lists), 1), TOGETHER)
+        return pa.concat_arrays([joined(lists.slice(k, TOGETHER)) for k in starts])
+
+    return text(ids)
 
 
 def packed(ids: Column, ranks: Ranks) -> Column:
     """The ids as little-endian unsigned 32-bit integers."""
-    names = literal_json(
-        [i.to_bytes(4, "little").hex() for i in range(len(ranks.pieces))], "array<string>"
-    )
-    return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(names, i)), ""))
 
+    @F.arrow_udf("binary")
+    def raw(lists: pa.Array) -> pa.Array:
+        ends, flat = _spans(lists)
+        data = flat.to_numpy().astype("<u4").tobytes()
+        bounds = (4 * ends).astype(np.int32)
+        return pa.Array.from_buffers(pa.binary(), len(lists), [None, pa.py_buffer(bounds), pa.py_buffer(data)])
+
+    return raw(ids)
