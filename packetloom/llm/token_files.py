@@ -44,8 +44,8 @@ FILE_DOCUMENTS = 8192
 LEVEL = 3
 #: Texts whose new words are learnt together.
 TOGETHER = 64
-#: Words that a worker remembers; all are forgotten when there are more.
-CACHE_WORDS = 700_000
+#: Words that a worker remembers, and as many that it has not seen for longer.
+CACHE_WORDS = 400_000
 
 #: Zstandard's magic number of a skippable frame, and this format's.
 SKIPPABLE = 0x184D2A5E
@@ -56,6 +56,8 @@ FOOTER = "<IB8s"  # entries, bytes of an id, magic
 #: Characters at which str.split cuts but white space of the tokenizer does not.
 _SEPARATORS = re.compile("[\x1c-\x1f]")
 _LATIN_WORD = re.compile(r"([^\W\d_]+)([.,!?]*)")
+#: The one letter before ɐ whose lower case is two characters; the second joins the marks behind it.
+_SPLIT_CASE = "İ"
 
 
 class Encoder:
@@ -65,13 +67,15 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings are ordinary text
+        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(map(re.escape, special)) or "(?!)", re.IGNORECASE)
         size = self.tokenizer.get_vocab_size()
         self.kind = np.dtype("<u2" if size <= 1 << 16 else "<u4")
         self.ends = np.zeros(size, bool)
         for token, number in self.tokenizer.get_vocab().items():
             self.ends[number] = token.endswith("</w>")
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _packed(self, ids: list[int]) -> bytes:
         return np.array(ids, self.kind).tobytes()
@@ -99,7 +103,7 @@ class Encoder:
         """Words of Latin letters are learnt without the marks behind them, others as they are."""
         split, other = {}, []
         for word in words:
-            m = _LATIN_WORD.fullmatch(word) if max(word) < "ɐ" else None
+            m = _LATIN_WORD.fullmatch(word) if max(word) < "ɐ" and _SPLIT_CASE not in word else None
             if m:
                 split[word] = (m[1].lower() if m[1].isascii() else m[1], m[2])
             else:
@@ -112,15 +116,19 @@ class Encoder:
         for word, (core, marks) in split.items():
             self.known[word] = self.known[core] + (self.known[marks] if marks else b"")
 
+    def _forget(self) -> None:
+        if len(self.known) > CACHE_WORDS:
+            self.older, self.known = self.known, {}
+
     def __call__(self, texts: list[str]) -> list[bytes]:
-        odd = [bool(_SEPARATORS.search(text)) for text in texts]
+        self._forget()
+        odd = [bool(_SEPARATORS.search(t)) or "<" in t and bool(self.special.search(t)) for t in texts]
         cut = [[] if o else text.split() for text, o in zip(texts, odd, strict=True)]
         new = set(itertools.chain.from_iterable(cut)).difference(self.known)
         if new:
-            if len(self.known) + len(new) > CACHE_WORDS:
-                self.known.clear()
-                new = set(itertools.chain.from_iterable(cut))
-            self._learn(new)
+            again = new.intersection(self.older)
+            self.known.update((word, self.older[word]) for word in again)
+            self._learn(new - again)
         get = self.known.__getitem__
         return [
             self._direct([text])[0] if o else b"".join(map(get, words))
@@ -137,11 +145,15 @@ def crc_of(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4").tobytes())
 
 
+def _file_system(uri: str) -> tuple[pafs.FileSystem, str]:
+    return pafs.FileSystem.from_uri(re.sub("^s3[an]://", "s3://", uri))
+
+
 class FileWriter:
     """Writes one file; it appears under its name when it is closed."""
 
     def __init__(self, uri: str, width: int) -> None:
-        self.fs, self.path = pafs.FileSystem.from_uri(uri)
+        self.fs, self.path = _file_system(uri)
         self.temporary = f"{self.path}.{uuid.uuid4().hex}"
         self.out = self.fs.open_output_stream(self.temporary)
         self.width, self.entries, self.offset, self.ids = width, [], 0, 0
@@ -168,7 +180,7 @@ class FileReader:
     """Random access to the documents of one file."""
 
     def __init__(self, uri: str) -> None:
-        fs, path = pafs.FileSystem.from_uri(uri)
+        fs, path = _file_system(uri)
         self.file = fs.open_input_file(path)
         table = self.file.size() - struct.calcsize(FOOTER)
         footer = self.file.read_at(struct.calcsize(FOOTER), table)
@@ -181,12 +193,17 @@ class FileReader:
 
     def ids(self, entry: tuple) -> np.ndarray:
         """The ids of one document; its frame alone is read and decompressed."""
+        return np.frombuffer(self.unpacked(entry), "<u4")
+
+    def unpacked(self, entry: tuple) -> bytes:
+        """The ids as little-endian unsigned 32-bit integers, with the checksum of the seek table."""
         _, _, _, n, offset, size, crc = entry
         frame = self.file.read_at(size, offset)
         found = np.frombuffer(self.unpacker.decompress(frame), f"<u{self.width}")
-        if len(found) != n or crc_of(found) != crc:
+        packed = found.astype("<u4").tobytes()
+        if len(found) != n or zlib.crc32(packed) != crc:
             raise ValueError("a document does not have the checksum in the seek table")
-        return found
+        return packed
 
     def documents(self, doc_ids: Iterable[int]) -> Iterator[tuple[int, np.ndarray]]:
         wanted = set(doc_ids)
@@ -209,11 +226,10 @@ def write_token_files(
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     n = docs.count()
     files = max(1, -(-n // FILE_DOCUMENTS))
-    bounds = np.empty(0, np.int64)
-    if files > 1:
-        quantiles = F.array(*[F.lit(i / files) for i in range(1, files)])
-        found = docs.agg(F.percentile_approx("doc_id", quantiles, F.lit(20 * files))).first()[0]
-        bounds = np.unique(np.array(found or [], np.int64))
+    ranges = docs.select("doc_id").repartitionByRange(files, "doc_id")
+    lows = ranges.groupBy(F.spark_partition_id().alias("range")).agg(F.min("doc_id").alias("low"))
+    bounds = np.array([r.low for r in lows.where("low IS NOT NULL").collect()], np.int64)  # one per file
+    bounds = np.sort(bounds)[1:]
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode_text = encoder(tokenizer_path)
@@ -277,22 +293,23 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
                 reader = FileReader(path)
                 for k in range(0, len(reader.entries), 1024):
                     entries = reader.entries[k : k + 1024]
-                    ids = [reader.ids(e).astype("<u4") for e in entries]
+                    ids = [reader.unpacked(e) for e in entries]
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array([None if e[1] else e[0] for e in entries], pa.int64()),
                             pa.array([start + e[2] for e in entries], pa.int64()),
-                            pa.array([len(x) for x in ids], pa.int64()),
-                            pa.array([zlib.crc32(x.tobytes()) for x in ids], pa.int64()),
-                            pa.array([x.tobytes() for x in ids], pa.binary()),
+                            pa.array([e[3] for e in entries], pa.int64()),
+                            pa.array([e[6] for e in entries], pa.int64()),
+                            pa.array(ids, pa.binary()),
                         ],
                         ["doc_id", "start", "n_tokens", "ids_crc32", "ids"],
                     )
 
     kind = "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary"
+    files = manifest.count()  # a task per file: the manifest itself is one small partition
     return (
         manifest.select("path", "start", "file")
-        .repartition("file")
+        .repartition(max(files, 1), "file")
         .select("path", "start")
         .mapInArrow(read, kind)
     )

@@ -329,7 +329,6 @@ def test_url_verdicts(spark):
 def test_token_files(spark, tmp_path):
     path = public_tokenizers.path("word_bpe_49k.json")
     library = Tokenizer.from_file(path)
-    library.encode_special_tokens = True
     texts = ODD_TEXTS + ["The end. The END!? don't <|endoftext|>", "e\u0301 \u0301x ΣΑΣ Σ."]
     texts += [r.text for r in documents(spark).values()][:80]
     docs = spark.createDataFrame([(7 * i, t) for i, t in enumerate(texts)], "doc_id long, text string")
@@ -346,3 +345,17 @@ def test_token_files(spark, tmp_path):
     assert {k: v.tolist() for k, v in asked.items()} == {
         7 * i: np.frombuffer(rows[i].ids, "<u4").tolist() for i in (1, 10)
     }
+
+
+def test_random_strings_have_the_ids_of_the_library(monkeypatch):
+    monkeypatch.setattr(token_files, "CACHE_WORDS", 200)
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library, ours = Tokenizer.from_file(path), token_files.Encoder(path)
+    rng = np.random.default_rng(12)
+    letters = list("aabcethe  \n\t.,!?;'éèñİıſßÀ中日\u0301\u0307\x1c12_-") + ["<|endoftext|>", "İ.", "<|ENDOFTEXT|>"]
+    texts = ["".join(rng.choice(letters, rng.integers(0, 30))) for _ in range(4000)]
+    for k in range(0, len(texts), 50):
+        packed = ours(texts[k : k + 50])
+        for text, ids in zip(texts[k : k + 50], packed, strict=True):
+            want = library.encode(text, add_special_tokens=False).ids
+            assert np.frombuffer(ids, ours.kind).tolist() == want, repr(text)
