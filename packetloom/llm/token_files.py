@@ -126,9 +126,9 @@ class Encoder:
         cut = [[] if o else text.split() for text, o in zip(texts, odd, strict=True)]
         new = set(itertools.chain.from_iterable(cut)).difference(self.known)
         if new:
-            again = new.intersection(self.older)
-            self.known.update((word, self.older[word]) for word in again)
-            self._learn(new - again)
+            again = {word: self.older[word] for word in new if word in self.older}
+            self.known.update(again)
+            self._learn(new.difference(again))
         get = self.known.__getitem__
         return [
             self._direct([text])[0] if o else b"".join(map(get, words))
