@@ -49,7 +49,7 @@ KNOWN_BYTES = 64
 #: Longest word that is folded.
 FOLD_BYTES = 512
 #: Documents that are looked up at a time.
-TOGETHER = 2000
+TOGETHER = 500
 #: No rank.
 NONE = 2**31 - 1
 
