@@ -11,10 +11,19 @@ The regex dot also stops at U+0085, U+2028 and U+2029, which the one-line text
 may still hold, and at line breaks in the other texts.  There the pieces are
 searched line by line, so both branches give the regex result, and no pattern
 of literal pieces ever backtracks.
+
+Nor do the others, see ``first_in_line``: within a line, the first occurrence of
+a piece leaves the most room for the next one, so a regex that is tied to line
+starts and takes first occurrences for good answers in linear time.  A piece may
+hold one character that is no letter or digit, and that may be the line break
+itself; such an occurrence ends on the next line and is a case of its own.
+``Finder`` lists the matches of many patterns by the same rule.
 """
 
 from __future__ import annotations
 
+import heapq
+import itertools
 import re
 from dataclasses import dataclass
 
@@ -134,16 +143,40 @@ def _in_a_line(column: str, patterns: list[list[str]]) -> str:
     return f"exists(split({column}, {LINES}), line -> {any_})"
 
 
-def atomic(pattern: str) -> str:
-    """The same matches, but a gap before a literal piece is not tried again.
+#: The same characters, as part of a regex character class.
+BREAKS = r"\n\r\x85\u2028\u2029"
+_LINE_START = rf"(?:\A|(?<=[{BREAKS}]))"
+
+
+def _one_line_pieces(pattern: str) -> list[list[str]]:
+    """The pieces; each either holds no line break or holds them where it can."""
+    word = NOT_WORD[2:-1]
+    out = []
+    for piece in pattern.split(GAP):
+        inside = piece.replace(NOT_WORD, f"[^{word}{BREAKS}]")
+        across = piece.replace(NOT_WORD, f"[{BREAKS}]")
+        kinds = [inside, across] if inside != piece else [piece]
+        if piece.count(NOT_WORD) > 1:
+            kinds.insert(1, piece)
+        out.append(kinds)
+    return out
 
-    A later occurrence of a literal piece never lets the rest match where the
-    first one does not, so nothing is lost.
+
+def first_in_line(pattern: str, *, one_line_text: bool) -> str:
+    """A regex that finds something where the pattern does, in linear time.
+
+    It starts at line starts only and takes the first occurrence of each piece,
+    in this line or across its end, without trying others.
     """
-    first, *rest = pattern.split(GAP)
-    return first + "".join(
-        f"(?>.*?{piece})" if literal_of(piece) is not None else f"{GAP}{piece}" for piece in rest
-    )
+    kinds = _one_line_pieces(pattern)
+    if one_line_text:
+        kinds = [k[:1] for k in kinds]
+    ways = ("".join(f"(?>.*?{piece})" for piece in way) for way in itertools.product(*kinds))
+    return ("\\A" if one_line_text else _LINE_START) + f"(?:{'|'.join(ways)})"
+
+
+def regex_of(pattern: str, *, one_line_text: bool) -> str:
+    return first_in_line(pattern, one_line_text=one_line_text) if GAP in pattern else pattern
 
 
 def pattern_sql(pattern: str, column: str, *, one_line_text: bool) -> str:
@@ -160,7 +193,8 @@ def pattern_sql(pattern: str, column: str, *, one_line_text: bool) -> str:
     present = [has(column, t) for t in required_texts(pattern)]
     if None not in pieces:
         return " AND ".join([*present, _in_a_line(column, [pieces])])
-    return " AND ".join([*present, f"{column} RLIKE {text_literal(atomic(pattern))}"])
+    regex = regex_of(pattern, one_line_text=one_line_text)
+    return " AND ".join([*present, f"{column} RLIKE {text_literal(regex)}"])
 
 
 def match_sql(alt: Alt) -> str:
@@ -198,7 +232,7 @@ def merged_regex_sql(rule: Rule) -> str:
             continue
         cut = {a.pattern: [literal_of(p) for p in a.pattern.split(GAP)] for a in alts}
         plain = [pieces for pieces in cut.values() if None not in pieces]
-        joined = "|".join(atomic(p) for p, pieces in cut.items() if None in pieces)
+        joined = "|".join(regex_of(p, one_line_text=False) for p, pieces in cut.items() if None in pieces)
         if plain:
             hits.append(_guarded(first, _in_a_line(column, plain)))
         if joined:
@@ -230,75 +264,116 @@ def _occurrences_sql(alt: Alt) -> str:
     if plain is not None:
         gone = f"length({column}) - length(replace({column}, {text_literal(plain)}, ''))"
         return f"CAST(({gone}) / {len(plain)} AS INT)"
-    present = pattern_sql(alt.pattern, column, one_line_text=False)
-    counted = f"regexp_count({column}, {text_literal(atomic(alt.pattern))})"
-    return f"CASE WHEN {present} THEN {counted} ELSE 0 END"
-
-
-# --- one alternation for many patterns --------------------------------------
-
-
-def occurring_sql(patterns: list[str], column: str) -> str:
-    """The alternation of those patterns that occur in the text of this row, '' if none.
-
-    Patterns of literal pieces are looked for without a regex first, so those
-    that only seem to begin never reach the regex engine.
-    """
-    cases = []
-    for pattern in dict.fromkeys(patterns):
-        pieces = [literal_of(p) for p in pattern.split(GAP)]
-        if None in pieces:
-            present = " AND ".join(has(column, t) for t in required_texts(pattern)) or "true"
-        else:
-            present = pattern_sql(pattern, column, one_line_text=False)
-        cases.append(f"CASE WHEN {present} THEN {text_literal(atomic(pattern))} END")
-    return f"array_join(array({', '.join(cases)}), '|')"
-
-
-def alternation(patterns: list[str]) -> str:
-    """The patterns joined by ``|`` with common beginnings written once.
-
-    Matches exactly what the plain join matches, in the same order of
-    preference: neighbours are only grouped by a literal first character, and
-    patterns with different first characters cannot match at one position.
-    """
-    return _grouped([_characters(p) for p in dict.fromkeys(patterns)])
-
-
-def _characters(pattern: str) -> list[tuple[str, bool]]:
-    """Pattern cut into literal characters and, from the first gap on, a rest."""
-    out: list[tuple[str, bool]] = []
-    rest = pattern
-    while rest:
-        escaped = _ESCAPED.match(rest)
-        if escaped:
-            out.append((escaped.group(0), True))
-            rest = rest[escaped.end() :]
-        elif not _META.match(rest) and not (len(rest) > 1 and rest[1] in "*+?{"):
-            out.append((rest[0], True))
-            rest = rest[1:]
-        else:
-            out.append((rest, False))
-            rest = ""
-    return out
-
+    present = " AND ".join(has(column, t) for t in required_texts(alt.pattern))
+    if GAP not in alt.pattern:
+        return f"CASE WHEN {present} THEN regexp_count({column}, {text_literal(alt.pattern)}) ELSE 0 END"
+    first, last = alt.pattern.split(GAP)
+    if NOT_WORD in alt.pattern:
+        raise ValueError(f"matches of {alt.pattern} are not counted line by line")
+    # up to the last closing piece of a line every opening piece is closed
+    closed = f"regexp_extract(line, {text_literal(chr(92) + f'A.*{last}')}, 0)"
+    counted = f"regexp_count({closed}, {text_literal(f'{first}(?>.*?{last})')})"
+    lines = f"aggregate(split({column}, {LINES}), 0, (n, line) -> n + {counted})"
+    return f"CASE WHEN {present} THEN {lines} ELSE 0 END"
+
+
+# --- matches of many patterns -------------------------------------------------
+
+
+_DOT = re.compile(r"\[[^\]]*\]|\.")
+
+
+def _java_dot(m: re.Match) -> str:
+    """A dot outside brackets stops at all line breaks, not only at the newline."""
+    return f"[^{BREAKS}]" if m[0] == "." else m[0]
+
+
+class _Search:
+    """Next occurrence of a piece; asked from places that only grow, so it reads a text once."""
+
+    def __init__(self, regex: re.Pattern) -> None:
+        self.regex = regex
+
+    def begin(self) -> None:
+        self.asked, self.start, self.end = 0, -1, -1
+
+    def at(self, text: str, place: int) -> tuple[int, int] | None:
+        if not self.asked <= place <= self.start:
+            found = self.regex.search(text, place)
+            self.start, self.end = found.span() if found else (len(text) + 1, -1)
+            self.asked = place
+        return None if self.end < 0 else (self.start, self.end)
+
+
+class _Gapped:
+    """The next match of one pattern: its pieces in order, gaps within lines."""
+
+    def __init__(self, pattern: str) -> None:
+        self.texts = required_texts(pattern)
+        self.pieces = [
+            [_Search(re.compile(_DOT.sub(_java_dot, kind))) for kind in kinds]
+            for kinds in _one_line_pieces(pattern)
+        ]
+        self.breaks = _Search(re.compile(f"[{BREAKS}]"))
+
+    def begin(self) -> None:
+        self.breaks.begin()
+        for forms in self.pieces:
+            for form in forms:
+                form.begin()
+
+    def _rest(self, text: str, k: int, place: int) -> int | None:
+        """End of the pieces from the k-th on, the first one in the line of ``place``."""
+        if k == len(self.pieces):
+            return place
+        stop = self.breaks.at(text, place)
+        last = stop[0] if stop else len(text)
+        for form in self.pieces[k]:
+            found = form.at(text, place)
+            if found and found[0] <= last:
+                end = self._rest(text, k + 1, found[1])
+                if end is not None:
+                    return end
+        return None
 
-def _grouped(cut: list[list[tuple[str, bool]]]) -> str:
-    branches: list[str] = []
-    i = 0
-    while i < len(cut):
-        if not cut[i] or not cut[i][0][1]:
-            branches.append(cut[i][0][0] if cut[i] else "")
-            i += 1
-            continue
-        # a run of patterns that all start with a literal character
-        run: dict[str, list] = {}
-        while i < len(cut) and cut[i] and cut[i][0][1]:
-            run.setdefault(cut[i][0][0], []).append(cut[i][1:])
-            i += 1
-        for first, rests in run.items():
-            if len(rests) == 1:
-                branches.append(first + "".join(text for text, _ in rests[0]))
-            else:
-                branches.append(f"{first}(?:{_grouped(rests)})")
-    return "|".join(branches)
+    def next(self, text: str, place: int) -> tuple[int, int] | None:
+        while True:
+            starts = [found for form in self.pieces[0] if (found := form.at(text, place))]
+            if not starts:
+                return None
+            start, end = min(starts)
+            done = self._rest(text, 1, end)
+            if done is not None:
+                return start, done
+            # no later opening of this line does better, but for one across its end
+            stop = self.breaks.at(text, end)
+            if not stop:
+                return None
+            later = [found[0] for form in self.pieces[0][1:] if (found := form.at(text, start + 1))]
+            place = min([stop[0], *later])
+
+
+class Finder:
+    """All matches of an alternation of patterns, left to right, not overlapping."""
+
+    def __init__(self, patterns: list[str]) -> None:
+        self.patterns = [_Gapped(p) for p in dict.fromkeys(patterns)]
+
+    def __call__(self, text: str) -> list[str]:
+        out, place, ahead = [], 0, []
+        for order, pattern in enumerate(self.patterns):
+            if all(t in text for t in pattern.texts):
+                pattern.begin()
+                found = pattern.next(text, 0)
+                if found:
+                    ahead.append((found[0], order, found[1]))
+        heapq.heapify(ahead)
+        while ahead:
+            start, order, end = heapq.heappop(ahead)
+            if start >= place:
+                out.append(text[start:end])
+                place = end
+            found = self.patterns[order].next(text, place)
+            if found:
+                heapq.heappush(ahead, (found[0], order, found[1]))
+        return out

@@ -7,6 +7,7 @@ description tables, and those are broadcast when small.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -253,18 +254,15 @@ def keyword_union(rules) -> list[str]:
 
 
 def with_found(df: DataFrame, text_col: str, rules, out_col: str) -> DataFrame:
-    """Add the texts that the rules' patterns cover, left to right, not overlapping.
+    """Add the texts that the rules' patterns cover, left to right, not overlapping."""
+    patterns = keyword_union(rules)
 
-    The regex holds only those patterns that occur in the text of the row.
-    """
-    pattern = matching.occurring_sql(keyword_union(rules), text_col)
-    found = F.regexp_extract_all(text_col, F.col("__pattern"), F.lit(0))
-    none = F.array().cast("array<string>")
-    return (
-        df.withColumn("__pattern", F.expr(pattern))
-        .withColumn(out_col, F.when(F.col("__pattern") != "", found).otherwise(none))
-        .drop("__pattern")
-    )
+    @F.arrow_udf("array<string>")
+    def found(texts: pa.Array) -> pa.Array:
+        find = matching.Finder(patterns)
+        return pa.array([find(t) if t else [] for t in texts.to_pylist()], pa.list_(pa.string()))
+
+    return df.withColumn(out_col, found(text_col))
 
 
 def agent_text(text: Column) -> Column:
