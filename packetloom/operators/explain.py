@@ -359,37 +359,6 @@ def keyword_lists(df: DataFrame, ids: list[str], features: list[str]) -> DataFra
     return rows.select(*ids, F.get(names, F.col("feature_no")).alias("feature"), "keywords")
 
 
-def signature_matches(
-    df: DataFrame, text_col: str, ids: list[str], signatures: DataFrame
-) -> DataFrame:
-    """Known signatures in text order; the first definition of a text wins.
-
-    The patterns become one alternation, so the texts are read once.  A
-    signature list is configuration: it is fetched to build the expression, and
-    a table too long for that is refused rather than cut.
-    """
-    rows = signatures.select("pattern_no", "pattern").orderBy("pattern_no").take(MAX_SIGNATURES + 1)
-    if len(rows) > MAX_SIGNATURES:
-        raise ValueError(f"more than {MAX_SIGNATURES} signatures")
-    pattern = "(?i)" + matching.alternation([quote(r["pattern"].lower()) for r in rows])
-    found = F.regexp_extract_all(F.col(text_col), F.lit(pattern), F.lit(0))
-    hits = df.where(F.col(text_col).isNotNull()).select(
-        *ids, F.posexplode(found).alias("__at", "__text")
-    )
-    first = signatures.groupBy(F.lower("pattern").alias("__key")).agg(
-        F.min_by(F.struct(*[c for c in signatures.columns if c != "pattern"]), "pattern_no").alias("__s")
-    )
-    return hits.join(first, F.lower("__text") == F.col("__key")).select(
-        *ids,
-        (F.col("__at") + 1).alias("detection_no"),
-        F.col("__text").alias("matched"),
-        *(F.col(f"__s.{c}").alias(c) for c in signatures.columns if c not in ("pattern", "pattern_no")),
-    )
-
-
-MAX_SIGNATURES = 100_000
-
-
 def quote(text: str) -> str:
     """A pattern that matches just this text."""
     return "".join(f"[\\{ch}]" if ord(ch) < 128 and not ch.isalnum() else ch for ch in text)

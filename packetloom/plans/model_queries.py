@@ -13,6 +13,7 @@ from packetloom.operators import (
     explain,
     rulebook,
     scoring,
+    signatures,
     splits,
     vectorize,
 )
@@ -304,7 +305,7 @@ _SIGNATURE_PATTERN = "(?i)" + "|".join(explain.quote(r[1].lower()) for r in samp
 )
 def signature_matches(spark, sf_dir):
     """Known signatures in the payload, in order, with their description."""
-    return explain.signature_matches(
+    return signatures.signature_matches(
         fixture(spark, sf_dir, "traffic"), "payload", ID, samples.SIGNATURES.to_df(spark)
     )
 

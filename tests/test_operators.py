@@ -14,6 +14,7 @@ from packetloom.operators import (
     profile,
     retrieve,
     scoring,
+    signatures,
     splits,
     vectorize,
 )
@@ -257,7 +258,7 @@ def test_evidence_of_user_agents_needs_one_version(spark):
 
 def test_first_signature_wins(spark):
     df = spark.createDataFrame([(1, "SQLMAP then ../ and sqlmap")], "id INT, t STRING")
-    out = explain.signature_matches(df, "t", ["id"], samples.SIGNATURES.to_df(spark)).orderBy("detection_no").collect()
+    out = signatures.signature_matches(df, "t", ["id"], samples.SIGNATURES.to_df(spark)).orderBy("detection_no").collect()
     assert [r["detection_name"] for r in out] == ["SQL tool", "parent path", "SQL tool"]
 
 
