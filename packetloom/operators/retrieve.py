@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -134,6 +135,14 @@ def hashed_counts(c: Column, size: int = 64) -> Column:
 _COUNTS = "array<struct<word: int, term_count: bigint>>"
 #: Vectors of a block; a pair of blocks is the unit of work.
 BLOCK = 2048
+#: Vectors of a ball, at most; a block is a sequence of balls of neighbours.
+BALL = 64
+#: Groups of neighbours of a batch.
+PIVOTS = 64
+#: Blocks of queries whose similarities a task remembers; without them less is skipped.
+REMEMBERED = 1024
+#: Similarities count to so many places.
+PLACES = 6
 
 
 def top_k_similar(
@@ -152,13 +161,16 @@ def top_k_similar(
     """``query_id, rank, corpus_id, similarity``: exact nearest neighbours.
 
     Similarity counts to six places, ties go to the smaller id.  Both sides are
-    packed into blocks of vectors where they lie.  The blocks of the corpus are
-    dealt out to as many groups as there are shuffle partitions, those of the
-    queries go to every group, and each pair of blocks is one matrix product
-    that keeps ``k`` rows per query.  Nothing passes through the driver, and
-    building the query runs nothing.  Vectors that are NULL or hold a NULL take
-    no part, vectors of different length do not meet.  The floor drops rows
-    behind the ranking.
+    packed into blocks of vectors where they lie.  A block is ordered into balls
+    of neighbouring vectors, with centre and radius.  The blocks of the corpus
+    are dealt out to as many groups as there are shuffle partitions, and those of
+    the queries go to every group.  For a pair of blocks the product with the
+    centres bounds what each ball can reach, and only the queries whose k-th
+    similarity so far is not above that bound are multiplied with its vectors;
+    a task remembers these similarities from block to block.  Nothing passes
+    through the driver, and building the query runs nothing.  Vectors that are
+    NULL, empty or hold a NULL, NaN or infinite component take no part, vectors
+    of different length do not meet.  The floor drops rows behind the ranking.
     """
     groups = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     q = _packed(queries, query_id, query_vector, metric).select(
@@ -170,7 +182,7 @@ def top_k_similar(
     c = _packed(corpus, corpus_id, corpus_vector, metric).withColumn(
         "group", F.pmod(F.xxhash64("rows"), F.lit(groups)).cast("int")
     )
-    pairs = c.join(q, ["group", "dims"]).select("dims", "ids", "rows", "q_ids", "q_rows")
+    pairs = c.join(q, ["group", "dims"]).select("dims", "ids", "rows", "q_ids", "q_rows", "starts")
     types = [queries.schema[query_id].dataType, corpus.schema[corpus_id].dataType]
     schema = T.StructType(
         [
@@ -196,8 +208,9 @@ def top_k_similar(
 
 
 def _packed(df: DataFrame, id_col: str, vector: str, metric: str) -> DataFrame:
-    """``dims, ids, rows``: the vectors of a partition in blocks of one length."""
-    usable = F.col(id_col).isNotNull() & F.forall(vector, lambda x: x.isNotNull())
+    """``dims, ids, rows, starts``: the vectors of a partition in blocks of one length."""
+    finite = F.forall(vector, lambda x: F.coalesce(F.abs(x.cast("double")) < float("inf"), F.lit(False)))
+    usable = F.col(id_col).isNotNull() & finite
     rows = df.where(usable & (F.size(vector) > 0)).select(
         F.col(id_col).alias("id"), F.col(vector).cast("array<double>").alias("v")
     )
@@ -207,21 +220,23 @@ def _packed(df: DataFrame, id_col: str, vector: str, metric: str) -> DataFrame:
             sizes = pc.list_value_length(batch.column(1)).to_numpy()
             for dims in np.unique(sizes):
                 places = np.flatnonzero(sizes == dims)
+                values = batch.column(1).take(pa.array(places)).flatten().to_numpy()
+                vectors = _unit(values.reshape(-1, dims)) if metric == "cosine" else values.reshape(-1, dims)
+                order, pivots = _neighbours_together(vectors)
                 for start in range(0, len(places), BLOCK):
-                    some = pa.array(places[start : start + BLOCK])
-                    values = batch.column(1).take(some).flatten().to_numpy()
-                    matrix = values.reshape(-1, dims)
-                    if metric == "cosine":
-                        matrix = _unit(matrix)
-                    ids = batch.column(0).take(some)
+                    some = order[start : start + BLOCK]
+                    matrix = vectors[some]
+                    ids = batch.column(0).take(pa.array(places[some]))
                     ends = pa.array([0, len(ids)], pa.int32())
+                    starts = _ball_starts(pivots[start : start + BLOCK])
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array([dims], pa.int32()),
                             pa.ListArray.from_arrays(ends, ids),
                             pa.array([matrix.tobytes()], pa.binary()),
+                            pa.array([starts.tolist()], pa.list_(pa.int32())),
                         ],
-                        ["dims", "ids", "rows"],
+                        ["dims", "ids", "rows", "starts"],
                     )
 
     id_type = df.schema[id_col].dataType
@@ -232,6 +247,7 @@ def _packed(df: DataFrame, id_col: str, vector: str, metric: str) -> DataFrame:
                 T.StructField("dims", T.IntegerType()),
                 T.StructField("ids", T.ArrayType(id_type)),
                 T.StructField("rows", T.BinaryType()),
+                T.StructField("starts", T.ArrayType(T.IntegerType())),
             ]
         ),
     )
@@ -242,40 +258,110 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return m / np.where(norms == 0, 1.0, norms)
 
 
-def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Places of the k best scores of one row, ties to the smaller id."""
-    if len(scores) > 4 * k:
-        border = np.partition(scores, len(scores) - k)[len(scores) - k]
-        near = np.flatnonzero(scores >= border)
-    else:
-        near = np.arange(len(scores))
-    return near[np.lexsort((ids[near], -scores[near]))][:k]
+def _neighbours_together(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order in which vectors near the same pivot follow each other, nearest first, and the pivots.
+
+    Each pivot is the vector farthest from the pivots before it, of a thousand at most.
+    """
+    some = vectors[:: max(1, len(vectors) // 1024)]
+    pivots, away = some[:1], np.full(len(some), np.inf)
+    while len(pivots) < min(PIVOTS, len(some)):
+        away = np.minimum(away, ((some - pivots[-1]) ** 2).sum(axis=1))
+        pivots = np.vstack([pivots, some[away.argmax()]])
+    near = (pivots**2).sum(axis=1) - 2 * vectors @ pivots.T  # squared distance, less the vector's own length
+    mine = near.argmin(axis=1)
+    order = np.lexsort((near[np.arange(len(vectors)), mine], mine))
+    return order, mine[order]
+
+
+def _ball_starts(pivots: np.ndarray) -> np.ndarray:
+    """Where balls begin: at another pivot, and after BALL vectors of one."""
+    new = np.flatnonzero(np.append(True, pivots[1:] != pivots[:-1]))
+    inside = np.arange(len(pivots)) - np.repeat(new, np.diff(np.append(new, len(pivots))))
+    return np.flatnonzero(inside % BALL == 0)
+
+
+def _balls(vectors: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bounds of the balls, their centres and radii."""
+    ends = np.append(starts[1:], len(vectors))
+    centres = np.add.reduceat(vectors, starts) / (ends - starts)[:, None]
+    away = np.linalg.norm(vectors - np.repeat(centres, ends - starts, axis=0), axis=1)
+    return np.append(starts, len(vectors)), centres, np.maximum.reduceat(away, starts)
+
+
+class _Nearest:
+    """The k nearest vectors of a block of queries."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int, exclude: bool) -> None:
+        self.ids, self.vectors, self.k, self.exclude = ids, vectors, k, exclude
+        self.lengths = np.linalg.norm(vectors, axis=1)
+        self.reach = np.full(len(ids), -np.inf)
+        self.multiplied = 0
+
+    def search(
+        self, ids: np.ndarray, vectors: np.ndarray, starts: np.ndarray
+    ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places of queries and vectors, and similarities: the best k of this block for each
+        query, without those that cannot be among its best k of all blocks so far."""
+        bounds, centres, radii = _balls(vectors, starts)
+        most = self.vectors @ centres.T + self.lengths[:, None] * radii
+        # room for rounding, of the bound and of the similarity
+        sizes = np.linalg.norm(centres, axis=1) + radii
+        most += 10.0**-PLACES + 1e-12 * (1 + self.lengths[:, None] * sizes)
+        found_q, found_c, found_s = [np.empty(0, int)], [np.empty(0, int)], [np.empty(0)]
+        nearest = most.argmax(axis=1)
+        for first in (True, False):  # every query begins with the ball that may be best for it
+            for ball in range(len(radii)):
+                due = (nearest == ball) == first
+                open_ = np.flatnonzero(due & (most[:, ball] >= self.reach))
+                if not len(open_):
+                    continue
+                a, b = bounds[ball], bounds[ball + 1]
+                self.multiplied += len(open_) * (b - a)
+                scores = np.round(self.vectors[open_] @ vectors[a:b].T, PLACES) + 0.0
+                if self.exclude:
+                    scores[self.ids[open_][:, None] == ids[None, a:b]] = -np.inf
+                row, column = np.nonzero((scores >= self.reach[open_][:, None]) & (scores > -np.inf))
+                found_q.append(open_[row])
+                found_c.append(a + column)
+                found_s.append(scores[row, column])
+                self._raise(open_, scores)
+        q, c, score = map(np.concatenate, (found_q, found_c, found_s))
+        order = np.lexsort((ids[c], -score, q))
+        q, c, score = q[order], c[order], score[order]
+        rank = np.arange(len(q)) - np.searchsorted(q, q)
+        kept = (rank < self.k) & (score >= self.reach[q])
+        return q[kept], c[kept], score[kept]
+
+    def _raise(self, rows: np.ndarray, scores: np.ndarray) -> None:
+        """The k-th similarity within one ball is one that the query reaches."""
+        if scores.shape[1] >= self.k:
+            kth = np.partition(scores, -self.k, axis=1)[:, -self.k]
+            self.reach[rows] = np.maximum(self.reach[rows], kth)
 
 
 def _block_search(k: int, exclude: bool):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked: dict[bytes, np.ndarray] = {}  # similarities that are reached, of every block of queries
         for batch in batches:
             for row in range(batch.num_rows):
                 dims = batch.column(0)[row].as_py()
                 ids, q_ids = batch.column(1)[row].values, batch.column(3)[row].values
                 held = np.frombuffer(batch.column(2)[row].as_py()).reshape(-1, dims)
-                asked = np.frombuffer(batch.column(4)[row].as_py()).reshape(-1, dims)
-                own = ids.to_numpy(zero_copy_only=False)
-                scores = np.round(asked @ held.T, 6) + 0.0
-                if exclude:
-                    same = q_ids.to_numpy(zero_copy_only=False)[:, None] == own[None, :]
-                    scores = np.where(same, -np.inf, scores)
-                best = [_best(line, own, k) for line in scores]
-                at = np.concatenate([np.full(len(b), i) for i, b in enumerate(best)])
-                found = np.concatenate(best)
-                values = scores[at, found]
-                kept = values > -np.inf
+                raw = batch.column(4)[row].as_py()
+                own = q_ids.to_numpy(zero_copy_only=False)
+                key = hashlib.sha256(raw + repr(own.tolist()).encode()).digest()
+                nearest = _Nearest(own, np.frombuffer(raw).reshape(-1, dims), k, exclude)
+                if key in asked:
+                    nearest.reach = asked[key]
+                at, found, values = nearest.search(
+                    ids.to_numpy(zero_copy_only=False), held, batch.column(5)[row].values.to_numpy()
+                )
+                if len(asked) >= REMEMBERED:
+                    asked.clear()
+                asked[key] = nearest.reach
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        q_ids.take(pa.array(at[kept])),
-                        ids.take(pa.array(found[kept])),
-                        pa.array(values[kept]),
-                    ],
+                    [q_ids.take(pa.array(at)), ids.take(pa.array(found)), pa.array(values)],
                     ["__q", "__c", "similarity"],
                 )
 

@@ -104,11 +104,34 @@ def test_nearest_neighbours_in_blocks(spark, monkeypatch, block, metric):
 
 def test_nearest_neighbours_without_vectors(spark):
     rows = [("a", [1.0, 0.0]), ("b", None), ("c", [1.0, None]), ("d", [2.0]), ("e", [0.5, 0.5])]
+    rows += [("f", [math.nan, 1.0]), ("g", [math.inf, 0.0]), ("h", [])]
     df = spark.createDataFrame(rows, "i STRING, embedding ARRAY<DOUBLE>")
     out = retrieve.top_k_similar(df, df, k=3, query_id="i", corpus_id="i", exclude_same_id=True)
     assert {(r["i"], r["near_i"]) for r in out.collect()} == {("a", "e"), ("e", "a")}
 
 
+@pytest.mark.parametrize("exclude", [True, False])
+def test_balls_out_of_reach_are_skipped(exclude):
+    rng = np.random.default_rng(2)
+    centres = rng.standard_normal((40, 16)) * 4
+    vectors = retrieve._unit(centres[rng.integers(0, 40, 6000)] + 0.3 * rng.standard_normal((6000, 16)))
+    vectors[5000:5400] = vectors[0]  # ties
+    ids = rng.permutation(6000)
+    nearest = retrieve._Nearest(ids[:300], vectors[:300], 5, exclude)
+    best = {i: [] for i in ids[:300].tolist()}
+    for start in range(0, 6000, 2000):
+        order, pivots = retrieve._neighbours_together(vectors[start : start + 2000])
+        order = order + start
+        q, c, score = nearest.search(ids[order], vectors[order], retrieve._ball_starts(pivots))
+        for a, b, s in zip(ids[q].tolist(), ids[order][c].tolist(), score.tolist(), strict=True):
+            best[a].append((-s, b))
+    scores = np.round(vectors[:300] @ vectors.T, 6)
+    for row, i in enumerate(ids[:300].tolist()):
+        every = sorted((-s, j) for s, j in zip(scores[row].tolist(), ids.tolist(), strict=True) if j != i or not exclude)
+        assert sorted(best[i])[:5] == every[:5]
+    assert nearest.multiplied < 0.4 * 300 * 6000
+
+
 def test_similarity_floor(spark):
     rows = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.8, 0.6]), (3, [0.0, 1.0])], "i BIGINT, embedding ARRAY<DOUBLE>")
     out = retrieve.top_k_similar(rows, rows, k=3, query_id="i", corpus_id="i", floor=0.7, exclude_same_id=True)
