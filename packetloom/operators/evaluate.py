@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from packetloom.operators.lookup import with_small_table
+from packetloom.operators.spread import join_spread
 
 
 def confusion_counts(df: DataFrame, label_col: str, predicted_col: str) -> DataFrame:
@@ -98,4 +98,4 @@ def class_weights(df: DataFrame, label_col: str) -> DataFrame:
 def with_class_weight(df: DataFrame, label_col: str) -> DataFrame:
     """Add the weight of each row's class."""
     weights = class_weights(df, label_col).select(F.col("label").alias(label_col), "weight")
-    return with_small_table(df, weights, [label_col])
+    return join_spread(df, weights, [label_col])

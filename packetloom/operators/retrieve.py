@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +22,7 @@ from packetloom.operators.vectorize import counted
 def merge_pieces(pieces: list[str], joiner: str, size: int, overlap: int) -> list[str]:
     """Fill chunks up to ``size`` characters; start the next with the overlap."""
     chunks: list[str] = []
-    held: list[str] = []
+    held: deque[str] = deque()
     length = 0
 
     def emit() -> None:
@@ -34,7 +35,7 @@ def merge_pieces(pieces: list[str], joiner: str, size: int, overlap: int) -> lis
             emit()
             # keep a tail no longer than the overlap that leaves room for the piece
             while held and (length > overlap or length + len(joiner) + len(piece) > size):
-                length -= len(held.pop(0)) + (len(joiner) if held else 0)
+                length -= len(held.popleft()) + (len(joiner) if held else 0)
         length += len(piece) + (len(joiner) if held else 0)
         held.append(piece)
     emit()

@@ -6,7 +6,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from packetloom.operators.lookup import with_small_table
+from packetloom.operators.spread import join_spread
 
 
 def stratified_split(
@@ -17,15 +17,17 @@ def stratified_split(
     Rows are ordered by a hash of id and seed; the first ``n * test_percent /
     100`` of a label (rounded down) are the test part.  Counts per hash bucket
     find the bucket that holds the border, and only that bucket is ranked, so a
-    label with nearly all rows never meets in one task and the table itself is
-    not shuffled.
+    label with nearly all rows never meets in one task.  Buckets are found by
+    label and bucket, borders are joined to the rows group by group; building
+    the query runs nothing.
     """
     label = F.lit("all") if label_col is None else F.coalesce(F.col(label_col).cast("string"), F.lit(""))
     keyed = df.withColumn("__label", label).withColumn(
         "__hash", F.md5(F.concat(F.col(id_col).cast("string"), F.lit(seed)))
     )
     keyed = keyed.withColumn("__bucket", F.substring("__hash", 1, 4))
-    per_bucket = keyed.groupBy("__label", "__bucket").agg(F.count("*").alias("__n"))
+    narrow = keyed.select("__label", "__bucket", "__hash", F.col(id_col).alias("__id"))
+    per_bucket = narrow.groupBy("__label", "__bucket").agg(F.count("*").alias("__n"))
     # at most 65536 rows per label
     by_label = Window.partitionBy("__label")
     up_to = by_label.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, 0)
@@ -35,24 +37,20 @@ def stratified_split(
         .where((F.col("__upto") >= F.col("__quota")) & (F.col("__upto") - F.col("__n") < F.col("__quota")))
         .select(
             "__label",
-            F.col("__bucket").alias("__border"),
+            "__bucket",
             (F.col("__quota") - (F.col("__upto") - F.col("__n"))).alias("__rest"),
         )
     )
-    at_border = with_small_table(keyed, borders, ["__label"], how="inner").where(
-        F.col("__bucket") == F.col("__border")
-    )
-    rank = F.row_number().over(
-        Window.partitionBy("__label", "__bucket").orderBy("__hash", id_col)
-    )
+    rank = F.row_number().over(Window.partitionBy("__label", "__bucket").orderBy("__hash", "__id"))
     last = (
-        at_border.withColumn("__rank", rank)
+        narrow.join(borders, ["__label", "__bucket"])
+        .withColumn("__rank", rank)
         .where(F.col("__rank") == F.col("__rest"))
-        .select("__label", F.struct("__hash", id_col).alias("__last"))
+        .select("__label", F.struct("__hash", "__id").alias("__last"))
     )
-    test = F.struct("__hash", id_col) <= F.col("__last")
+    test = F.struct(F.col("__hash"), F.col(id_col).alias("__id")) <= F.col("__last")
     return (
-        with_small_table(keyed, last, ["__label"])
+        join_spread(keyed, last, ["__label"])
         .withColumn("part", F.when(F.coalesce(test, F.lit(False)), "test").otherwise("train"))
         .drop("__label", "__hash", "__bucket", "__last")
     )

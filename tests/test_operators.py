@@ -9,13 +9,14 @@ from packetloom.operators import (
     completion,
     conversations,
     enrich,
+    evaluate,
     explain,
-    lookup,
     profile,
     retrieve,
     scoring,
     signatures,
     splits,
+    spread,
     vectorize,
 )
 from packetloom.sources import files, samples, scratch
@@ -205,14 +206,27 @@ def test_history_crosses_blocks(spark, monkeypatch):
     assert whole[2, 2] == "prior question: c2t0\nprior answer: c2t1\nlatest question: c2t2"
 
 
-def test_small_table_join_both_ways(spark):
-    rows = spark.range(100).select("id", (F.col("id") % 5).alias("k"))
-    table = spark.range(4).select(F.col("id").alias("k"), (F.col("id") * 10).alias("v"))
-    one = lookup.with_small_table(rows, table, ["k"])
-    two = lookup.with_small_table(rows, table, ["k"], max_rows=2)
-    assert "BroadcastHashJoin" in one._jdf.queryExecution().executedPlan().toString()
-    assert one.exceptAll(two).count() == 0 and one.count() == two.count() == 100
-    assert one.where("v IS NULL").count() == 20
+def test_spread_join_deals_out_a_hot_key(spark):
+    rows = spark.range(10_000, numPartitions=4).select("id", F.when(F.col("id") % 100 > 0, 1).otherwise(F.col("id") % 5).alias("k"))
+    table = spark.createDataFrame([(0, "zero"), (1, "one"), (None, "none")], "k LONG, v STRING")
+    out = spread.join_spread(rows, table, ["k"])
+    assert {(r["k"], r["v"]): r["n"] for r in profile.value_counts(out, "k", "v").collect()} == {
+        (0, "zero"): 100, (1, "one"): 9_900,
+    }
+    missing = spread.join_spread(rows, table.where("k = 0"), ["k"])
+    assert missing.where("v IS NULL").count() == 9_900
+    plan = missing._jdf.queryExecution().optimizedPlan().toString()
+    assert "__group" in plan
+
+
+def test_queries_are_built_without_a_job(spark):
+    df = spark.range(100).select("id", (F.col("id") % 3).alias("label"))
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("build", "no job is started")
+    splits.stratified_split(df, "id", "label", "s", 20)
+    evaluate.with_class_weight(df, "label")
+    assert tracker.getJobIdsForGroup("build") == []
+    spark.sparkContext.setJobGroup("tests", "")
 
 
 def test_replies(spark):
