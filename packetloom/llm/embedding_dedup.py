@@ -2,13 +2,19 @@
 
 A filter is a direction on the sphere with the cap around it.  The directions
 form a random product code: after a fast random rotation (signs and Hadamard
-transforms, twice) a vector is cut into ``BLOCKS`` parts, each part has
-``CODE`` random directions, and every choice of one direction per part is a
-filter.  That gives ``CODE ** BLOCKS`` filters, far more than could be listed,
-yet the ones a vector exceeds most are decoded from short sorted lists: the best
-of each part, merged in pairs.  A vector belongs to the ``LISTED`` filters it
-exceeds most; near vectors share some of them almost surely, vectors that are
-not near almost never.
+transforms, twice) a vector is cut into parts, each part has so many random
+directions, and every choice of one direction per part is a filter.  That gives
+far more filters than could be listed, yet the ones a vector exceeds most are
+decoded from short sorted lists: the best of each part, merged in pairs.  A
+vector belongs to the filters it exceeds most, the width of its caps being given
+by their number; near vectors share some of them almost surely, vectors that
+are not near almost never.
+
+How sharp a code may be depends on the length of the vectors and the cosine: of
+``SHAPES``, sharpest first, the first counts for which random pairs at exactly
+the wanted cosine, the hardest ones, share a filter with a frequency of
+``RECALL`` or more.  Short vectors have few directions that differ, and links
+are many among them, so their filters are wide.
 
 Vectors are joined on (label, filter).  Filters with one vector are dropped, and
 a filter with more than ``MEMBERS`` is cut into pieces that meet in pairs, so no
@@ -36,13 +42,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from packetloom.llm.common import drop_written, need, runs, spanning, written
+from packetloom.llm.common import drop_written, need, once_per_worker, runs, spanning, written
 from packetloom.llm.components import components
 
 COSINE = 0.98
-BLOCKS = 4
-CODE = 256
-LISTED = 64
+#: Parts of a vector, directions of a part, filters of a vector; sharpest first.
+SHAPES = [
+    *[(4, code, 64) for code in (256, 128, 64, 32, 16, 8)],
+    *[(2, code, 64) for code in (256, 128, 64, 32)],
+    *[(1, code, 64) for code in (4096, 2048, 1024, 512)],
+    (1, 256, 32),
+    (1, 64, 16),
+    (1, 16, 8),
+    (1, 4, 4),
+]
+#: Share of pairs at the threshold that must share a filter, and pairs to measure it.
+RECALL, PAIRS = 0.995, 1000
 #: Best directions of a part that are considered.
 BEST = 32
 #: Most vectors of a filter that are verified as one piece.
@@ -64,59 +79,91 @@ def _hadamard(x: np.ndarray) -> np.ndarray:
 class ProductCode:
     """Random product code for vectors of one length."""
 
-    def __init__(self, dims: int) -> None:
+    def __init__(self, dims: int, blocks: int, code: int, listed: int) -> None:
         rng = np.random.default_rng([_SEED, dims])
-        self.width = max(BLOCKS, 1 << (dims - 1).bit_length())
+        self.blocks, self.code, self.count = blocks, code, listed
+        self.width = max(blocks, 1 << (dims - 1).bit_length())
         self.signs = rng.choice([-1.0, 1.0], (2, self.width))
-        part = self.width // BLOCKS
-        directions = rng.standard_normal((BLOCKS, CODE, part))
+        part = self.width // blocks
+        directions = rng.standard_normal((blocks, code, part))
         self.directions = directions / np.linalg.norm(directions, axis=2, keepdims=True)
 
     def listed(self, unit: np.ndarray) -> np.ndarray:
-        """The ``LISTED`` filters that each unit vector exceeds most, sorted by number."""
+        """The filters that each unit vector exceeds most, sorted by number."""
         x = np.zeros((len(unit), self.width))
         x[:, : unit.shape[1]] = unit
         for signs in self.signs:
             x = _hadamard(x * signs)
-        parts = x.reshape(len(x), BLOCKS, -1)
+        parts = x.reshape(len(x), self.blocks, -1)
         scores, codes = None, None
-        for b in range(BLOCKS):
+        considered = min(BEST if self.blocks > 1 else self.count, self.code)
+        for b in range(self.blocks):
             inner = parts[:, b] @ self.directions[b].T
-            best = np.argpartition(-inner, min(BEST, CODE - 1), axis=1)[:, :BEST]
+            best = np.argpartition(-inner, considered - 1, axis=1)[:, :considered]
             value = np.take_along_axis(inner, best, axis=1)
             if scores is None:
                 scores, codes = value, best.astype(np.int64)
                 continue
             both = (scores[:, :, None] + value[:, None, :]).reshape(len(x), -1)
-            name = (codes[:, :, None] * CODE + best[:, None, :]).reshape(len(x), -1)
-            # the best sums of all parts need no more than the best LISTED sums of the first
-            top = np.argpartition(-both, LISTED, axis=1)[:, :LISTED]
+            name = (codes[:, :, None] * self.code + best[:, None, :]).reshape(len(x), -1)
+            # the best sums of all parts need no more than the best sums of the first
+            count = min(self.count, both.shape[1])
+            top = np.argpartition(-both, count - 1, axis=1)[:, :count]
             scores = np.take_along_axis(both, top, axis=1)
             codes = np.take_along_axis(name, top, axis=1)
         return np.sort(codes, axis=1)
 
 
-def _posted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    codes: dict[int, ProductCode] = {}
-    for batch in batches:
-        vectors = batch.column(2).to_pylist()
-        filters: list = [None] * len(vectors)
-        by_size: dict[int, list[int]] = {}
-        for i, v in enumerate(vectors):
-            by_size.setdefault(len(v), []).append(i)
-        for size, places in by_size.items():
-            code = codes.setdefault(size, ProductCode(size))
-            for k in range(0, len(places), 512):
-                some = places[k : k + 512]
-                x = np.array([vectors[i] for i in some], np.float64)
-                for i, row in zip(some, code.listed(_unit(x)), strict=True):
-                    filters[i] = row
-        flat = np.concatenate(filters) if filters else np.empty(0, np.int64)
-        ends = np.arange(len(vectors) + 1, dtype=np.int32) * LISTED
-        yield pa.RecordBatch.from_arrays(
-            [*batch.columns, pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.int64()))],
-            ["rep", "label", "v", "copies", "filters"],
-        )
+def pairs_at(cosine: float, dims: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Random unit vectors in pairs with the given cosine."""
+    rng = np.random.default_rng([_SEED, dims, n])
+    x = _unit(rng.standard_normal((n, dims)))
+    away = rng.standard_normal((n, dims))
+    away -= (away * x).sum(axis=1, keepdims=True) * x
+    if dims == 1:
+        return x, x
+    return x, cosine * x + np.sqrt(1 - cosine**2) * _unit(away)
+
+
+def product_code(dims: int, cosine: float) -> ProductCode:
+    """The sharpest code that finds pairs at the cosine."""
+    x, y = pairs_at(cosine, dims, PAIRS)
+    for blocks, code, listed in SHAPES:
+        if blocks > 1 and dims < 2 * blocks:
+            continue
+        found = ProductCode(dims, blocks, code, listed)
+        shared = np.mean([len(np.intersect1d(a, b)) > 0 for a, b in zip(found.listed(x), found.listed(y), strict=True)])
+        if shared >= RECALL:
+            break
+    return found
+
+
+def _posted(cosine: float):
+    def code_of(size: int) -> ProductCode:
+        return once_per_worker(f"caps {size} {cosine}", lambda: product_code(size, cosine))
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            vectors = batch["v"].to_pylist()
+            filters: list = [None] * len(vectors)
+            by_size: dict[int, list[int]] = {}
+            for i, v in enumerate(vectors):
+                by_size.setdefault(len(v), []).append(i)
+            for size, places in by_size.items():
+                code = code_of(size)
+                for k in range(0, len(places), 512):
+                    some = places[k : k + 512]
+                    x = np.array([vectors[i] for i in some], np.float64)
+                    for i, row in zip(some, code.listed(_unit(x)), strict=True):
+                        filters[i] = row
+            flat = np.concatenate([*filters, np.empty(0, np.int64)])
+            ends = np.cumsum([0, *map(len, filters)]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.int64()))],
+                [*batch.schema.names, "filters"],
+            )
+
+    return rows
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -167,22 +214,22 @@ def _verified(rows: dict[str, np.ndarray], own: bool, cosine: float):
 
 def _pieces(cosine: float):
     def piece(table: pa.Table):
-        reps = table["rep"].to_numpy()
+        classes = table["class"].to_numpy()
         x = np.array(table["v"].to_pylist(), np.float64)
         rows = {
             "side": table["side"].to_numpy(),
             "filter": table["filter"].to_numpy(),
             "copies": table["copies"].to_numpy(),
             "unit": _unit(x),
-            "filters": np.array(table["filters"].to_pylist(), np.int64),
+            "filters": np.array(table["filters"].to_pylist(), np.int64),  # of one length of vectors
         }
         gained, i, j = _verified(rows, bool(table["own"][0].as_py()), cosine)
-        links = spanning(i, j, len(reps))
+        links = spanning(i, j, len(classes))
         linked = np.flatnonzero(gained)
         for k in linked:
-            yield int(reps[k]), int(gained[k]), None
+            yield int(classes[k]), int(gained[k]), None
         for a, b in links:
-            yield int(reps[a]), 0, int(reps[b])
+            yield int(classes[a]), 0, int(classes[b])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in runs(batches, "key"):
@@ -190,7 +237,7 @@ def _pieces(cosine: float):
             if out:
                 columns = zip(*out, strict=True)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, pa.int64()) for c in columns], ["rep", "gained", "other"]
+                    [pa.array(c, pa.int64()) for c in columns], ["class", "gained", "other"]
                 )
 
     return rows
@@ -219,14 +266,16 @@ def linked_vectors(
         F.when(usable, F.col(label).cast("string")).alias("label"),
         F.when(usable, F.col(vector).cast("array<double>")).alias("v"),
     )
-    classes = (
+    classes = written(
         rows.where(F.col("v").isNotNull())
         .groupBy("label", "v")
         .agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
+        .withColumn("class", F.monotonically_increasing_id()),
+        "vector-classes",
     )
     posted = written(
-        classes.select("rep", "label", "v", "copies").mapInArrow(
-            _posted, "rep long, label string, v array<double>, copies long, filters array<long>"
+        classes.select("class", "label", "v", "copies").mapInArrow(
+            _posted(cosine), "class long, label string, v array<double>, copies long, filters array<long>"
         ),
         "caps",
     )
@@ -240,7 +289,7 @@ def linked_vectors(
     members = posted.select(
         "*", F.size("v").alias("dims"), F.explode("filters").alias("filter")
     ).join(shared, ["label", "dims", "filter"])
-    part = F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")
+    part = F.pmod(F.xxhash64("class"), F.col("parts")).cast("int")
     met = members.withColumn("part", part).withColumn(
         "with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
     )
@@ -250,32 +299,36 @@ def linked_vectors(
         "filter",
         (F.col("part") != low).cast("int").alias("side"),
         (low == high).alias("own"),
-        "rep",
+        "class",
         "copies",
         "v",
         "filters",
     )
     found = written(
         pieces.repartition("key")
-        .sortWithinPartitions("key", "side", "rep")
-        .mapInArrow(_pieces(cosine), "rep long, gained long, other long"),
+        .sortWithinPartitions("key", "side", "class")
+        .mapInArrow(_pieces(cosine), "class long, gained long, other long"),
         "cap-links",
     )
-    gained = found.groupBy("rep").agg(F.sum("gained").alias("gained"))
-    roots = components(found.where(F.col("other").isNotNull()), "rep", "other")
+    gained = found.groupBy("class").agg(F.sum("gained").alias("gained"))
+    below = components(found.where(F.col("other").isNotNull()), "class", "other")
+    tops = below.select(F.col("root").alias("node"), "root").distinct()
+    roots = written(below.unionAll(tops), "vector-roots")
     drop_written(posted)
-    classes = classes.select(
-        F.col("label").alias("_label"), F.col("v").alias("_v"), "rep", "copies"
-    )
+    # an id may stand for several vectors, so components are of classes and named by their smallest id
+    ids = classes.select(F.col("class").alias("node"), "rep")
+    smallest = roots.join(ids, "node").groupBy("root").agg(F.min("rep").alias("smallest"))
     named = (
-        classes.join(gained, "rep", "left")
-        .join(roots, F.col("rep") == F.col("node"), "left")
-        .select("_label", "_v", "rep", "copies", "gained", "root")
+        classes.select(F.col("label").alias("_label"), F.col("v").alias("_v"), "rep", "copies", "class")
+        .join(gained, "class", "left")
+        .join(roots.select(F.col("node").alias("class"), "root"), "class", "left")
+        .join(smallest, "root", "left")
+        .select("_label", "_v", "rep", "copies", "gained", "smallest")
     )
     out = rows.join(
         named, (F.col("label") == F.col("_label")) & (F.col("v") == F.col("_v")), "left"
     )
-    component = F.coalesce("root", "rep", "vec_id")
+    component = F.coalesce("smallest", "rep", "vec_id")
     return out.select(
         "vec_id",
         F.coalesce(F.col("copies") - 1 + F.coalesce("gained", F.lit(0)), F.lit(0)).alias("n_links"),

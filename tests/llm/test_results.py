@@ -137,19 +137,34 @@ def test_near_duplicates_of_a_large_group(spark, monkeypatch, piece):
     assert len({top(i) for i in sets}) > 1
 
 
-def test_cap_filters_find_near_vectors():
-    rng = np.random.default_rng(5)
-    x = rng.standard_normal((400, 64))
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    noise = rng.standard_normal(x.shape)
-    noise -= (noise * x).sum(axis=1, keepdims=True) * x
-    noise /= np.linalg.norm(noise, axis=1, keepdims=True)
-    y = 0.98 * x + np.sqrt(1 - 0.98**2) * noise
-    code = embedding_dedup.ProductCode(64)
-    a, b = code.listed(x), code.listed(y)
-    shared = [len(np.intersect1d(p, q)) > 0 for p, q in zip(a, b, strict=True)]
-    assert np.mean(shared) >= 0.99
-    assert not any(len(np.intersect1d(a[i], a[i + 1])) for i in range(0, 398, 2))
+@pytest.mark.parametrize("dims", [1, 2, 3, 4, 5, 6, 8, 12, 16, 24, 32, 64, 100, 128, 256, 768])
+def test_cap_filters_find_near_vectors(dims):
+    x, y = embedding_dedup.pairs_at(0.98, dims, 601)
+    code = embedding_dedup.product_code(dims, 0.98)
+    shared = [len(np.intersect1d(p, q)) > 0 for p, q in zip(code.listed(x), code.listed(y), strict=True)]
+    assert np.mean(shared) >= 0.97
+    if dims >= 8:
+        a = code.listed(x)
+        assert np.mean([len(np.intersect1d(a[i], a[i + 1])) > 0 for i in range(600)]) < 0.3
+    if dims == 64:
+        assert (code.blocks, code.code, code.count) == (4, 256, 64)
+
+
+@pytest.mark.parametrize("dims", [3, 8])
+def test_links_of_short_vectors_and_of_repeated_ids(spark, dims):
+    rng = np.random.default_rng(dims)
+    x = rng.standard_normal((60, dims))
+    x = np.concatenate([x, x + 0.05 * np.linalg.norm(x, axis=1, keepdims=True) * rng.standard_normal(x.shape)])
+    ids = [i // 2 for i in range(len(x))]  # every id stands for two vectors
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in zip(ids, x, strict=True)], "vec_id long, embedding array<double>, label int")
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    linked = (unit @ unit.T >= 0.98) & ~np.eye(len(x), dtype=bool)
+    low = np.array(ids)
+    for _ in range(len(x)):
+        low = np.minimum(low, np.where(linked, low[None, :], len(x)).min(axis=1))
+    want = sorted(zip(ids, linked.sum(axis=1).tolist(), low.tolist(), strict=True))
+    found = embedding_dedup.linked_vectors(df).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in found) == want
 
 
 def _plain_spans(text):
