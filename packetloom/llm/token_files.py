@@ -43,9 +43,9 @@ from packetloom.llm.common import need, once_per_worker, scratch_path, written
 FILE_DOCUMENTS = 8192
 LEVEL = 3
 #: Texts whose new words are learnt together.
-TOGETHER = 64
+TOGETHER = 256
 #: Words that a worker remembers, and as many that it has not seen for longer.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 480_000
 
 #: Zstandard's magic number of a skippable frame, and this format's.
 SKIPPABLE = 0x184D2A5E
@@ -55,9 +55,8 @@ FOOTER = "<IB8s"  # entries, bytes of an id, magic
 
 #: Characters at which str.split cuts but white space of the tokenizer does not.
 _SEPARATORS = re.compile("[\x1c-\x1f]")
-_LATIN_WORD = re.compile(r"([^\W\d_]+)([.,!?]*)")
-#: The one letter before ɐ whose lower case is two characters; the second joins the marks behind it.
-_SPLIT_CASE = "İ"
+#: Latin letters but İ, whose lower case is two characters; the second joins the marks behind it.
+_LATIN_WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-įı-ɏ]+)([.,!?]*)")
 
 
 class Encoder:
@@ -88,13 +87,12 @@ class Encoder:
         """Learn words of letters only; each ends with the only token that ends a word."""
         if not words:
             return
-        ids = np.array(
-            self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, self.kind
-        )
+        found = self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)
+        ids = np.array(found[0].ids, self.kind)
         cuts = np.flatnonzero(self.ends[ids]) + 1
         if len(cuts) == len(words):
-            starts = [0, *cuts[:-1]]
-            packed = [ids[a:b].tobytes() for a, b in zip(starts, cuts, strict=True)]
+            raw, ends = ids.tobytes(), [0, *(cuts * self.kind.itemsize).tolist()]
+            packed = [raw[a:b] for a, b in itertools.pairwise(ends)]
         else:
             packed = self._direct(words)
         self.known.update(zip(words, packed, strict=True))
@@ -103,9 +101,10 @@ class Encoder:
         """Words of Latin letters are learnt without the marks behind them, others as they are."""
         split, other = {}, []
         for word in words:
-            m = _LATIN_WORD.fullmatch(word) if max(word) < "ɐ" and _SPLIT_CASE not in word else None
+            m = _LATIN_WORD.fullmatch(word)
             if m:
-                split[word] = (m[1].lower() if m[1].isascii() else m[1], m[2])
+                core, marks = m.groups()
+                split[word] = (core.lower() if core.isascii() else core, marks)
             else:
                 other.append(word)
         cores = {core for core, _ in split.values()}
@@ -122,17 +121,26 @@ class Encoder:
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         self._forget()
-        odd = [bool(_SEPARATORS.search(t)) or "<" in t and bool(self.special.search(t)) for t in texts]
-        cut = [[] if o else text.split() for text, o in zip(texts, odd, strict=True)]
-        new = set(itertools.chain.from_iterable(cut)).difference(self.known)
+        get = self.known.get
+        cut, parts, new = [], [], set()
+        for text in texts:
+            odd = _SEPARATORS.search(text) or "<" in text and self.special.search(text)
+            words = text.split() if not odd else []
+            found = [self._direct([text])[0]] if odd else list(map(get, words))
+            if None in found:
+                new.update([word for word, ids in zip(words, found, strict=True) if ids is None])
+            cut.append(words)
+            parts.append(found)
         if new:
             again = {word: self.older[word] for word in new if word in self.older}
             self.known.update(again)
             self._learn(new.difference(again))
-        get = self.known.__getitem__
+        known = self.known
         return [
-            self._direct([text])[0] if o else b"".join(map(get, words))
-            for text, words, o in zip(texts, cut, odd, strict=True)
+            b"".join([known[w] if p is None else p for w, p in zip(words, found, strict=True)])
+            if None in found
+            else b"".join(found)
+            for words, found in zip(cut, parts, strict=True)
         ]
 
 
