@@ -15,7 +15,7 @@ from packetloom.functions import matching
 from packetloom.functions.rulesets import Family, keyword_patterns
 from packetloom.functions.text import one_line, text_or_empty
 from packetloom.operators import rulebook
-from packetloom.operators.scoring import ATTACK, NORMAL, sigmoid
+from packetloom.operators.scoring import ATTACK, NORMAL, linear_score, sigmoid
 
 # Report sentences.
 SAYS_ATTACK = "%s 가 공격 탐지 하였고 AI 탐지 키워드는 %s 입니다."
@@ -98,6 +98,71 @@ def explain_linear(
     return steps.selectExpr(*kept, f"sort_array(array({entries})) AS {out_col}")
 
 
+def with_class_scores(
+    df: DataFrame,
+    coefs: dict[int, dict[str, float]],
+    intercepts: dict[int, float],
+    *,
+    out_col: str = "proba",
+) -> DataFrame:
+    """Add the class probabilities of a linear model, by class number, and ``prediction``.
+
+    Equal scores go to the smaller number.
+    """
+    classes = sorted(coefs)
+    logits = [linear_score(coefs[c], intercepts[c]).alias(f"__logit{c}") for c in classes]
+    out = df.select("*", *logits)
+    out = out.withColumn("__most", F.greatest(*(F.col(f"__logit{c}") for c in classes)))
+    parts = [F.exp(F.col(f"__logit{c}") - F.col("__most")) for c in classes]
+    out = out.withColumn("__parts", F.array(*parts))
+    whole = F.aggregate("__parts", F.lit(0.0), lambda acc, x: acc + x)
+    first = F.coalesce(*(F.when(F.col(f"__logit{c}") == F.col("__most"), F.lit(c)) for c in classes))
+    return (
+        out.withColumn("__whole", whole)
+        .withColumn(out_col, F.transform("__parts", lambda x: x / F.col("__whole")))
+        .withColumn("prediction", first)
+        .drop("__most", "__parts", "__whole", *(f"__logit{c}" for c in classes))
+    )
+
+
+def explain_classes(
+    df: DataFrame,
+    coefs: dict[int, dict[str, float]],
+    means: dict[str, float],
+    *,
+    names: tuple[str, ...],
+    others: tuple[str, ...],
+    out_col: str = "explained",
+    places: int = 4,
+) -> DataFrame:
+    """``with_importance`` for the predicted class of a model with several classes.
+
+    A feature's share is that of its attribution to the score of the class in
+    ``prediction``.  One that speaks for the class points to its name, one
+    against it to the label of all others.  ``means`` are stored with the model,
+    so a row's explanation does not depend on the rows around it.
+    """
+    at = F.col("prediction") + 1
+    entries = []
+    for no, f in enumerate(means):
+        weight = F.element_at(F.array(*(F.lit(float(coefs[c][f])) for c in sorted(coefs))), at)
+        entries.append(
+            F.struct(
+                F.lit(no).alias("feature_no"),
+                F.lit(f).alias("feature"),
+                F.col(f).cast("double").alias("value"),
+                (weight * (F.col(f) - F.lit(means[f]))).alias("phi"),
+            )
+        )
+    out = with_importance(df, F.array(*entries), out_col=out_col, places=places)
+    own = F.element_at(F.array(*map(F.lit, names)), at)
+    rest = F.element_at(F.array(*map(F.lit, others)), at)
+    return out.withColumn(
+        out_col,
+        F.transform(out_col, lambda x: x.withField("direction", F.when(x["phi"] >= 0, own).otherwise(rest))),
+    )
+
+
 def top_features(df: DataFrame, ids: list[str], *, k: int = 10, col: str = "explained") -> DataFrame:
     """One row per payload and rank, importance in percent.
 

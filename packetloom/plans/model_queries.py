@@ -99,7 +99,7 @@ _RANKED = (
 )
 
 
-def _evidence_parts(fam) -> dict[str, str]:
+def _evidence_parts(fam, source="traffic", text="payload") -> dict[str, str]:
     others = [r for r in fam.rules if r.feature != "useragent_comb"]
     agents = [r for r in fam.rules if r.feature == "useragent_comb"]
     cases = []
@@ -110,11 +110,16 @@ def _evidence_parts(fam) -> dict[str, str]:
                 f"'alt_no': {no}, 'keyword': {quoted(rulebook.pretty_text(p))}}} END"
             )
     one, zero = "string_split(line, 'HTTP/1.1')", "string_split(line, 'HTTP/1.0')"
+    found = f"regexp_extract_all(lower(line), {quoted('|'.join(explain.keyword_union(others)))})"
+    if agents:
+        found = (
+            f"list_concat({found}, regexp_extract_all("
+            f"lower(CASE WHEN len({one}) = 2 THEN {one}[2] WHEN len({zero}) = 2 THEN {zero}[2] ELSE '' END), "
+            f"{quoted('|'.join(explain.keyword_union(agents)))}))"
+        )
     return dict(
-        lines="SELECT event_id, translate(coalesce(payload, ''), chr(10) || chr(13) || chr(9), '   ') AS line FROM traffic",
-        frags=f"SELECT event_id, list_concat(regexp_extract_all(lower(line), {quoted('|'.join(explain.keyword_union(others)))}), "
-        f"regexp_extract_all(lower(CASE WHEN len({one}) = 2 THEN {one}[2] WHEN len({zero}) = 2 THEN {zero}[2] ELSE '' END), "
-        f"{quoted('|'.join(explain.keyword_union(agents)))})) AS parts FROM lines",
+        lines=f"SELECT event_id, translate(coalesce({text}, ''), chr(10) || chr(13) || chr(9), '   ') AS line FROM {source}",
+        frags=f"SELECT event_id, {found} AS parts FROM lines",
         frag_rows="SELECT event_id, unnest(parts) AS fragment, CAST(generate_subscripts(parts, 1) AS INT) AS fragment_no FROM frags",
         tested="SELECT fragment, h.feature AS feature, h.alt_no AS alt_no, h.keyword AS keyword FROM ("
         f"SELECT fragment, unnest(list_filter([{', '.join(cases)}], lambda x: x IS NOT NULL)) AS h "
@@ -181,14 +186,19 @@ def explanation_top10(spark, sf_dir):
     return described.withColumn("feature", feat.strip_prefix(F.col("feature"), "ips_"))
 
 
+_STATEMENT = (
+    "CASE "
+    "WHEN contains(feature, 'ampersand_count') THEN '& 특수문자가 총 ' || CAST(CAST(value AS INT) AS VARCHAR) || '건 입니다.' "
+    "WHEN contains(feature, 'semicolon_count') THEN '; 특수문자가 총 ' || CAST(CAST(value AS INT) AS VARCHAR) || '건 입니다.' "
+    "WHEN contains(feature, 'dir_count') THEN '상위 디렉토리 접근이 총 ' || CAST(CAST(value AS INT) AS VARCHAR) || '건 입니다.' "
+    "WHEN value = 1 THEN feature || ' 가 공격 탐지 하였고 AI 탐지 키워드는 ' || keywords || ' 입니다.' "
+    "ELSE feature || ' 가 정상 인식 하였습니다.' END AS statement"
+)
+
+
 @query(
     sql(
-        "SELECT event_id, rank, CASE "
-        "WHEN contains(feature, 'ampersand_count') THEN '& 특수문자가 총 ' || CAST(CAST(value AS INT) AS VARCHAR) || '건 입니다.' "
-        "WHEN contains(feature, 'semicolon_count') THEN '; 특수문자가 총 ' || CAST(CAST(value AS INT) AS VARCHAR) || '건 입니다.' "
-        "WHEN contains(feature, 'dir_count') THEN '상위 디렉토리 접근이 총 ' || CAST(CAST(value AS INT) AS VARCHAR) || '건 입니다.' "
-        "WHEN value = 1 THEN feature || ' 가 공격 탐지 하였고 AI 탐지 키워드는 ' || keywords || ' 입니다.' "
-        "ELSE feature || ' 가 정상 인식 하였습니다.' END AS statement FROM top10 WHERE rank <= 3",
+        f"SELECT event_id, rank, {_STATEMENT} FROM top10 WHERE rank <= 3",
         **_TOP10_PARTS,
     )
 )
@@ -291,6 +301,113 @@ def risk_against_baseline(spark, sf_dir):
     )
 
 
+# --- logs: explanation of the predicted class -----------------------------------
+
+WEB = family("web")
+_LOG_MODEL = samples.log_class_coefficients()
+LOG_COEFS = {c: {f: w for k, _, f, w, _ in _LOG_MODEL.rows if k == c} for c in samples.LOG_INTERCEPTS}
+LOG_MEANS = {f: m for k, _, f, _, m in _LOG_MODEL.rows if k == 0}
+_LOG_PARTS = dict(
+    f=rule_sql.features("web", "weblogs", "web_log", "event_id"),
+    logits="SELECT *, "
+    + ", ".join(
+        f"{b} + " + " + ".join(f"{f} * ({w})" for f, w in LOG_COEFS[c].items()) + f" AS l{c}"
+        for c, b in samples.LOG_INTERCEPTS.items()
+    )
+    + " FROM f",
+    classed="SELECT *, CASE greatest(l0, l1, l2, l3) WHEN l0 THEN 0 WHEN l1 THEN 1 WHEN l2 THEN 2 ELSE 3 END AS pred, "
+    "exp(l0) + exp(l1) + exp(l2) + exp(l3) AS z FROM logits",
+    names="SELECT * FROM (VALUES "
+    + ", ".join(
+        f"({i}, {quoted(own)}, {quoted(rest)})"
+        for i, (own, rest) in enumerate(zip(scoring.LOG_CLASSES, scoring.OTHER_CLASSES, strict=True))
+    )
+    + ") AS t(class_no, own, rest)",
+    l=f"SELECT event_id, pred, feature, CAST(value AS DOUBLE) AS value FROM (UNPIVOT "
+    f"(SELECT event_id, pred, {', '.join(WEB.features)} FROM classed) ON {', '.join(WEB.features)} "
+    "INTO NAME feature VALUE value)",
+    phis="SELECT l.*, c.feature_no, c.coef * (l.value - c.mean) AS phi "
+    f"FROM l JOIN ({_LOG_MODEL.sql()}) c ON l.feature = c.feature AND l.pred = c.class_no",
+    scored="SELECT p.*, round(s / sum(s) OVER (PARTITION BY event_id), 4) AS importance, "
+    "CASE WHEN phi >= 0 THEN own ELSE rest END AS direction "
+    "FROM (SELECT *, 1 / (1 + exp(-abs(phi))) AS s FROM phis) p JOIN names ON pred = class_no",
+    ranked=_RANKED,
+    **_evidence_parts(WEB, "weblogs", "web_log"),
+    top10="SELECT r.event_id, r.rank, r.feature, d.description, r.value, "
+    "round(r.importance * 100, 2) AS importance_percent, r.direction, coalesce(k.keywords, '-') AS keywords "
+    f"FROM ranked r LEFT JOIN ({samples.LOG_FEATURE_DEFS.sql()}) d ON r.feature = d.feature "
+    "LEFT JOIN keyword_rows k ON r.event_id = k.event_id AND r.feature = k.feature WHERE r.rank <= 10",
+)
+_PERCENT = "CAST(round(round(exp(l{0}) / z, 2) * 100) AS INT)"
+
+
+def _classified_logs(spark, sf_dir, keep=("event_id",)):
+    rows = feat.rule_features(fixture(spark, sf_dir, "weblogs"), "web_log", "web", keep=list(keep))
+    return explain.with_class_scores(rows, LOG_COEFS, samples.LOG_INTERCEPTS)
+
+
+def _explained_logs(spark, sf_dir):
+    rows = explain.explain_classes(
+        _classified_logs(spark, sf_dir, ("event_id", "web_log")),
+        LOG_COEFS,
+        LOG_MEANS,
+        names=scoring.LOG_CLASSES,
+        others=scoring.OTHER_CLASSES,
+    )
+    return explain.with_evidence(rows, "web_log", WEB)
+
+
+@query(
+    sql(
+        "SELECT event_id, own AS predicted, rest AS others, 100 - cmd_percent - sql_percent - xss_percent AS normal_percent, "
+        "cmd_percent, sql_percent, xss_percent, '인공지능에서 예측한 결과 ' || own || CASE WHEN pred = 1 THEN '일' ELSE ' 공격일' END "
+        "|| ' 확률이 ' || CAST(greatest(cmd_percent, 100 - cmd_percent - sql_percent - xss_percent, sql_percent, xss_percent) AS VARCHAR) "
+        f"|| '%입니다.' AS comment FROM (SELECT *, {_PERCENT.format(0)} AS cmd_percent, {_PERCENT.format(2)} AS sql_percent, "
+        f"{_PERCENT.format(3)} AS xss_percent FROM classed) JOIN names ON pred = class_no",
+        **{k: _LOG_PARTS[k] for k in ("f", "logits", "classed", "names")},
+    )
+)
+def weblog_class_predictions(spark, sf_dir):
+    """Class of a log line by the fixed linear model, the label of the others, and percentages."""
+    scored = _classified_logs(spark, sf_dir).select(
+        "event_id", "prediction", *scoring.class_percentages(F.col("proba"))
+    )
+    percents = ("cmd_percent", "normal_percent", "sql_percent", "xss_percent")
+    return scored.select(
+        "event_id",
+        scoring.class_name(F.col("prediction")).alias("predicted"),
+        scoring.other_classes(F.col("prediction")).alias("others"),
+        scoring.class_comment(F.col("prediction"), F.greatest(*percents)).alias("comment"),
+        *percents,
+    )
+
+
+@query(sql("SELECT event_id, fragment_no, fragment, feature, alt_no, keyword FROM evidence", **_evidence_parts(WEB, "weblogs", "web_log")))
+def weblog_keyword_evidence(spark, sf_dir):
+    """Which keyword of which feature occurs where in a log line."""
+    return explain.evidence(fixture(spark, sf_dir, "weblogs"), "web_log", ID, WEB)
+
+
+@query(
+    sql(
+        "SELECT event_id, rank, substr(feature, 8) AS feature, description, value, importance_percent, direction, keywords FROM top10",
+        **_LOG_PARTS,
+    )
+)
+def weblog_explanation_top10(spark, sf_dir):
+    """The ten features that matter most for the predicted class of a log line."""
+    top = explain.top_features(_explained_logs(spark, sf_dir), ID)
+    described = explain.describe(top, samples.LOG_FEATURE_DEFS.to_df(spark))
+    return described.withColumn("feature", feat.strip_prefix(F.col("feature"), "weblog_"))
+
+
+@query(sql(f"SELECT event_id, rank, {_STATEMENT} FROM top10 WHERE rank <= 3", **_LOG_PARTS))
+def weblog_explanation_sentences(spark, sf_dir):
+    """A sentence for each of the three features that matter most for the predicted class."""
+    rows = explain.top_features(_explained_logs(spark, sf_dir), ID, k=3)
+    return explain.sentences(rows).select("event_id", "rank", "statement")
+
+
 _SIGNATURE_PATTERN = "(?i)" + "|".join(explain.quote(r[1].lower()) for r in samples.SIGNATURES.rows)
 
 

@@ -71,6 +71,30 @@ def coefficients(fam: str) -> Dim:
 
 INTERCEPT = -1.1
 
+#: What the four log classes respond to: shell, nothing, database, page scripts.
+LOG_CLASS_WORDS = (("cmd", "dir"), (), ("sql",), ("xss", "semicolon"))
+LOG_INTERCEPTS = {0: -1.2, 1: 0.9, 2: -1.0, 3: -1.4}
+
+
+def log_class_coefficients() -> Dim:
+    """Example linear model of the log classes, with the feature means it was made for."""
+    rows = []
+    for c, words in enumerate(LOG_CLASS_WORDS):
+        for i, f in enumerate(FAMILIES["web"].features):
+            count = f.endswith("count")
+            if any(w in f for w in words):
+                weight = 0.15 if count else 1.1 + 0.09 * (i * 5 % 7)
+            else:
+                weight = -0.02 * (c + 1) if count else -0.35 - 0.03 * (i * 3 % 5) - 0.2 * (c == 1)
+            rows.append((c, i, f, round(weight, 4), 0.6 if count else round(0.02 + 0.015 * i, 4)))
+    return Dim("class_no INT, feature_no INT, feature STRING, coef DOUBLE, mean DOUBLE", rows)
+
+
+LOG_FEATURE_DEFS = Dim(
+    "feature STRING, description STRING",
+    [(f, f"log rule {i + 1}") for i, f in enumerate(FAMILIES["web"].features) if i % 5 != 3],
+)
+
 AGENT_VOCABULARY = Dim(
     "feature STRING, word STRING, idf DOUBLE",
     [

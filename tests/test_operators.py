@@ -359,3 +359,26 @@ def test_long_scores_keep_ids_without_features(spark):
     coefs = spark.createDataFrame([("f", 0.5)], "feature STRING, coef DOUBLE")
     out = scoring.long_scores(long, every, ["id"], coefs, -1.0).collect()
     assert {r["id"]: r["score"] for r in out} == {1: 0.0, 2: -1.0}
+
+
+def test_class_explanations_add_up(spark):
+    rng = np.random.default_rng(9)
+    names, means = ["f0", "f1", "f2"], {"f0": 0.5, "f1": 0.25, "f2": 2.0}
+    coefs = {c: {f: float(w) for f, w in zip(names, rng.normal(size=3), strict=True)} for c in range(4)}
+    bases = {c: float(b) for c, b in enumerate(rng.normal(size=4))}
+    rows = [tuple(int(x) for x in rng.integers(0, 4, 3)) for _ in range(50)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "id INT, f0 INT, f1 INT, f2 INT")
+    classed = explain.with_class_scores(df, coefs, bases)
+    out = explain.explain_classes(classed, coefs, means, names=("a", "b", "c", "d"), others=("A", "B", "C", "D"))
+    for r in out.collect():
+        logits = [bases[c] + sum(coefs[c][f] * x for f, x in zip(names, rows[r.id], strict=True)) for c in range(4)]
+        assert r.prediction == int(np.argmax(logits))
+        assert np.allclose(r.proba, np.exp(logits) / np.exp(logits).sum())
+        c = r.prediction
+        mean = bases[c] + sum(coefs[c][f] * means[f] for f in names)
+        assert sum(x.phi for x in r.explained) == pytest.approx(logits[c] - mean)
+        for x in r.explained:
+            assert x.phi == pytest.approx(coefs[c][x.feature] * (rows[r.id][names.index(x.feature)] - means[x.feature]))
+            assert x.direction == ("abcd" if x.phi >= 0 else "ABCD")[c]
+    ties = explain.with_class_scores(df.limit(1), {c: dict.fromkeys(names, 0.0) for c in range(4)}, dict.fromkeys(range(4), 0.0))
+    assert ties.first().prediction == 0
