@@ -45,7 +45,7 @@ LEVEL = 3
 #: Texts whose new words are learnt together.
 TOGETHER = 256
 #: Words that a worker remembers, and as many that it has not seen for longer.
-CACHE_WORDS = 480_000
+CACHE_WORDS = 720_000
 
 #: Zstandard's magic number of a skippable frame, and this format's.
 SKIPPABLE = 0x184D2A5E
