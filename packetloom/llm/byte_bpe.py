@@ -44,7 +44,7 @@ SPACE = r"\t-\r \x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
 #: Buckets of the rank map.
 BUCKETS = 1 << 16
 #: Most frequent words sent to the tasks, and the longest of them.
-KNOWN_WORDS = 3 << 18
+KNOWN_WORDS = 1 << 19
 KNOWN_BYTES = 64
 #: Longest word that is folded.
 FOLD_BYTES = 512
@@ -255,7 +255,9 @@ def encoded(
     @F.arrow_udf(kind)
     def looked_up(words: pa.Array) -> pa.Array:
         starts = range(0, max(len(words), 1), TOGETHER)
-        return pa.concat_arrays([part(words.slice(k, TOGETHER)) for k in starts])
+        found = pa.concat_arrays([part(words.slice(k, TOGETHER)) for k in starts])
+        pa.default_memory_pool().release_unused()
+        return found
 
     def part(words: pa.Array) -> pa.Array:
         """Ids of the known words; the k-th other word of a document as -k - 1, kept in rare."""

@@ -222,12 +222,17 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         byte_bpe.load_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
     )
     known = byte_bpe.known_words(docs, ranks, public_tokenizers.PATTERN)
-    ids = byte_bpe.encoded(docs, known, ranks, public_tokenizers.PATTERN).select("doc_id", "ids")
-    return ids.select(
+    ids = byte_bpe.encoded(docs, known, ranks, public_tokenizers.PATTERN)
+    rows = ids.select(
         "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(byte_bpe.packed(F.col("ids"), ranks), 256).alias("ids_sha256"),
-        F.sha2(byte_bpe.decoded(F.col("ids"), ranks), 256).alias("decoded_sha256"),
+        byte_bpe.packed(F.col("ids"), ranks).alias("packed"),
+        byte_bpe.decoded(F.col("ids"), ranks).alias("decoded"),
+    )
+    return rows.select(
+        "doc_id",
+        (F.octet_length("packed") / 4).cast("long").alias("n_tokens"),
+        F.sha2("packed", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
     )
 
 
