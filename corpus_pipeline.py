@@ -21,7 +21,17 @@ from packetloom.llm import byte_bpe, language, minhash, mixing, secrets
 from packetloom.llm.common import read, written
 
 
+#: Documents that Spark hands to a Python worker at a time; texts may be long, and a worker
+#: holds what it makes of them as well.
+BATCH = 2000
+
+
+def _small_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH)
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _small_batches(spark)
     judged = language.identified(docs.withColumn("_row", F.struct(*docs.columns)), language.train(docs))
     return judged.where("kept").select("_row.*")
 
@@ -65,6 +75,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, n_tokens, ids and whether they decode to the text again."""
+    _small_batches(spark)
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     ranks = byte_bpe.Ranks(byte_bpe.load_ranks(path))
     known = byte_bpe.known_words(docs, ranks, public_tokenizers.PATTERN)
