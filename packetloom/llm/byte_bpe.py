@@ -81,6 +81,7 @@ class Ranks:
 
     def __init__(self, ranks: dict[bytes, int]) -> None:
         self.ranks = ranks
+        self.json: str | None = None
         size = max(ranks.values(), default=-1) + 1
         self.pieces = [""] * size
         for piece, rank in ranks.items():
@@ -88,20 +89,22 @@ class Ranks:
 
     def with_map(self, df: DataFrame) -> DataFrame:
         """Adds ``_ranks``: array of maps from piece to rank, by hash of the piece."""
-        buckets = (
-            df.sparkSession.range(1)
-            .select(
-                F.posexplode(literal_json(self.pieces, "array<string>")).alias("rank", "piece")
+        if self.json is None:
+            buckets = (
+                df.sparkSession.range(1)
+                .select(
+                    F.posexplode(literal_json(self.pieces, "array<string>")).alias("rank", "piece")
+                )
+                .where("piece <> ''")
+                .groupBy(_bucket(F.col("piece")).alias("bucket"))
+                .agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("piece", "rank")))).alias("m"))
+                .collect()  # as many entries as the vocabulary has
             )
-            .where("piece <> ''")
-            .groupBy(_bucket(F.col("piece")).alias("bucket"))
-            .agg(F.map_from_entries(F.collect_list(F.struct("piece", "rank"))).alias("m"))
-            .collect()  # as many entries as the vocabulary has
-        )
-        table: list[dict] = [{} for _ in range(BUCKETS)]
-        for bucket, entries in buckets:
-            table[bucket] = entries
-        return df.withColumn("_ranks", literal_json(table, "array<map<string,int>>"))
+            table = ["{}"] * BUCKETS
+            for bucket, entries in buckets:
+                table[bucket] = entries
+            self.json = f"[{','.join(table)}]"
+        return df.withColumn("_ranks", F.from_json(F.lit(self.json), "array<map<string,int>>"))
 
 
 def _bucket(piece: Column) -> Column:
@@ -327,8 +330,10 @@ def _sent(known: DataFrame, ranks: Ranks):
         ids.flatten().to_numpy().astype(np.int32),
         ranks.ranks,
     )
-    del table, ids
-    return known.sparkSession.sparkContext.broadcast(value)
+    sent = known.sparkSession.sparkContext.broadcast(value)
+    del table, ids, value
+    pa.default_memory_pool().release_unused()
+    return sent
 
 
 def _spans(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
