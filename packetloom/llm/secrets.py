@@ -6,9 +6,12 @@ identifiers, and a token counts as secret when its log-likelihood ratio per
 character is high enough; of a token that a pattern covers in part, the rest is
 judged.  Both are first-order chains over the characters of
 ``ALPHABET``.  The labelled samples come from the corpus itself and cover all of
-it: what the patterns found is labelled random, all other tokens are labelled
-ordinary.  Each task adds its samples up to two square tables of counts, which a
-grouped sum combines; only those tables, of fixed size, reach the driver.
+it: what the patterns found is labelled random; the words of all texts, written
+as people write names (``ordinary_identifiers``), are labelled ordinary.  Each
+task adds its samples up to two square tables of counts, which a grouped sum
+combines; only those tables, of fixed size, reach the driver.  There both are
+scaled to fixed weights, so that a larger corpus judges no more sharply.  UUIDs
+name things and are not judged.
 
 Scanning is one pass of Arrow batches without a shuffle.
 
@@ -46,6 +49,8 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 #: Tokens that the models judge, and the shortest.
 LEAST_TOKEN = 16
 TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % LEAST_TOKEN)
+#: Names that are random by design.
+UUID = re.compile(r"[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
 #: What a short part of a token is made of where a key or hex digits go on.
 RUN = re.compile(r"[A-Za-z0-9+/]*")
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
@@ -53,8 +58,13 @@ ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 TOGETHER = 100
 #: Added to every count, so that unseen pairs keep some probability.
 SMOOTHING = 0.5
+#: Pairs that the samples of either label count as, however many there are.
+RANDOM_WEIGHT = 2000.0
+ORDINARY_WEIGHT = 100_000.0
+#: Numbers in identifiers, for each word.
+NUMBERS = 0.1
 #: Least log-likelihood ratio per character pair, in nats.
-MARGIN = 0.25
+MARGIN = 0.3
 
 _N = len(ALPHABET)
 _CODES = np.full(256, _N, np.int64)
@@ -87,10 +97,11 @@ def listed(spans: list[Span]) -> str:
 
 
 def _pairs(data: bytes) -> np.ndarray:
-    """Counts of neighbouring characters of ``ALPHABET``, as a square table."""
+    """Counts of neighbouring characters as a square table; the last row and column
+    stand for all characters outside ``ALPHABET``."""
     codes = _CODES[np.frombuffer(data, np.uint8)]
     cells = codes[:-1] * (_N + 1) + codes[1:]
-    return np.bincount(cells, minlength=(_N + 1) ** 2).reshape(_N + 1, _N + 1)[:_N, :_N]
+    return np.bincount(cells, minlength=(_N + 1) ** 2).reshape(_N + 1, _N + 1)
 
 
 def _texts(batch: pa.RecordBatch) -> list[str]:
@@ -98,7 +109,7 @@ def _texts(batch: pa.RecordBatch) -> list[str]:
 
 
 def _count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    every, secret = np.zeros((_N, _N), np.int64), np.zeros((_N, _N), np.int64)
+    every, secret = (np.zeros((_N + 1, _N + 1), np.int64) for _ in range(2))
     parts = (
         batch.slice(k, TOGETHER)
         for batch in batches
@@ -106,7 +117,7 @@ def _count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     )
     for part in parts:
         texts = _texts(part)
-        every += _pairs(" ".join(texts).encode())
+        every += _pairs(" ".join(["", *texts, ""]).encode())
         found = []
         for text in texts:
             for start, end, kind in base_spans(text):
@@ -137,12 +148,51 @@ class MarkovModels:
         return float(self.ratio[codes[:-1], codes[1:]].mean()) if len(codes) > 1 else 0.0
 
 
+def ordinary_identifiers(pairs: np.ndarray) -> np.ndarray:
+    """Pairs of the identifiers that the words of the given pairs would make.
+
+    Words follow each other in lower case behind ``_``, ``-`` and ``/``, in upper
+    case behind ``_``, and with capitals (camel case); some are followed by
+    numbers.  The letters within a word, its first and its last letter come from
+    ``pairs``, whose last row and column stand for all that is no part of a word.
+    """
+    low, up, digit = slice(0, 26), slice(26, 52), slice(52, 62)
+    under, *others = signs = [ALPHABET.index(c) for c in "_-/"]
+    inside = (pairs[low, low] + pairs[up, low] + pairs[up, up]).astype(float)
+    starts = (pairs[_N, low] + pairs[_N, up]).astype(float)
+    ends = pairs[low, _N].astype(float)
+    words = ends.sum()
+    starts *= words / max(starts.sum(), 1)
+    of_start = starts / max(words, 1)
+    following = inside / np.maximum(inside.sum(axis=1, keepdims=True), 1)
+    out = np.zeros((_N, _N))
+    out[low, low] += 4 * inside  # behind three signs, and in camel case
+    for sign in signs:
+        out[low, sign] += ends
+        out[sign, low] += starts
+        out[sign, up] += starts / 3
+        out[sign, digit] += NUMBERS * words / 10
+        out[digit, sign] += NUMBERS * words / 10
+    out[low, up] += ends[:, None] * of_start
+    out[up, low] += starts[:, None] * following
+    out[up, up] += inside
+    out[up, under] += ends
+    out[under, up] += starts
+    for case in (low, up):
+        out[case, digit] += NUMBERS * ends[:, None] / 10
+        out[digit, case] += NUMBERS * starts / 10
+    out[digit, digit] += NUMBERS * words / 50
+    return out
+
+
 def models_of(secret: np.ndarray, ordinary: np.ndarray) -> MarkovModels:
-    def log_steps(counts: np.ndarray) -> np.ndarray:
-        smooth = counts + SMOOTHING
+    def log_steps(counts: np.ndarray, weight: float) -> np.ndarray:
+        smooth = counts * (weight / max(counts.sum(), 1)) + SMOOTHING
         return np.log(smooth / smooth.sum(axis=1, keepdims=True))
 
-    return MarkovModels(log_steps(secret) - log_steps(ordinary))
+    return MarkovModels(
+        log_steps(secret, RANDOM_WEIGHT) - log_steps(ordinary, ORDINARY_WEIGHT)
+    )
 
 
 def train(docs: DataFrame, text: str = "text") -> MarkovModels:
@@ -153,14 +203,14 @@ def train(docs: DataFrame, text: str = "text") -> MarkovModels:
         .mapInArrow(_count_pairs, "label string, cell int, n long")
         .groupBy("label", "cell")
         .agg(F.sum("n").alias("n"))
-        .collect()  # two tables of len(ALPHABET) squared cells at most
+        .collect()  # two tables of len(ALPHABET) + 1 squared cells at most
     )
-    tables = {"secret": np.zeros(_N * _N), "every": np.zeros(_N * _N)}
+    tables = {label: np.zeros((_N + 1, _N + 1)) for label in ("secret", "every")}
     for label, cell, n in rows:
-        tables[label][cell] = n
+        tables[label].flat[cell] = n
     # overlapping spans may count a secret twice, so the rest is kept at 0 or more
-    ordinary = np.maximum(tables["every"] - tables["secret"], 0)
-    return models_of(tables["secret"].reshape(_N, _N), ordinary.reshape(_N, _N))
+    words = np.maximum(tables["every"] - tables["secret"], 0)
+    return models_of(tables["secret"][:_N, :_N], ordinary_identifiers(words))
 
 
 def _uncovered(token: re.Match, taken: list[Span]) -> Iterator[tuple[int, int]]:
@@ -195,6 +245,8 @@ def model_spans(text: str, models: MarkovModels, taken: list[Span]) -> list[Span
         for a, b in _uncovered(m, taken):
             short = b - a < LEAST_TOKEN
             judged = text[max(a - 1, low) : min(b + 1, high)] if short else text[a:b]
+            if "-" in judged:
+                judged = UUID.sub("", judged)
             if b > a and models.score(judged) >= MARGIN:
                 spans.add((a, b, 3))
     return sorted(spans)
