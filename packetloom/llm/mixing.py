@@ -10,7 +10,7 @@ each step is one grouped sum over the counts of (source, size) pairs, so a
 source with a third of all rows is combined before the shuffle.
 
 Rates become whole copies as ``floor(rate + u + delta)``, ``u`` being a hash of
-the document's id and ``delta`` one number per source, chosen so that the words
+the document's id and text and ``delta`` one number per source, chosen so that the words
 taken come as near the target as the last document allows; one more document
 of the source, the one whose size is nearest the rest, then gains or loses a copy.  ``delta`` is
 found by narrowing an interval with grouped counts of the points where a
@@ -19,13 +19,15 @@ of a document follow from its own row and the row of its source alone: texts
 are never shuffled.  Sums are decimals, so that reruns agree to the last bit.
 
 Cases: a null text has no words; documents without words are taken once, which
-adds nothing; a null source is a source like others and comes last; rows that
-repeat an id get the same number of copies; an empty table gives an empty mix.
+adds nothing; a null source is a source like others and comes last; rows without
+an id, or with a repeated one, are told apart by their texts, and rows that
+repeat both get the same number of copies; an empty table gives an empty mix.
 Columns of the input are kept, those called like an added one are replaced.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -38,9 +40,12 @@ from packetloom.llm.common import WORD, need, written
 WEIGHTS = (1, 2, 3)
 #: No document and no source is taken more often.
 MOST = 3
-#: Newton stops when every source is this near its target, or after so many steps.
+#: Newton stops when every source is this near its target, as a share or in words, or
+#: when doubles cannot come nearer.  The bracket is halved where Newton's step leaves it
+#: and in every so many steps, so this ends.
 CLOSE = 1e-9
-STEPS = 40
+CLOSE_WORDS = 1e-3
+HALVE = 8
 #: Parts of an interval for ``delta``, and how often it is narrowed.
 PARTS = 1024
 NARROWINGS = 3
@@ -114,7 +119,7 @@ def _solved(hist: DataFrame, targets: DataFrame) -> DataFrame:
         F.lit(1e9).alias("high"),
         F.lit(0.0).alias("miss"),
     )
-    for _ in range(STEPS):
+    for step in itertools.count(1):
         rate = _rate(lam, size, F.col("mean"))
         words = F.col("n") * size * rate
         sums = (
@@ -139,13 +144,18 @@ def _solved(hist: DataFrame, targets: DataFrame) -> DataFrame:
         wide = F.when(more, lam + 1 + F.abs(lam)).otherwise(lam - 1 - F.abs(lam))
         middle = F.when((low > -1e8) & (high < 1e8), (low + high) / 2).otherwise(wide)
         inside = newton.isNotNull() & ~F.isnan(newton) & (newton > low) & (newton < high)
-        open_ = F.col("got").isNotNull() & (F.abs(F.col("got") / F.col("target") - 1) > CLOSE)
+        if step % HALVE == 0:
+            inside = F.lit(False)
+        next_ = F.when(inside, newton).otherwise(middle)
+        miss = F.abs(F.col("got") - F.col("target"))
+        near = F.greatest(F.lit(CLOSE_WORDS), F.col("target") * CLOSE)
+        open_ = F.col("got").isNotNull() & (miss > near) & (next_ != lam)
         state = written(
             joined.select(
                 *targets.columns,
                 "mean",
                 "full",
-                F.when(open_, F.when(inside, newton).otherwise(middle)).otherwise(lam).alias("lam"),
+                F.when(open_, next_).otherwise(lam).alias("lam"),
                 F.when(open_, low).otherwise(F.col("low")).alias("low"),
                 F.when(open_, high).otherwise(F.col("high")).alias("high"),
                 open_.cast("double").alias("miss"),
@@ -157,8 +167,13 @@ def _solved(hist: DataFrame, targets: DataFrame) -> DataFrame:
     return state.drop("low", "high", "miss")
 
 
-def _chance(doc_id: Column) -> Column:
-    return F.shiftrightunsigned(F.xxhash64(doc_id), 11) * F.lit(2.0**-53)
+def _key(doc_id: Column, text: Column) -> Column:
+    """Tells documents apart, also those that share an id or have none."""
+    return F.xxhash64(doc_id, text)
+
+
+def _chance() -> Column:
+    return F.shiftrightunsigned("key", 11) * F.lit(2.0**-53)
 
 
 def _document_rate() -> Column:
@@ -169,14 +184,14 @@ def _document_rate() -> Column:
 def _with_delta(sized: DataFrame, plan: DataFrame) -> DataFrame:
     """Adds ``delta``: the shift at which the copies of a source meet its target."""
     gains = _same_source(
-        sized.where(F.col("size") > 0).select("doc_id", "source", "size"), plan
+        sized.where(F.col("size") > 0).select("key", "source", "size"), plan
     ).select(
         "source",
         "size",
         F.explode(
             F.transform(
                 F.sequence(F.lit(1), F.lit(MOST)),
-                lambda k: k - _document_rate() - _chance(F.col("doc_id")),
+                lambda k: k - _document_rate() - _chance(),
             )
         ).alias("at"),
     )
@@ -228,15 +243,15 @@ def _with_delta(sized: DataFrame, plan: DataFrame) -> DataFrame:
 
 
 def _copies() -> Column:
-    raw = F.floor(_document_rate() + _chance(F.col("doc_id")) + F.col("delta"))
+    raw = F.floor(_document_rate() + _chance() + F.col("delta"))
     return F.least(F.greatest(raw, F.lit(0)), F.lit(MOST)).cast("int")
 
 
 def _with_fix(sized: DataFrame, plan: DataFrame) -> DataFrame:
     """Adds ``fix``: the document of a source whose copy more or less closes most of the rest."""
-    rows = _same_source(
-        sized.where((F.col("size") > 0) & F.col("doc_id").isNotNull()), plan
-    ).select("source", "doc_id", "size", "target", _copies().alias("copies"))
+    rows = _same_source(sized.where(F.col("size") > 0), plan).select(
+        "source", "key", "size", "target", _copies().alias("copies")
+    )
     rest = (
         rows.groupBy("source")
         .agg((F.first("target") - F.sum(F.col("copies") * F.col("size"))).alias("rest"))
@@ -250,7 +265,7 @@ def _with_fix(sized: DataFrame, plan: DataFrame) -> DataFrame:
         .drop("_source")
         .where(possible & (left < F.abs("rest")))
         .groupBy("source")
-        .agg(F.min(F.struct(left.alias("left"), "doc_id", step.alias("step"))).alias("fix"))
+        .agg(F.min(F.struct(left.alias("left"), "key", step.alias("step"))).alias("fix"))
         .withColumnRenamed("source", "_source")
     )
     joined = plan.join(fixes, F.col("source").eqNullSafe(F.col("_source")), "left")
@@ -269,7 +284,7 @@ def mixing_plan(
     need(docs, doc_id, text, source)
     sized = written(
         docs.select(
-            F.col(doc_id).alias("doc_id"),
+            _key(F.col(doc_id), F.col(text)).alias("key"),
             F.col(source).alias("source"),
             size_of(F.col(text)).alias("size"),
         ),
@@ -295,13 +310,13 @@ def with_copies(
     kept = [c for c in docs.columns if c not in added]
     rows = docs.select(
         F.struct(*kept).alias("_doc"),
-        F.col(doc_id).alias("doc_id"),
+        _key(F.col(doc_id), F.col(text)).alias("key"),
         F.col(source).alias("source"),
         size_of(F.col(text)).alias("size"),
     )
     joined = _same_source(rows, plan)
     rate = _document_rate()
-    fixed = F.when(F.col("doc_id") == F.col("fix.doc_id"), F.col("fix.step"))
+    fixed = F.when(F.col("key") == F.col("fix.key"), F.col("fix.step"))
     copies = _copies() + F.coalesce(fixed, F.lit(0))
     return joined.select(
         "_doc.*",
