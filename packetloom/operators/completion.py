@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+import random
+import time
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from string import Formatter
 
 import pandas as pd
@@ -43,15 +46,29 @@ def stub(prompt: str, attempt: int) -> str:
     return f"Reply\n{digest[:12]} Engagingness: {int(digest[1], 16) % 4}"
 
 
+#: No pause between two tries is longer, in seconds.
+LONGEST_PAUSE = 30.0
+
+
 def complete(
-    df: DataFrame, prompts: dict[str, str], fn: Complete = stub, *, retries: int = 3
+    df: DataFrame,
+    prompts: dict[str, str],
+    fn: Complete = stub,
+    *,
+    retries: int = 3,
+    parallel: int = 8,
+    pause: float = 0.5,
 ) -> DataFrame:
     """Answer the prompt columns of every row.
 
     ``prompts`` maps an answer name to its prompt column.  Adds
     ``<name>``, ``<name>_status`` and ``<name>_attempts``.  A failing call is
-    tried again; a call that keeps failing marks its own row only.  The calls
-    run in the tasks, batch by batch.
+    tried again after ``pause`` seconds, the next time after twice as long, and
+    so on, each shortened at random by up to half so that tasks do not come back
+    together; a call that keeps failing marks its own row only.  The calls run
+    in the tasks, batch by batch, up to ``parallel`` of a task at a time, so
+    ``fn`` must allow several threads; rows keep their order.  A service sees
+    ``parallel`` times the number of running tasks at most.
     """
     added = []
     for name in prompts:
@@ -63,18 +80,26 @@ def complete(
     schema = T.StructType([*df.schema.fields, *added])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for name, prompt in prompts.items():
-                results = [_attempt(p, fn, retries) for p in batch[prompt]]
-                batch[name] = [r[0] for r in results]
-                batch[f"{name}_status"] = [r[1] for r in results]
-                batch[f"{name}_attempts"] = [r[2] for r in results]
-            yield batch
+        with ThreadPoolExecutor(parallel) as calls:
+            for batch in batches:
+                # all columns are handed over before the first answer is awaited
+                asked = {
+                    name: calls.map(lambda p: _attempt(p, fn, retries, pause), batch[prompt])
+                    for name, prompt in prompts.items()
+                }
+                for name, answers in asked.items():
+                    results = list(answers)
+                    batch[name] = [r[0] for r in results]
+                    batch[f"{name}_status"] = [r[1] for r in results]
+                    batch[f"{name}_attempts"] = [r[2] for r in results]
+                yield batch
 
     return df.mapInPandas(run, schema)
 
 
-def _attempt(prompt: str | None, fn: Complete, retries: int) -> tuple[str | None, str, int]:
+def _attempt(
+    prompt: str | None, fn: Complete, retries: int, pause: float
+) -> tuple[str | None, str, int]:
     if prompt is None:
         return None, "no prompt", 0
     problem = ""
@@ -83,6 +108,9 @@ def _attempt(prompt: str | None, fn: Complete, retries: int) -> tuple[str | None
             return fn(prompt, attempt), "ok", attempt
         except Exception as e:  # whatever the service raises
             problem = f"{type(e).__name__}: {e}"
+            if attempt < retries and pause:
+                wait = min(pause * 2 ** (attempt - 1), LONGEST_PAUSE)
+                time.sleep(wait * random.uniform(0.5, 1.0))
     return None, problem, retries
 
 
@@ -121,6 +149,8 @@ def analyse(
     *,
     fn: Complete = stub,
     sample_rules: dict[str, str] | None = None,
+    parallel: int = 8,
+    pause: float = 0.5,
 ) -> DataFrame:
     """Two dependent stages of questions about every payload.
 
@@ -144,9 +174,11 @@ def analyse(
     first = [n for n in QUESTIONS if n not in CONTEXT_OF]
     second = list(CONTEXT_OF)
     df = df.withColumns({f"__p_{n}": prompt(n) for n in first})
-    df = complete(df, {n: f"__p_{n}" for n in first}, fn).drop(*(f"__p_{n}" for n in first))
+    how = {"parallel": parallel, "pause": pause}
+    df = complete(df, {n: f"__p_{n}" for n in first}, fn, **how).drop(*(f"__p_{n}" for n in first))
     df = df.withColumns({f"__p_{n}": prompt(n) for n in second})
-    return complete(df, {n: f"__p_{n}" for n in second}, fn).drop(*(f"__p_{n}" for n in second))
+    df = complete(df, {n: f"__p_{n}" for n in second}, fn, **how)
+    return df.drop(*(f"__p_{n}" for n in second))
 
 
 def answer_report(df: DataFrame, ids: list[str]) -> DataFrame:

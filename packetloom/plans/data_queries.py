@@ -260,7 +260,7 @@ def augmented_events(spark, sf_dir):
     numbered = splits.with_batch_number(rows, "event_id", 100).select(
         "event_id", "batch_no", prompt.alias("prompt")
     )
-    done = completion.complete(numbered, {"answer": "prompt"})
+    done = completion.complete(numbered, {"answer": "prompt"}, pause=0)
     return done.select(
         "event_id",
         "batch_no",
@@ -479,7 +479,9 @@ def rated_answers(spark, sf_dir):
     prompt = completion.render(
         _RATE_TEMPLATE, context=F.col("text"), question=F.col("question"), answer=F.col("answer")
     )
-    done = completion.complete(joined.select("row_id", prompt.alias("prompt")), {"rating": "prompt"})
+    done = completion.complete(
+        joined.select("row_id", prompt.alias("prompt")), {"rating": "prompt"}, pause=0
+    )
     return (
         done.withColumn("score", conversations.rating(F.col("rating")))
         .groupBy("score", F.col("rating_status").alias("status"))
@@ -686,7 +688,7 @@ _ANSWERS = dict(
 def answer_report(spark, sf_dir):
     """Two stages of dependent questions about every payload, as a report."""
     rows = fixture(spark, sf_dir, "traffic").select("event_id", "payload")
-    return completion.answer_report(completion.analyse(rows, "payload"), ["event_id"])
+    return completion.answer_report(completion.analyse(rows, "payload", pause=0), ["event_id"])
 
 
 # --- files ------------------------------------------------------------------

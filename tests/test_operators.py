@@ -1,4 +1,5 @@
 import math
+import threading
 
 import numpy as np
 import pytest
@@ -242,13 +243,47 @@ def test_completion_retries_and_isolates(spark):
         return prompt.upper()
 
     df = spark.createDataFrame([("ok",), ("late",), ("never",), (None,)], "p STRING")
-    out = {r["p"]: tuple(r)[1:] for r in completion.complete(df, {"a": "p"}, sometimes).collect()}
+    done = completion.complete(df, {"a": "p"}, sometimes, pause=0.01)
+    out = {r["p"]: tuple(r)[1:] for r in done.collect()}
     assert out["ok"] == ("OK", "ok", 1)
     assert out["late"] == ("LATE", "ok", 3)
     assert out["never"] == (None, "ValueError: busy", 3)
     assert out[None] == (None, "no prompt", 0)
 
 
+def test_completion_calls_eight_at_a_time_and_keeps_order(spark):
+    def meeting(prompt, attempt):
+        # the same object for all calls of the task, as threads share it
+        state = meeting.__dict__.setdefault("state", [threading.Barrier(8), threading.Lock(), 0, 0])
+        with state[1]:
+            state[2] += 1
+            state[3] = max(state[3], state[2])
+        state[0].wait(timeout=20)  # breaks unless eight calls run together
+        with state[1]:
+            state[2] -= 1
+        if prompt == "p5":
+            raise ValueError("busy")
+        return f"{prompt}:{state[3]}"
+
+    rows = spark.createDataFrame([(i, f"p{i}") for i in range(16)], "id INT, p STRING").coalesce(1)
+    out = completion.complete(rows, {"a": "p"}, meeting, retries=1, parallel=8).collect()
+    assert [r["id"] for r in out] == list(range(16))
+    assert [r["a_status"] for r in out] == ["ValueError: busy" if i == 5 else "ok" for i in range(16)]
+    assert all(r["a"] == f"p{r['id']}:8" for r in out if r["id"] > 8)
+
+
+def test_completion_pauses_longer_each_time(monkeypatch):
+    waits = []
+    monkeypatch.setattr(completion.time, "sleep", waits.append)
+
+    def never(prompt, attempt):
+        raise ValueError("busy")
+
+    assert completion._attempt("x", never, 10, 1.0) == (None, "ValueError: busy", 10)
+    ceilings = [min(2.0**k, completion.LONGEST_PAUSE) for k in range(9)]
+    assert len(waits) == 9 and all(c / 2 <= w <= c for w, c in zip(waits, ceilings, strict=True))
+
+
 def test_prompt_keeps_braces_of_values(spark):
     df = spark.createDataFrame([("{question}",)], "payload STRING")
     prompt = completion.render("p: {payload} q: {question}", payload=F.col("payload"), question="why")
