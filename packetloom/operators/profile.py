@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from packetloom.sources.scratch import scratch_path
+
 
 def value_counts(df: DataFrame, *columns: str) -> DataFrame:
     return df.groupBy(*columns).agg(F.count("*").alias("n"))
@@ -111,37 +113,54 @@ def quartiles(counted: DataFrame) -> DataFrame:
 def describe(df: DataFrame, columns: list[str]) -> DataFrame:
     """One row per column with exact quartiles.
 
-    Counts, mean, deviation and limits come from one wide aggregate.  For the
-    quartiles the values of each column are counted first; ``order_statistics``
-    finds the values at the wanted places, whether they are few or all different.
+    The values of each column are counted first, and the counts written to the
+    shared folder, so that the rows of ``df`` are made once.  Number, mean,
+    deviation and limits follow from values and frequencies; ``order_statistics``
+    finds the values at the quartiles, whether they are few or all different.
+    A column without values has a row with ``n`` 0.
     """
-    wide = df.agg(
-        *[
-            F.struct(
-                F.lit(c).alias("feature"),
-                F.count(c).alias("n"),
-                F.round(F.avg(c), 6).alias("mean"),
-                F.round(F.stddev_samp(c), 6).alias("std"),
-                F.min(c).cast("double").alias("min"),
-                F.max(c).cast("double").alias("max"),
-            ).alias(c)
-            for c in columns
-        ]
-    ).select(F.inline(F.array(*columns)))
+    spark = df.sparkSession
     cells = F.array(
         *(
             F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value"))
             for c in columns
         )
     )
-    counted = (
+    path = scratch_path(spark, "value-counts")
+    (
         df.select(F.inline(cells))
         .where(F.col("value").isNotNull())
         .groupBy("feature", "value")
         .agg(F.count("*").alias("freq"))
+        .write.parquet(path)
+    )
+    counted = spark.read.schema("feature STRING, value DOUBLE, freq LONG").parquet(path)
+    # one row per column
+    first = counted.groupBy("feature").agg(
+        F.sum("freq").alias("n"),
+        (F.sum(F.col("value") * F.col("freq")) / F.sum("freq")).alias("mean"),
+        F.min("value").alias("min"),
+        F.max("value").alias("max"),
     )
-    return wide.join(quartiles(counted), "feature", "left").select(
-        "feature", "n", "mean", "std", "min", "q25", "q50", "q75", "max"
+    off = F.col("value") - F.col("mean")
+    squares = (
+        counted.join(F.broadcast(first.select("feature", "mean")), "feature")
+        .groupBy("feature")
+        .agg(F.sum(off * off * F.col("freq")).alias("squares"))
+    )
+    names = spark.range(1).select(F.explode(F.array(*(F.lit(c) for c in columns))).alias("feature"))
+    spread = F.when(F.col("n") > 1, F.sqrt(F.col("squares") / (F.col("n") - 1)))
+    return (
+        names.join(first, "feature", "left")
+        .join(squares, "feature", "left")
+        .join(quartiles(counted), "feature", "left")
+        .select(
+            "feature",
+            F.coalesce("n", F.lit(0)).alias("n"),
+            F.round("mean", 6).alias("mean"),
+            F.round(spread, 6).alias("std"),
+            *["min", "q25", "q50", "q75", "max"],
+        )
     )
 
 
