@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 from collections import deque
 from collections.abc import Iterator
 
@@ -163,9 +164,10 @@ def top_k_similar(
 
     Similarity counts to six places, ties go to the smaller id.  Both sides are
     packed into blocks of vectors where they lie.  A block is ordered into balls
-    of neighbouring vectors, with centre and radius.  The blocks of the corpus
-    are dealt out to as many groups as there are shuffle partitions, and those of
-    the queries go to every group.  For a pair of blocks the product with the
+    of neighbouring vectors, with centre and radius.  The shuffle partitions form
+    a square: the blocks of the queries are dealt out to its rows, those of the
+    corpus to its columns, so either side is copied once per column or row and
+    no task holds one whole.  For a pair of blocks the product with the
     centres bounds what each ball can reach, and only the queries whose k-th
     similarity so far is not above that bound are multiplied with its vectors;
     a task remembers these similarities from block to block.  Nothing passes
@@ -174,16 +176,28 @@ def top_k_similar(
     of different length do not meet.  The floor drops rows behind the ranking.
     """
     groups = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    across = math.isqrt(max(groups - 1, 0)) + 1
+    down = -(-groups // across)
+
+    def dealt(n: int) -> Column:
+        return F.pmod(F.xxhash64("rows"), F.lit(n)).cast("int")
+
+    def each(n: int) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+
     q = _packed(queries, query_id, query_vector, metric).select(
         "dims",
         F.col("ids").alias("q_ids"),
         F.col("rows").alias("q_rows"),
-        F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"),
+        dealt(down).alias("down"),
+        each(across).alias("across"),
     )
-    c = _packed(corpus, corpus_id, corpus_vector, metric).withColumn(
-        "group", F.pmod(F.xxhash64("rows"), F.lit(groups)).cast("int")
+    c = _packed(corpus, corpus_id, corpus_vector, metric).select(
+        "*", dealt(across).alias("across"), each(down).alias("down")
     )
-    pairs = c.join(q, ["group", "dims"]).select("dims", "ids", "rows", "q_ids", "q_rows", "starts")
+    # Spark takes a block for a hundred bytes; it would send a side through the driver to all
+    pairs = c.hint("merge").join(q, ["down", "across", "dims"])
+    pairs = pairs.select("dims", "ids", "rows", "q_ids", "q_rows", "starts")
     types = [queries.schema[query_id].dataType, corpus.schema[corpus_id].dataType]
     schema = T.StructType(
         [
