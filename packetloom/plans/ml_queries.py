@@ -37,8 +37,12 @@ def _attack_table(spark, sf_dir):
     flags = [f for f in TRAINING.features if not f.endswith("whitelist")]
     refined = feat.refine_labels(wide, "label", TRAINING.prefix + "whitelist", flags)
     refined = refined.withColumn("target", (F.col("label") == "anomalies").cast("double"))
-    path = scratch_path(spark, "attack-features")
-    splits.stratified_split(refined, "event_id", "label", "7171", 20).write.parquet(path)
+    # the split reads its rows four times
+    features = scratch_path(spark, "attack-features")
+    refined.write.parquet(features)
+    table = spark.read.schema(refined.schema).parquet(features)
+    path = scratch_path(spark, "attack-parts")
+    splits.stratified_split(table, "event_id", "label", "7171", 20).write.parquet(path)
     return spread(spark.read.parquet(path))
 
 

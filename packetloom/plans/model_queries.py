@@ -23,6 +23,7 @@ from packetloom.plans.registry import query, quoted, sql
 from packetloom.plans.text_queries import PARSED_LOGS_SQL
 from packetloom.sources import samples
 from packetloom.sources.fixtures import fixture, read_table
+from packetloom.sources.scratch import scratch_path
 
 ID = ["event_id"]
 IPS = family("ips")
@@ -151,10 +152,17 @@ def keyword_lists(spark, sf_dir):
     return explain.keyword_lists(found, ID, IPS.features)
 
 
-def _explained(spark, sf_dir, keep=("event_id", "label")):
-    rows = traffic_features(spark, sf_dir, keep)
-    means = explain.feature_means(rows, IPS.features)
-    return explain.explain_linear(rows, COEFS, means)
+def _explained(spark, sf_dir, *, evidence=False):
+    """Features and evidence are made once, as a table: the means need all rows before the first."""
+    rows = traffic_features(spark, sf_dir, ("event_id", "payload"))
+    if evidence:
+        rows = explain.with_evidence(rows, "payload", IPS)
+    rows = rows.drop("payload")
+    path = scratch_path(spark, "explained-features")
+    rows.write.parquet(path)
+    table = spark.read.schema(rows.schema).parquet(path)
+    means = explain.feature_means(table, IPS.features)
+    return explain.explain_linear(table, COEFS, means)
 
 
 _TOP10_PARTS = dict(
@@ -180,8 +188,7 @@ _TOP10_PARTS = dict(
 )
 def explanation_top10(spark, sf_dir):
     """The ten most important features with description, value and keywords."""
-    rows = _explained(spark, sf_dir, ("event_id", "payload"))
-    top = explain.top_features(explain.with_evidence(rows, "payload", IPS), ID)
+    top = explain.top_features(_explained(spark, sf_dir, evidence=True), ID)
     described = explain.describe(top, samples.FEATURE_DEFS.to_df(spark))
     return described.withColumn("feature", feat.strip_prefix(F.col("feature"), "ips_"))
 
@@ -204,8 +211,7 @@ _STATEMENT = (
 )
 def explanation_sentences(spark, sf_dir):
     """A sentence for each of the three most important features."""
-    explained = _explained(spark, sf_dir, ("event_id", "payload"))
-    rows = explain.top_features(explain.with_evidence(explained, "payload", IPS), ID, k=3)
+    rows = explain.top_features(_explained(spark, sf_dir, evidence=True), ID, k=3)
     return explain.sentences(rows).select("event_id", "rank", "statement")
 
 
@@ -220,8 +226,7 @@ def explanation_sentences(spark, sf_dir):
 )
 def explanation_prompts(spark, sf_dir):
     """The prompt that asks for words about the top features."""
-    rows = _explained(spark, sf_dir, ("event_id", "payload"))
-    told = explain.top_as_text(explain.with_evidence(rows, "payload", IPS), "top")
+    told = explain.top_as_text(_explained(spark, sf_dir, evidence=True), "top")
     prompt = completion.render(
         completion.TEMPLATES["explain"],
         xai_result=F.col("top"),
