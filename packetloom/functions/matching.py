@@ -310,6 +310,7 @@ class _Gapped:
 
     def __init__(self, pattern: str) -> None:
         self.texts = required_texts(pattern)
+        self.longest = max(self.texts, key=len, default="")
         self.pieces = [
             [_Search(re.compile(_DOT.sub(_java_dot, kind))) for kind in kinds]
             for kinds in _one_line_pieces(pattern)
@@ -358,10 +359,12 @@ class Finder:
 
     def __init__(self, patterns: list[str]) -> None:
         self.patterns = [_Gapped(p) for p in dict.fromkeys(patterns)]
+        self.longest = [(p.longest, order) for order, p in enumerate(self.patterns)]
 
     def __call__(self, text: str) -> list[str]:
         out, place, ahead = [], 0, []
-        for order, pattern in enumerate(self.patterns):
+        for order in [order for longest, order in self.longest if longest in text]:
+            pattern = self.patterns[order]
             if all(t in text for t in pattern.texts):
                 pattern.begin()
                 found = pattern.next(text, 0)

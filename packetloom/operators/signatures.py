@@ -1,7 +1,7 @@
 """Known signatures in texts, for signature tables of any size.
 
 A match is the equality of a piece of the text and a signature, so it is found
-by a join.  Which pieces of a text can match at all is decided in its row: two
+by a join.  Which pieces of a text can match at all is decided in Arrow batches: two
 bit fields of fixed size hold a hash of every signature and of the first
 ``PREFIX`` characters of every signature.  A place whose next characters are in
 the second is looked at with each length that signatures have, and pieces that
@@ -14,6 +14,9 @@ table, then the next one behind its end.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,6 +28,10 @@ from packetloom.sources.scratch import scratch_path
 PREFIX = 4
 #: Bits of a field; a power of two.
 BITS = 1 << 22
+#: Characters that are looked at together.
+CHARACTERS = 1 << 20
+#: Odd, for the hashes of pieces.
+BASE = 0x9E3779B97F4A7C15
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -45,62 +52,110 @@ def _first_definitions(signatures: DataFrame) -> DataFrame:
     return signatures.sparkSession.read.schema(first.schema).parquet(path)
 
 
-def _word(h: Column) -> Column:
-    return F.shiftright(h.bitwiseAND(F.lit(BITS - 1)), 6).cast("int")
+class _Windows:
+    """Hashes of pieces of one row of characters, each in constant time.
+
+    The characters, weighed by the powers of an odd number, are summed up; the
+    difference of two sums, taken back by the power at its place, depends on the
+    piece alone.
+    """
+
+    def __init__(self, texts: list[str]) -> None:
+        codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+        powers = np.full(len(codes) + 1, BASE, np.uint64)
+        back = np.full(len(codes) + 1, pow(BASE, -1, 1 << 64), np.uint64)
+        powers[0] = back[0] = 1
+        self.back = np.cumprod(back)
+        self.sums = np.zeros(len(codes) + 1, np.uint64)
+        np.cumsum((codes + np.uint64(1)) * np.cumprod(powers)[:-1], out=self.sums[1:])
+
+    def hashes(self, places: np.ndarray, lengths: np.ndarray | int) -> np.ndarray:
+        h = (self.sums[places + lengths] - self.sums[places]) * self.back[places]
+        h = (h ^ (h >> np.uint64(32))) * np.uint64(BASE)
+        return h ^ (h >> np.uint64(29))
 
 
-def _bit(h: Column) -> Column:
-    return h.bitwiseAND(F.lit(63)).cast("int")
+@F.arrow_udf(T.LongType())
+def _hash(texts: pa.Array) -> pa.Array:
+    found = texts.to_pylist()
+    lengths = np.array([len(t) for t in found], np.int64)
+    return pa.array(_Windows(found).hashes(np.cumsum(lengths) - lengths, lengths).view(np.int64))
 
 
-def _bit_field(keys: DataFrame, text: Column) -> Column:
-    """A constant array with a bit for the hash of every text."""
-    h = F.xxhash64(text)
+def _bit_field(keys: DataFrame, text: Column) -> np.ndarray:
+    """A bit for the hash of every text."""
+    h = keys.select(_hash(text).alias("h"))
     words = (
-        keys.select(_word(h).alias("word"), _bit(h).alias("bit"))
+        h.select(
+            F.shiftright(F.col("h").bitwiseAND(F.lit(BITS - 1)), 6).cast("int").alias("word"),
+            F.col("h").bitwiseAND(F.lit(63)).cast("int").alias("bit"),
+        )
         .groupBy("word")
         .agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits"))
     )
-    field = ["0"] * (BITS // 64)
+    field = np.zeros(BITS // 64, np.int64)
     for word, bits in words.collect():  # BITS / 64 rows at most
-        field[word] = str(bits)
-    return F.split(F.lit(",".join(field)), ",").cast("array<bigint>")
+        field[word] = bits
+    return field.view(np.uint64)
 
 
-def _holds(field: Column, text: Column) -> Column:
-    h = F.xxhash64(text)
-    return F.getbit(F.get(field, _word(h)), _bit(h)) == 1
+def _holds(field: np.ndarray, h: np.ndarray) -> np.ndarray:
+    word = field[(h & np.uint64(BITS - 1)) >> np.uint64(6)]
+    return (word >> (h & np.uint64(63))) & np.uint64(1) == 1
 
 
-def _candidates(chars: Column, first: DataFrame) -> Column:
-    """Array of ``at, key``: pieces of the text that may be signatures."""
+def _batches(texts: list[str]) -> Iterator[list[str]]:
+    """Consecutive texts, together no longer than ``CHARACTERS`` where each is shorter."""
+    held, length = [], 0
+    for text in texts:
+        if held and length + len(text) > CHARACTERS:
+            yield held
+            held, length = [], 0
+        held.append(text)
+        length += len(text)
+    yield held
+
+
+def _candidates(first: DataFrame) -> Callable[[Column], Column]:
+    """Of a text, an array of ``at, size``: pieces that may be signatures."""
     size = F.length("__key")
     lengths = [r[0] for r in first.select(size.alias("n")).distinct().orderBy("n").collect()]
     whole = _bit_field(first, F.col("__key"))
     begins = _bit_field(first.where(size >= PREFIX), F.substring("__key", 1, PREFIX))
-    n = F.size(chars)
-
-    def piece(at: Column, length: Column) -> Column:
-        return F.array_join(F.slice(chars, at + 1, length), "")
-
-    def places(length: int) -> Column:
-        return F.when(n >= length, F.sequence(F.lit(0), n - length)).otherwise(F.array().cast("array<int>"))
-
-    def pieces_at(at: Column, some: list[int]) -> Column:
-        fitting = F.filter(F.array(*map(F.lit, some)), lambda length: at + length <= n)
-        found = F.transform(fitting, lambda length: F.struct(at.alias("at"), piece(at, length).alias("key")))
-        return F.filter(found, lambda c: _holds(whole, c["key"]))
-
-    def everywhere(length: int) -> Column:
-        return F.flatten(F.transform(places(length), lambda at: pieces_at(at, [length])))
 
-    parts = [everywhere(length) for length in lengths if length < PREFIX]
-    longer = [x for x in lengths if x >= PREFIX]
-    if longer:
-        near = lambda at: F.concat(*[F.get(chars, at + i) for i in range(PREFIX)])
-        starts = F.filter(places(PREFIX), lambda at: _holds(begins, near(at)))
-        parts.append(F.flatten(F.transform(starts, lambda at: pieces_at(at, longer))))
-    return F.concat(*parts) if parts else F.array().cast("array<struct<at: int, key: string>>")
+    def pieces(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Number of pieces of each text, their places and sizes."""
+        windows = _Windows(texts)
+        sizes = np.array([len(t) for t in texts], np.int64)
+        ends, owner = np.cumsum(sizes), np.repeat(np.arange(len(texts)), sizes)
+
+        def inside(places: np.ndarray, length: int) -> np.ndarray:
+            return places[places + length <= ends[owner[places]]]
+
+        everywhere = np.arange(len(owner))
+        near = inside(everywhere, PREFIX)
+        near = near[_holds(begins, windows.hashes(near, PREFIX))]
+        found, long = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for length in lengths:
+            places = inside(everywhere if length < PREFIX else near, length)
+            places = places[_holds(whole, windows.hashes(places, length))]
+            found.append(places)
+            long.append(np.full(len(places), length))
+        places, long = np.concatenate(found), np.concatenate(long)
+        order = np.argsort(places, kind="stable")
+        places, long = places[order], long[order]
+        mine = owner[places]
+        return np.bincount(mine, minlength=len(texts)), places - (ends - sizes)[mine], long
+
+    @F.arrow_udf(T.ArrayType(T.StructType([T.StructField(n, T.IntegerType()) for n in ("at", "size")])))
+    def candidates(texts: pa.Array) -> pa.Array:
+        parts = [pieces(some) for some in _batches([t or "" for t in texts.to_pylist()])]
+        counts, at, long = map(np.concatenate, zip(*parts, strict=True))
+        fields = [pa.array(at.astype(np.int32)), pa.array(long.astype(np.int32))]
+        starts = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(starts), pa.StructArray.from_arrays(fields, ["at", "size"]))
+
+    return candidates
 
 
 @F.arrow_udf(T.ArrayType(T.IntegerType()))
@@ -126,19 +181,24 @@ def signature_matches(df: DataFrame, text_col: str, ids: list[str], signatures:
     """
     first = _first_definitions(signatures)
     others = [c for c in signatures.columns if c not in ("pattern", "pattern_no")]
+    # a byte that is no text would end the search of the others
+    text = F.make_valid_utf8(text_col)
     rows = df.where(F.col(text_col).isNotNull()).select(
         *ids,
         F.monotonically_increasing_id().alias("__row"),
-        F.col(text_col).alias("__text"),
-        F.split(F.translate(text_col, _UPPER, _LOWER), "").alias("__chars"),
+        text.alias("__text"),
+        F.translate(text, _UPPER, _LOWER).alias("__low"),
     )
-    found = rows.select(*ids, "__row", "__text", F.explode(_candidates(F.col("__chars"), first)).alias("__c"))
-    pieces = found.select(
+    rows = rows.withColumn("__found", _candidates(first)("__low"))
+    # outer, because the plain form would infer a filter that searches every text again
+    found = rows.select(*ids, "__row", "__text", "__low", F.explode_outer("__found").alias("__c"))
+    at, size = F.col("__c.at"), F.col("__c.size")
+    pieces = found.where("__c IS NOT NULL").select(
         *ids,
         "__row",
-        F.col("__c.at").alias("__at"),
-        F.col("__c.key").alias("__key"),
-        F.substr("__text", F.col("__c.at") + 1, F.length("__c.key")).alias("__matched"),
+        at.alias("__at"),
+        F.substr("__low", at + 1, size).alias("__key"),
+        F.substr("__text", at + 1, size).alias("__matched"),
     )
     match = F.struct(
         F.col("__at").alias("at"),

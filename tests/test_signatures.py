@@ -1,8 +1,10 @@
 """Signatures against a search that tries every one at every place."""
 
 import random
+import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from packetloom.operators import signatures
 
@@ -51,3 +53,14 @@ def test_many_signatures_and_none(spark):
     assert len(found) == 100 and {r.detection_no for r in found} == {1, 2}
     assert signatures.signature_matches(df, "t", ["id"], table.limit(0)).count() == 0
     assert signatures.signature_matches(df.limit(0), "t", ["id"], table.limit(9)).count() == 0
+
+
+def test_eight_million_characters_in_one_task(spark):
+    table = spark.createDataFrame([(i, f"union select {i}", "v") for i in range(40)], SCHEMA)
+    line = F.concat(F.lit("GET /item?x=union+select+1 "), F.repeat(F.sha2(F.col("id").cast("string"), 256), 6))
+    df = spark.range(20_000).select("id", line.alias("t")).coalesce(1)
+    hit = spark.range(3).select("id", F.lit("a Union Select 7").alias("t"))
+    assert signatures.signature_matches(hit, "t", ["id"], table).count() == 3
+    begin = time.time()
+    assert signatures.signature_matches(df, "t", ["id"], table).count() == 0
+    assert time.time() - begin < 6
