@@ -380,3 +380,21 @@ class Finder:
             if found:
                 heapq.heappush(ahead, (found[0], order, found[1]))
         return out
+
+
+class Matches:
+    """The places in the list of those patterns that match somewhere in a text."""
+
+    def __init__(self, patterns: list[str]) -> None:
+        self.patterns = [_Gapped(p) for p in patterns]
+        self.longest = [(p.longest, place) for place, p in enumerate(self.patterns)]
+
+    def __call__(self, text: str) -> list[int]:
+        out = []
+        for place in [place for longest, place in self.longest if longest in text]:
+            pattern = self.patterns[place]
+            if all(t in text for t in pattern.texts):
+                pattern.begin()
+                if pattern.next(text, 0):
+                    out.append(place)
+        return out

@@ -7,6 +7,8 @@ description tables, and those are broadcast when small.
 
 from __future__ import annotations
 
+import functools
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -376,10 +378,44 @@ def _with_fragments(df: DataFrame, text_col: str, fam: Family) -> DataFrame:
     return out.drop("__line", "__low")
 
 
+#: Fragments whose keywords a task remembers, and the longest of them.
+REMEMBERED, REMEMBERED_LENGTH = 1 << 14, 256
+
+
 def with_evidence(df: DataFrame, text_col: str, fam: Family) -> DataFrame:
-    """Add ``evidence``: array of ``feature_no, alt_no, keyword`` in text order."""
-    hits = F.expr(f"flatten(transform(__fragments, f -> {_hits_sql('f', fam.rules)}))")
-    return _with_fragments(df, text_col, fam).withColumn("evidence", hits).drop("__fragments")
+    """Add ``evidence``: array of ``feature_no, alt_no, keyword`` in text order.
+
+    The fragments of a text and their keywords come from one pass over Arrow
+    batches, so the fragments stay in it.
+    """
+    others, agents = _split_alternatives(fam)
+    numbered = [(no, alt, p) for no, r in enumerate(fam.rules) for alt, p in enumerate(keyword_patterns(r))]
+    entries = pa.StructArray.from_arrays(
+        [
+            pa.array([no for no, _, _ in numbered], pa.int32()),
+            pa.array([alt for _, alt, _ in numbered], pa.int32()),
+            pa.array([rulebook.pretty_text(p) for _, _, p in numbered], pa.string()),
+        ],
+        ["feature_no", "alt_no", "keyword"],
+    )
+
+    @F.arrow_udf("array<struct<feature_no: int, alt_no: int, keyword: string>>")
+    def found(lines: pa.Array, behind: pa.Array) -> pa.Array:
+        find_others = matching.Finder(keyword_union(others))
+        find_agents = matching.Finder(keyword_union(agents))
+        matches = matching.Matches([p for _, _, p in numbered])
+        known = functools.lru_cache(REMEMBERED)(matches)
+        ends, places = [0], []
+        for line, agent in zip(lines.to_pylist(), behind.to_pylist(), strict=True):
+            for fragment in [*find_others(line), *find_agents(agent)]:
+                places += known(fragment) if len(fragment) <= REMEMBERED_LENGTH else matches(fragment)
+            ends.append(len(places))
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), entries.take(pa.array(places, pa.int64())))
+
+    line = one_line(text_or_empty(F.col(text_col)))
+    agent = F.lower(agent_text(F.col("__line"))) if agents else F.lit("")
+    out = df.withColumn("__line", line).withColumns({"__low": F.lower("__line"), "__agent": agent})
+    return out.withColumn("evidence", found("__low", "__agent")).drop("__line", "__low", "__agent")
 
 
 def evidence(df: DataFrame, text_col: str, ids: list[str], fam: Family) -> DataFrame:

@@ -165,3 +165,19 @@ def test_evidence_is_what_the_plain_alternation_finds(spark):
         "want", F.regexp_extract_all("low", F.lit(plain), F.lit(0))
     )
     assert found.where("NOT (found <=> want)").count() == 0
+
+
+def test_keywords_of_fragments_as_by_expression(spark):
+    fam = family("ips")
+    rng = random.Random(3)
+    pieces = [t for r in fam.rules for a in r.alts for t in matching.required_texts(a.pattern)]
+    texts = ["", " ", "http/1.1 nikto/ x", *(
+        "".join(rng.choice([*rng.sample(pieces, 3), " ", "\n", " ", "x"]) for _ in range(12)) for _ in range(120)
+    )]
+    df = spark.createDataFrame(list(enumerate([*texts, None])), "id int, t string")
+    by_expression = F.expr(f"flatten(transform(__fragments, f -> {explain._hits_sql('f', fam.rules)}))")
+    want = explain._with_fragments(df, "t", fam).select("id", by_expression.alias("e")).collect()
+    got = explain.with_evidence(df, "t", fam).select("id", "evidence").collect()
+    plan = explain.with_evidence(df, "t", fam)._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.id: list(map(tuple, r.evidence)) for r in got} == {r.id: list(map(tuple, r.e)) for r in want}
+    assert any(r.e for r in want) and "lambdafunction" not in plan
