@@ -112,3 +112,22 @@ def spanning(i: np.ndarray, j: np.ndarray, n: int) -> list[tuple[int, int]]:
             parent[low] = high
             out.append((a, b))
     return out
+
+
+def stars(nodes: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links of ``nodes`` to the smallest that the links (i, j) of their places connect them with."""
+    order, place = np.unique(nodes, return_inverse=True)
+    parent = list(range(len(order)))
+
+    def top(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for a, b in zip(place[i].tolist(), place[j].tolist(), strict=True):
+        low, high = sorted((top(a), top(b)))
+        parent[high] = low
+    tops = np.array([top(x) for x in range(len(order))], np.int64)
+    own = tops == np.arange(len(order))
+    return order[~own], order[tops[~own]]

@@ -8,20 +8,25 @@ probability ``MISS`` at most.  So of the lists that a class shares with others
 only the rarest matter: all but ``match_threshold - 1`` of them (prefix), and a
 class that shares fewer lists than the threshold is skipped altogether.
 
-Classes that share a list of their prefixes form a cluster, which holds every
-link of its members.  A cluster of up to ``PIECE`` classes is one row group: a
-task counts the shingles that its members have in common with a matrix product
-and returns the links that span it, not its pairs.  A larger cluster is cut into
-pieces that meet in pairs.  Before that, each of its classes is compared with
-one member of each of its lists, which is linear: agreeing coordinates are
-counted, pairs above the threshold are confirmed on the full shingle sets, and
-the largest component found is left out of comparisons with itself.  No link
-between components is lost.
+A class is posted under the lists of its prefix with a byte of each coordinate.
+In every list the classes whose bytes agree in at least ``match_threshold``
+places are connected, which all of the wanted similarity do; what is connected
+is linked to its smallest class, so pairs are not written.  So classes that merely share some list with
+one another, as more and more do in larger tables, stay apart.
+
+Connected classes form a cluster, which holds every link of its members.  A
+cluster of up to ``PIECE`` classes is one row group: a task counts the shingles
+that its members have in common with a matrix product and links the similar ones
+to the smallest they reach.  A larger cluster is cut into pieces that meet in pairs.  Before that,
+each of its classes is compared with one member of each of its lists, which is
+linear: agreeing coordinates are counted, pairs above the threshold are confirmed
+on the full shingle sets, and the largest component found is left out of
+comparisons with itself.  No link between components is lost.
 
 Signatures and sets are made in Arrow batches, one document at a time; joins,
-counts and confirmation are DataFrame code.  Sets are only made for classes that
-share enough lists; which these are goes to the tasks as a Bloom filter of fixed
-size, exact joins follow.
+counts and confirmation are DataFrame code.  Sets are only made for classes of
+clusters; which these are goes to the tasks as a Bloom filter of fixed size,
+exact joins follow.
 
 Cases: a null or empty text, or one without words, has no shingles and is linked
 with nothing; with fewer words than a shingle the whole sequence is the only
@@ -41,7 +46,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from packetloom.llm.common import drop_written, need, runs, spanning, written
+from packetloom.llm.common import drop_written, need, runs, stars, written
 from packetloom.llm.components import components
 
 #: Words of a shingle and least similarity in percent, unless the caller says otherwise.
@@ -53,6 +58,11 @@ MISS = 1e-6
 #: Classes that are compared in one piece, and shingles counted at a time.
 PIECE = 512
 COLUMNS = 1 << 13
+#: Lists of up to so many classes are compared together; of longer ones SEEDS classes at a time.
+FEW = 16
+SEEDS = 64
+#: Posted classes that a task compares at a time, or one list if it is longer.
+ROWS = 1 << 15
 #: Bits of the Bloom filter (2 MB), whatever the size of the data.
 BLOOM_BITS = 1 << 24
 _CHUNK = 1 << 15
@@ -126,6 +136,93 @@ def _signed(docs: DataFrame, words: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(rows, kind)
 
 
+def _marks(sig: str) -> Column:
+    """A byte of each coordinate; they agree where the coordinates do, and in 1 of 256 other places."""
+    byte = lambda x: F.shiftrightunsigned(x, 24).bitwiseAND(F.lit(255))
+    return F.transform(sig, lambda x: (byte(x) - 128).cast("tinyint"))
+
+
+def chained(marks: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links (i, j) that connect all rows which agree in enough places, not all their pairs.
+
+    ``SEEDS`` rows at a time meet those that nothing has met yet.  Rows of one
+    list of near copies are all met by the first, and none is left.
+    """
+    places = np.ascontiguousarray(marks.T)
+    alone, met = np.arange(len(marks)), np.empty(0, np.int64)
+    i, j = [], []
+    while len(alone):
+        if len(met):
+            seeds, met = met[:SEEDS], met[SEEDS:]
+        else:
+            seeds, alone = alone[:SEEDS], alone[SEEDS:]
+        others = np.concatenate([seeds, alone])
+        same = np.zeros((len(seeds), len(others)), np.uint8)
+        for place in places:
+            same += place[seeds][:, None] == place[others]
+        near = same >= least
+        first = near.argmax(axis=0)
+        found = near.any(axis=0)
+        i.append(seeds[first[found]])
+        j.append(others[found])
+        # seeds that meet the same row are connected by it
+        for rows in np.unique(np.packbits(near[:, found], axis=0), axis=1).T:
+            together = seeds[np.flatnonzero(np.unpackbits(rows, count=len(seeds)))]
+            i.append(together[:-1])
+            j.append(together[1:])
+        found = found[len(seeds) :]
+        met, alone = np.concatenate([met, alone[found]]), alone[~found]
+    return np.concatenate(i or [met]), np.concatenate(j or [met])
+
+
+def agreeing(lists: np.ndarray, marks: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links (i, j) that connect the rows of a list, which stand together, that agree in enough places."""
+    cuts = np.flatnonzero(np.concatenate([[True], lists[1:] != lists[:-1], [True]]))
+    sizes = np.diff(cuts)
+    left = np.repeat(cuts[1:], sizes) - np.arange(len(lists))
+    few = np.repeat(sizes <= FEW, sizes)
+    i, j = [], []
+    for step in range(1, min(FEW, int(sizes.max()))):
+        a = np.flatnonzero(few & (left > step))
+        a = a[(marks[a] == marks[a + step]).sum(axis=1) >= least]
+        i.append(a)
+        j.append(a + step)
+    for k in np.flatnonzero(sizes > FEW):
+        a, b = chained(marks[cuts[k] : cuts[k + 1]], least)
+        i.append(cuts[k] + a)
+        j.append(cuts[k] + b)
+    none = np.empty(0, np.int64)
+    return np.concatenate([none, *i]), np.concatenate([none, *j])
+
+
+def _agreeing(least: int):
+    def links(table: pa.Table) -> pa.RecordBatch:
+        reps = table["rep"].to_numpy()
+        marks = table["mark"].combine_chunks().flatten().to_numpy().reshape(-1, HASHES)
+        i, j = agreeing(table["list"].to_numpy(), marks, least)
+        a, b = stars(reps, i, j)
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n, most = [], 0, ROWS
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n >= most:
+                table = pa.Table.from_batches(held)
+                lists = table["list"].to_numpy()
+                last = int(np.flatnonzero(lists != lists[-1])[-1]) + 1 if lists[0] != lists[-1] else 0
+                if last:
+                    yield links(table.slice(0, last))
+                held = table.slice(last).to_batches()
+                n -= last
+                most = max(ROWS, 2 * n)
+        if n:
+            yield links(pa.Table.from_batches(held))
+
+    return rows
+
+
 def _bits(hashed: Column) -> Column:
     """The four places of an id in the Bloom filter."""
     step = F.shiftrightunsigned(hashed, 32).bitwiseOR(F.lit(1))
@@ -254,23 +351,20 @@ def similar_rows(sets: list[np.ndarray], percent: float) -> tuple[np.ndarray, np
 
 
 def _pieces(percent: float):
-    def links(table: pa.Table) -> list[tuple[int, int]]:
+    def links(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         reps, side = table["rep"].to_numpy(), table["side"].to_numpy()
         sets = [np.array(x, np.int64) for x in table["set"].to_pylist()]
         i, j = similar_rows(sets, percent)
         if not table["own"][0].as_py():
             apart = side[i] != side[j]
             i, j = i[apart], j[apart]
-        return [(int(reps[a]), int(reps[b])) for a, b in spanning(i, j, len(reps))]
+        return stars(reps, i, j)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in runs(batches, "key"):
-            found = links(table) if table.num_rows > 1 else []
-            if found:
-                a, b = zip(*found, strict=True)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"]
-                )
+            if table.num_rows > 1:
+                a, b = links(table)
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     return rows
 
@@ -318,29 +412,35 @@ def near_duplicates(
         .agg(F.array_sort(F.collect_set(F.struct("n", "list"))).alias("lists"))
         .where(F.size("lists") >= least)
     )
+    prefix = F.slice("lists", 1, F.size("lists") - least + 1)["list"]
+    marks = sigs.groupBy("rep").agg(F.collect_set(_marks("sig")).alias("marks"))
     postings = written(
-        rarest.select(
-            "rep",
-            F.explode(F.slice("lists", 1, F.size("lists") - least + 1)["list"]).alias("list"),
-        ),
-        "postings",
+        rarest.select("rep", prefix.alias("lists")).join(marks, "rep"), "postings"
     )
-    sets = written(_sets(docs, postings.select("rep").distinct(), words), "sets")
-    sigs = written(sigs.join(postings.select("rep").distinct(), "rep", "left_semi"), "candidates")
-
-    hubs = postings.groupBy("list").agg(F.min("rep").alias("hub"))
-    met = written(postings.join(hubs, "list").select("rep", "hub").distinct(), "met")
-    clusters = components(met, "rep", "hub")
+    agreed = written(
+        postings.select("rep", F.explode("marks").alias("mark"), "lists")
+        .select("rep", "mark", F.explode("lists").alias("list"))
+        .repartition("list")
+        .sortWithinPartitions("list", "rep")
+        .mapInArrow(_agreeing(least), "a long, b long"),
+        "agreeing",
+    )
+    clusters = components(agreed)
     clusters = clusters.unionAll(clusters.select("root", "root").distinct())
     clusters = clusters.select(F.col("node").alias("rep"), F.col("root").alias("cluster"))
     sizes = clusters.groupBy("cluster").agg(F.count("*").alias("n"))
     placed = written(clusters.join(sizes, "cluster"), "clusters")
+    sets = written(_sets(docs, placed.select("rep"), words), "sets")
+
     large = placed.where(F.col("n") > PIECE)
     n_large = large.count()
     links = None
     if n_large:
-        tried = met.join(large, "rep").where(F.col("rep") != F.col("hub"))
-        tried = tried.select(F.col("rep").alias("a"), F.col("hub").alias("b"))
+        sigs = written(sigs.join(large.select("rep"), "rep", "left_semi"), "candidates")
+        met = postings.select("rep", F.explode("lists").alias("list")).join(large, "rep")
+        hubs = met.groupBy("list", "cluster").agg(F.min("rep").alias("hub"))
+        tried = met.join(hubs, ["list", "cluster"]).where(F.col("rep") != F.col("hub"))
+        tried = tried.select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
         links = written(_confirmed(tried, sigs, sets, least, percent), "hub-links")
         found = components(links).withColumnRenamed("node", "rep")
         rooted = large.join(found, "rep", "left").withColumn("root", F.coalesce("root", "rep"))
